@@ -172,9 +172,9 @@ def number_within(
     numbered = (
         placed.join(F.broadcast(pieces.drop("_n")), [*keys, "_pid"])
         .withColumn(out, F.col("_pos") - F.col("_first") + F.col("_before") + 1)
-        .drop("_pid", "_pos", "_first", "_before")
+        .select(*df.columns, out)
     )
-    return cold.unionByName(numbered)
+    return cold.select(*df.columns, out).unionByName(numbered)
 
 
 def in_chunks(

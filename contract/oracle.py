@@ -103,6 +103,50 @@ def merged(sql: Sql) -> Sql:
         THEN (SELECT r FROM r) - (SELECT sum(base) FROM filled) ELSE 0 END AS quota FROM filled""")
 
 
+def refused(sql: Sql, cands: str, room: str, rounds: int = 16) -> Sql:
+    """Capped assignment of ``cands(edge_id, rank, seed, key)`` under ``room(seed, room)``: edges
+    propose to their best seed still open, overfull seeds raise their bar. Rounds after the
+    outcome is stable change nothing. Ends in picks(edge_id, seed)."""
+    sql.add("bar0", f"SELECT seed, 'inf'::FLOAT AS bar, 0::BIGINT AS bar_edge FROM {room} WHERE room <= 0")
+    for t in range(1, rounds + 1):
+        sql.add(f"pick{t}", f"""SELECT c.edge_id, arg_min(c.seed, c.rank) AS seed, arg_min(c.key, c.rank) AS key
+            FROM {cands} c LEFT JOIN bar{t - 1} b ON b.seed = c.seed
+            WHERE b.bar IS NULL OR c.key > b.bar OR (c.key = b.bar AND c.edge_id <= b.bar_edge) GROUP BY c.edge_id""")
+        sql.add(f"new{t}", f"""SELECT p.seed, p.key AS bar, p.edge_id AS bar_edge FROM
+            (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY key DESC, edge_id) AS place,
+                count(*) OVER (PARTITION BY seed) AS n FROM pick{t}) p
+            JOIN {room} r ON r.seed = p.seed WHERE n > room AND place = room""")
+        sql.add(f"bar{t}", f"""SELECT * FROM new{t} UNION ALL
+            SELECT * FROM bar{t - 1} WHERE seed NOT IN (SELECT seed FROM new{t})""")
+    return sql.add("picks", f"SELECT edge_id, seed FROM pick{rounds}")
+
+
+def block_sets(sql: Sql) -> Sql:
+    """bs(block, n, i, ids): blocks by size with their vertex lists."""
+    blocked(sql)
+    sql.add("bv", """SELECT DISTINCT block, id FROM
+        (SELECT block, src AS id FROM b UNION ALL SELECT block, dst FROM b) WHERE block <> -1""")
+    sql.add("sizes", "SELECT block, count(*) AS n FROM b WHERE block <> -1 GROUP BY block")
+    return sql.add("bs", """SELECT block, n, row_number() OVER (ORDER BY n DESC, block) AS i, ids FROM sizes
+        JOIN (SELECT block, list(id) AS ids FROM bv GROUP BY block) USING (block)""")
+
+
+def opened(sql: Sql, parts: int = 4, share: float = 0.45) -> Sql:
+    """The initial blocks: state after looking at i blocks; chosen blocks and their sets."""
+    block_sets(sql)
+    sql.recursive("o(i, chosen, sets, loads)", f"""
+        SELECT 0::BIGINT, CAST([] AS BIGINT[]), CAST([] AS BIGINT[][]), CAST([] AS BIGINT[])
+        UNION ALL
+        SELECT bs.i,
+          CASE WHEN ok THEN list_append(chosen, bs.block) ELSE chosen END,
+          CASE WHEN ok THEN list_append(sets, bs.ids) ELSE sets END,
+          CASE WHEN ok THEN list_append(loads, bs.n) ELSE loads END
+        FROM (SELECT o.*, bs.block, bs.i AS bi, len(chosen) < {parts} AND len(list_filter(sets, lambda x:
+                len(list_intersect(x, bs.ids)) > {share} * least(len(x), len(bs.ids)))) = 0 AS ok
+              FROM o JOIN bs ON bs.i = o.i + 1) s JOIN bs ON bs.i = s.bi""")
+    return sql.add("start", "SELECT * FROM o ORDER BY i DESC LIMIT 1")
+
+
 AFFINE = "({0} * 1000003 % 2147483647)"
 
 
@@ -232,7 +276,39 @@ def oracle_sql() -> dict[str, str]:
     o["block_representatives"] = blocked(Sql()).out("""SELECT src, dst, block AS seed FROM b
         QUALIFY row_number() OVER (PARTITION BY block ORDER BY src, dst) = 1""")
     o["edge_blocks"] = blocked(Sql()).out("SELECT edge_id, src, dst, block, count(*) OVER (PARTITION BY block) AS block_edges FROM b")
+    o["spread_seeds"] = seeded(Sql()).add("ranked", """SELECT id, row_number() OVER (ORDER BY degree DESC, id DESC) AS rank FROM deg""").add(
+        "near", "SELECT id, list(other) AS ids FROM (SELECT src AS id, dst AS other FROM e UNION ALL SELECT dst, src FROM e) GROUP BY id").recursive(
+        "scan(i, taken, ranks)", f"""SELECT 0::BIGINT, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) UNION ALL
+        SELECT r.rank, CASE WHEN list_has_any(taken, near.ids) THEN taken ELSE list_append(taken, r.id) END,
+          CASE WHEN list_has_any(taken, near.ids) THEN ranks ELSE list_append(ranks, r.rank) END
+        FROM scan JOIN ranked r ON r.rank = scan.i + 1 JOIN near ON near.id = r.id WHERE len(taken) < {SEEDS}""").out("""
+        SELECT unnest(taken) AS seed, 100000.0::DOUBLE AS value, unnest(ranks) AS rank FROM (SELECT * FROM scan ORDER BY i DESC LIMIT 1)""")
     # balancing
+    cands = "SELECT edge_id, rank, seed, CAST(score AS FLOAT) AS key FROM prof"
+    room = f"SELECT seed, (SELECT count(*) FROM e) // {SEEDS} + 1 AS room FROM seeds"
+    o["capped_assign"] = refused(profiled(Sql()).add("c", cands).add("room", room), "c", "room").out("""
+        SELECT e.edge_id, e.src, e.dst, coalesce(p.seed, -1) AS block FROM e LEFT JOIN picks p ON p.edge_id = e.edge_id""")
+    sql = profiled(Sql()).add("c", cands).add("room", room).add("kept", """SELECT edge_id, seed FROM
+        (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY key DESC, edge_id) AS place FROM c WHERE rank = 1)
+        WHERE place <= floor((SELECT max(room) FROM room) * (1 - 0.1::DOUBLE))""")
+    sql.add("c2", "SELECT * FROM c WHERE edge_id NOT IN (SELECT edge_id FROM kept)")
+    sql.add("room2", "SELECT seed, room - coalesce(n, 0) AS room FROM room LEFT JOIN (SELECT seed, count(*) AS n FROM kept GROUP BY seed) USING (seed)")
+    o["partial_reschedule"] = refused(sql, "c2", "room2").out("""SELECT e.edge_id, e.src, e.dst, coalesce(k.seed, p.seed, -1) AS block
+        FROM e LEFT JOIN kept k ON k.edge_id = e.edge_id LEFT JOIN picks p ON p.edge_id = e.edge_id""")
+    o["initial_blocks"] = opened(Sql()).out("""SELECT unnest(chosen) AS block,
+        unnest(range(0, len(chosen)))::BIGINT AS part FROM start""")
+    o["overlap_merge"] = opened(Sql()).recursive("g(k, sets, loads, open, block, part)", """
+        SELECT 0, sets, loads, list_filter((SELECT list(block) FROM bs), lambda x: NOT list_contains(chosen, x)), -1::BIGINT, -1::BIGINT FROM start
+        UNION ALL
+        (SELECT k + 1,
+          list_transform(sets, lambda x, j: CASE WHEN j = p THEN list_distinct(list_concat(x, ids)) ELSE x END),
+          list_transform(loads, lambda x, j: CASE WHEN j = p THEN x + n ELSE x END),
+          list_filter(open, lambda x: x <> bl), bl, (p - 1)::BIGINT
+        FROM (SELECT g.k, g.sets, g.loads, g.open, bs.block AS bl, bs.ids, bs.n, list_position(g.loads, list_min(g.loads)) AS p
+              FROM g JOIN bs ON list_contains(g.open, bs.block)) s
+        ORDER BY len(list_intersect(sets[p], ids)) DESC, n DESC, bl LIMIT 1)""").out("""
+        SELECT block, part FROM g WHERE k > 0
+        UNION ALL SELECT unnest(chosen), unnest(range(0, len(chosen)))::BIGINT FROM start""")
     o["fill_residual"] = blocked(Sql()).add("free", f"""SELECT seed, greatest(0, (SELECT count(*) FROM e) // {SEEDS} + 1 - coalesce(n, 0)) AS free
         FROM seeds LEFT JOIN (SELECT block AS seed, count(*) AS n FROM b GROUP BY block) USING (seed)""").add(
         "slots", "SELECT seed, sum(free) OVER (ORDER BY seed) - free AS lo, sum(free) OVER (ORDER BY seed) AS hi FROM free").add(
