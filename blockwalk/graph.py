@@ -24,9 +24,20 @@ class Graph:
         """``edges`` (this graph's, any columns) joined to one row per vertex on ``src`` or ``dst``."""
         key = ("hot", end)
         if key not in self._prepared:
-            self._prepared[key] = hot_keys(self.edges, [end], self.hot_rows)
+            self._prepared[key] = hot_keys(self.edges, [end], self.hot_rows, self.edge_count())
         return join_beside(edges, values, [end], self._prepared[key], how)
 
+    def vertex_ids(self) -> DataFrame:
+        """The ids alone, materialised once."""
+        if "ids" not in self._prepared:
+            self._prepared["ids"] = cut(self.vertices.select("id"))
+        return self._prepared["ids"]
+
+    def edge_count(self) -> int:
+        if "edge_count" not in self._prepared:
+            self._prepared["edge_count"] = self.edges.count()
+        return self._prepared["edge_count"]
+
     def weighted_edges(self) -> DataFrame:
         """Edges with the out-degree of their source, cut once and reused."""
         if "weighted" not in self._prepared:
@@ -67,9 +78,9 @@ def _lay_out(graph: Graph, direction: str) -> Links:
     for at, to in ends:
         part = edges.select(F.col(at).alias("at"), F.col(to).alias("to"), "out_deg", "edge_id")
         keyed = part if keyed is None else keyed.unionByName(part)
-    hot = hot_keys(keyed, ["at"], graph.hot_rows)
+    rows = len(ends) * graph.edge_count()
+    hot = hot_keys(keyed, ["at"], graph.hot_rows, rows)
     cold_rows = keyed if hot is None else split_hot(keyed, hot)[0]
-    rows = len(ends) * edges.count()
     cold = cut_bucketed(cold_rows, ["at"], bucket_count(edges.sparkSession, rows))
     spread = None if hot is None else cut(with_slot(keyed, hot))
     return Links(cold, spread, hot)

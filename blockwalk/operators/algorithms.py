@@ -14,7 +14,7 @@ def pagerank(graph: Graph, iterations: int, c: float = 0.15, cut_every: int = 3)
     """(id, rank): ``c + (1 - c) * sum`` of in-neighbor rank over out-degree, starting at c;
     not normalised."""
     links = graph.links("out")
-    vertices = cut(graph.vertices.select("id"))
+    vertices = graph.vertex_ids()
 
     def step(state, _):
         sums = message_step(links, state, {"m": F.col("rank") / F.col("out_deg")}, {"m": F.sum("m")})
@@ -30,7 +30,7 @@ def static_pagerank(graph: Graph, iterations: int, reset: float = 0.15) -> DataF
 def dynamic_pagerank(graph: Graph, tol: float, reset: float = 0.15, max_rounds: int | None = None) -> DataFrame:
     """(id, rank): a vertex passes on only its last change, and only while that exceeds tol."""
     links = graph.links("out")
-    state = cut(graph.vertices.select("id", F.lit(reset).alias("rank"), F.lit(reset).alias("delta")))
+    state = cut(graph.vertex_ids().select("id", F.lit(reset).alias("rank"), F.lit(reset).alias("delta")))
 
     def step(state, _):
         sums = message_step(
@@ -54,34 +54,36 @@ def connected_components(graph: Graph, hot_rows: int | None = None) -> DataFrame
     hot_rows = graph.hot_rows if hot_rows is None else hot_rows
     ends = graph.edges.filter(F.col("src") != F.col("dst"))
     links = cut(ends.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    mark = None
+    mark, n = None, links.count()
     while True:
-        large = cut(_large_star(links, hot_rows))
-        small = cut(_small_star(large, hot_rows))
+        # a star operation never adds links
+        large = cut(_large_star(links, hot_rows, n))
+        small = cut(_small_star(large, hot_rows, n))
         now = small.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         release(links)
         release(large)
         links = small
         if mark == now:
             break
-        mark = now
+        mark, n = now, now["n"]
     found = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return graph.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return graph.vertex_ids().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _large_star(links: DataFrame, hot_rows: int | None) -> DataFrame:
+def _large_star(links: DataFrame, hot_rows: int | None, n: int) -> DataFrame:
     """Every larger neighbor of a vertex is linked to the smallest vertex of its neighborhood."""
     both = links.select("u", "v").union(links.select("v", "u"))
     lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     # links(u > v): for center v the larger neighbor is u
-    out = join_unique(links.select(F.col("v").alias("u"), F.col("u").alias("far")), lowest, ["u"], hot_rows=hot_rows)
+    turned = links.select(F.col("v").alias("u"), F.col("u").alias("far"))
+    out = join_unique(turned, lowest, ["u"], hot_rows=hot_rows, at_most=n)
     return out.select(F.col("far").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
 
 
-def _small_star(links: DataFrame, hot_rows: int | None) -> DataFrame:
+def _small_star(links: DataFrame, hot_rows: int | None, n: int) -> DataFrame:
     """A vertex and its smaller neighbors are linked to the smallest of them."""
     lowest = links.groupBy("u").agg(F.min("v").alias("m"))
-    out = join_unique(links, lowest, ["u"], hot_rows=hot_rows)
+    out = join_unique(links, lowest, ["u"], hot_rows=hot_rows, at_most=n)
     pairs = out.select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v")))
     return pairs.filter(F.col("u") != F.col("v")).distinct()
 
@@ -99,7 +101,9 @@ def triangle_count(graph: Graph, hot_rows: int | None = None) -> DataFrame:
     degree = cut(degree)
     side_a = degree.select(F.col("id").alias("a"), F.col("d").alias("d_a"))
     side_b = degree.select(F.col("id").alias("b"), F.col("d").alias("d_b"))
-    known = join_unique(join_unique(plain, side_a, ["a"], hot_rows=hot_rows), side_b, ["b"], hot_rows=hot_rows)
+    n = plain.count()
+    known = join_unique(plain, side_a, ["a"], hot_rows=hot_rows, at_most=n)
+    known = join_unique(known, side_b, ["b"], hot_rows=hot_rows, at_most=n)
     a_first = (F.col("d_a") < F.col("d_b")) | ((F.col("d_a") == F.col("d_b")) & (F.col("a") < F.col("b")))
     up = cut(
         known.select(
@@ -112,11 +116,11 @@ def triangle_count(graph: Graph, hot_rows: int | None = None) -> DataFrame:
     ascending = (F.col("d_high") < F.col("d_third")) | (
         (F.col("d_high") == F.col("d_third")) & (F.col("high") < F.col("third"))
     )
-    wedges = join_spread(up, second, ["low"], hot_rows).filter(ascending)
+    wedges = join_spread(up, second, ["low"], hot_rows, n).filter(ascending)
     closing = up.select(F.col("low").alias("high"), F.col("high").alias("third"))
     triangles = wedges.select("low", "high", "third").join(closing, ["high", "third"], "left_semi")
     counts = triangles.select(F.explode(F.array("low", "high", "third")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return graph.vertices.select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("triangles"))
+    return graph.vertex_ids().join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("triangles"))
 
 
 def pick_landmarks(candidates: DataFrame, n: int) -> DataFrame:
@@ -131,7 +135,7 @@ def pick_landmarks(candidates: DataFrame, n: int) -> DataFrame:
 def shortest_paths(graph: Graph, landmarks: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(id, landmark, hops) along out-edges, reachable pairs only."""
     links = graph.links("in")
-    start = landmarks.select("id").distinct().join(graph.vertices.select("id"), "id", "left_semi")
+    start = landmarks.select("id").distinct().join(graph.vertex_ids(), "id", "left_semi")
     state = cut(start.select("id", F.col("id").alias("landmark"), F.lit(0).alias("hops"), F.lit(True).alias("fresh")))
 
     def step(state, _):

@@ -11,8 +11,8 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import bucket_count, cut, cut_bucketed, release
-from ..skew import join_spread, number_all, number_within
+from ..runtime import bucket_count, cut, cut_bucketed, release, settled
+from ..skew import join_small, join_spread, number_all, number_within
 from .blocks import NO_BLOCK, edge_candidates
 from .seeds import first_independent
 
@@ -47,27 +47,27 @@ def capped_assign(
     reads them without a shuffle. ``room`` gives a cap per seed, else every seed has ``cap``.
     """
     spark = profiles.sparkSession
+    profiles = settled(profiles)
+    n_edges = profiles.count()
     seed_ids = [r["seed"] for r in block_rows(seeds, "seed")]
     if room is None:
-        cap = default_cap(profiles.count(), len(seed_ids)) if cap is None else cap
+        cap = default_cap(n_edges, len(seed_ids)) if cap is None else cap
         room = {s: cap for s in seed_ids}
     listed = edge_candidates(profiles).select("edge_id", "rank", "seed", F.col("score").cast("float").alias("key"))
     allowed = spark.createDataFrame([(s,) for s in seed_ids], "seed long")
-    listed = listed.join(allowed, "seed", "left_semi")
+    listed = join_small(listed, allowed, len(seed_ids), ["seed"], "left_semi")
     # profiles are bounded lists, so buckets are sized by edges
-    buckets = bucket_count(spark, profiles.count())
-    candidates = cut_bucketed(listed, ["edge_id"], buckets)
+    candidates = cut_bucketed(listed, ["edge_id"], bucket_count(spark, n_edges))
     bars: dict[int, tuple[float, int]] = {s: (float("inf"), 0) for s in seed_ids if room.get(s, 0) <= 0}
     picks = None
     while True:
-        # a local table: Spark broadcasts it while it is small and shuffles it beyond
         bar_table = spark.createDataFrame([(s, k, e) for s, (k, e) in bars.items()], "seed long, bar float, bar_edge long")
         is_open = (
             F.col("bar").isNull()
             | (F.col("key") > F.col("bar"))
             | ((F.col("key") == F.col("bar")) & (F.col("edge_id") <= F.col("bar_edge")))
         )
-        open_now = candidates.join(bar_table, "seed", "left").filter(is_open)
+        open_now = join_small(candidates, bar_table, len(bars), ["seed"], "left").filter(is_open)
         release(picks)
         picks = cut(
             open_now.groupBy("edge_id").agg(F.min_by("seed", "rank").alias("seed"), F.min_by("key", "rank").alias("key"))
@@ -77,7 +77,7 @@ def capped_assign(
         if not over:
             break
         crowded = spark.createDataFrame(over, "seed long, room long, excess long")
-        contested = picks.join(crowded, "seed")
+        contested = join_small(picks, crowded, len(over), ["seed"])
         worst_first = max(x for _, _, x in over) <= _FEW
         if worst_first:
             place = Window.partitionBy("seed").orderBy(F.asc("key"), F.desc("edge_id"))
@@ -98,6 +98,7 @@ def partial_reschedule(
 ) -> DataFrame:
     """Every seed keeps its best ``floor(cap * (1 - share))`` own edges; only the others are
     offered again, into the room left. Kept edges are never displaced."""
+    profiles = settled(profiles)
     seed_ids = [r["seed"] for r in block_rows(seeds, "seed")]
     cap = default_cap(profiles.count(), len(seed_ids)) if cap is None else cap
     keep = int(cap * (1 - share))
@@ -136,14 +137,15 @@ def fill_residual(assigned: DataFrame, seeds: DataFrame, cap: int) -> DataFrame:
     """Put edges of block -1 into the free places of the seeds, in the order of ``seeds``
     (its ``rank`` column if it has one, else by id). Each edge is placed once; edges beyond
     all free places stay -1."""
+    assigned = settled(assigned)
     order = "rank" if "rank" in seeds.columns else "seed"
     ordered = [r["seed"] for r in sorted(block_rows(seeds, *{"seed", order}), key=lambda r: r[order])]
     load = {r["block"]: r["count"] for r in assigned.groupBy("block").count().collect()}
     vacancies = [(s, cap - load.get(s, 0)) for s in ordered]
     filled = _fill(assigned, vacancies, "seed")
     filled = filled.withColumn("block", F.coalesce("seed", F.lit(NO_BLOCK))).select("edge_id", "src", "dst", "block")
-    settled = assigned.filter(F.col("block") != NO_BLOCK).select("edge_id", "src", "dst", "block")
-    return settled.unionByName(filled)
+    before = assigned.filter(F.col("block") != NO_BLOCK).select("edge_id", "src", "dst", "block")
+    return before.unionByName(filled)
 
 
 def merge_blocks_lpt(sizes: DataFrame, parts: int) -> DataFrame:
@@ -278,10 +280,13 @@ def water_fill(sizes: DataFrame, residual: int) -> DataFrame:
 def materialize_partitions(blocks: DataFrame, merge: DataFrame, quotas: DataFrame) -> DataFrame:
     """(edge_id, src, dst, part): edges of merged blocks in their partition, edges of block -1
     dealt out by quota in edge order."""
-    settled = blocks.filter(F.col("block") != NO_BLOCK).join(merge, "block").select("edge_id", "src", "dst", "part")
+    blocks = settled(blocks)
+    merge_rows = block_rows(merge, "block", "part")
+    merge = merge.sparkSession.createDataFrame(merge_rows, "block long, part int")
+    merged = join_small(blocks.filter(F.col("block") != NO_BLOCK), merge, len(merge_rows), ["block"])
     shares = sorted((r["part"], r["quota"]) for r in block_rows(quotas, "part", "quota"))
     dealt = _fill(blocks, shares, "part").select("edge_id", "src", "dst", F.col("part").cast("int").alias("part"))
-    return settled.unionByName(dealt)
+    return merged.select("edge_id", "src", "dst", "part").unionByName(dealt)
 
 
 def balance_stats(sizes: DataFrame) -> DataFrame:

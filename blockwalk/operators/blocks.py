@@ -27,7 +27,7 @@ def spread_mass(
         seeds.filter(F.col("value") > 0)
         .groupBy("seed")
         .agg(F.max("value").alias("score"))
-        .join(graph.vertices.select(F.col("id").alias("seed")), "seed", "left_semi")
+        .join(graph.vertex_ids().withColumnRenamed("id", "seed"), "seed", "left_semi")
         .select(F.col("seed").alias("id"), "seed", "score", F.col("score").alias("inc"))
     )
     state = cut(start)
@@ -73,15 +73,17 @@ def propagate(graph: Graph, seeds: DataFrame, iterations: int, topk: int) -> Dat
 
 def unvisited_vertices(graph: Graph, scores: DataFrame) -> DataFrame:
     """Vertices no seed reached."""
-    return graph.vertices.select("id").join(scores.select("id"), "id", "left_anti")
+    return graph.vertex_ids().join(scores.select("id"), "id", "left_anti")
 
 
 def unvisited_edges(graph: Graph, scores: DataFrame) -> DataFrame:
     """Edges with neither end reached."""
-    reached = scores.select("id").distinct()
+    reached = scores.select("id").distinct().withColumn("_hit", F.lit(True))
     out = graph.edges.select("edge_id", "src", "dst")
-    out = out.join(reached.withColumnRenamed("id", "src"), "src", "left_anti")
-    return out.join(reached.withColumnRenamed("id", "dst"), "dst", "left_anti").select("edge_id", "src", "dst")
+    for end in ("src", "dst"):
+        side = reached.withColumnRenamed("id", end)
+        out = graph.join_end(out, end, side, "left").filter(F.col("_hit").isNull()).select("edge_id", "src", "dst")
+    return out
 
 
 def coverage(graph: Graph, scores: DataFrame) -> DataFrame:

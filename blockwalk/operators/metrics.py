@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from ..skew import in_chunks, join_unique, number_within
+from ..skew import in_chunks, join_small, join_spread, join_unique, number_within
 
 
 def partition_vertices(edges: DataFrame, part: str = "part") -> DataFrame:
@@ -66,7 +66,8 @@ def cross_boundary_walks(walks: DataFrame, edges: DataFrame, part: str = "part",
     ends = edges.select(F.col(part).alias("part"), F.explode(F.array("src", "dst")).alias("id"))
     places = cut(ends.groupBy("part", "id").agg(F.count(F.lit(1)).alias("n_ends")))
     present = walks_by_source(walks).withColumnRenamed("id", "at")
-    met = present.join(places.select(F.col("id").alias("at"), "part", "n_ends"), "at")
+    # a hub may be met by walks of every source, in every partition
+    met = join_spread(present, places.select(F.col("id").alias("at"), "part", "n_ends"), ["at"], hot_rows)
     pairs = met.groupBy("part", "source").agg(F.sum(F.col("n") * F.col("n_ends")).alias("w"))
     outside = pairs.join(places.select("part", F.col("id").alias("source")), ["part", "source"], "left_anti")
     return outside.groupBy("part").agg(F.sum("w").alias("walks"))
@@ -74,7 +75,8 @@ def cross_boundary_walks(walks: DataFrame, edges: DataFrame, part: str = "part",
 
 def partition_seeds(edges: DataFrame, representatives: DataFrame, part: str = "part") -> DataFrame:
     """(part, seed): the seed whose representative edge lies in the partition."""
-    held = edges.select("src", "dst", F.col(part).alias("part")).join(representatives, ["src", "dst"])
+    placed = edges.select("src", "dst", F.col(part).alias("part"))
+    held = join_small(placed, representatives, representatives.count(), ["src", "dst"])
     return held.select("part", "seed").distinct()
 
 
@@ -88,8 +90,8 @@ def visits_by_distance(
     Partitions are ranked with ``number_within``, so one holding a third of all vertices is
     ranked by many tasks.
     """
-    seeds = partition_seeds(edges, representatives, part).filter(F.col("seed") != -1)
-    inside = partition_vertices(edges, part).join(seeds, "part").join(visits, "id")
+    seeds = cut(partition_seeds(edges, representatives, part).filter(F.col("seed") != -1))
+    inside = join_small(partition_vertices(edges, part), seeds, seeds.count(), ["part"]).join(visits, "id")
     scored = inside.join(distances.select("id", "seed", "score"), ["id", "seed"], "left")
     scored = cut(scored.withColumn("score", F.coalesce("score", F.lit(0.0))))
     placed = number_within(

@@ -47,12 +47,14 @@ def first_independent(ranked: DataFrame, links: DataFrame, n: int | None = None)
     pairs = join_unique(join_unique(pairs, low, ["src"]), high, ["dst"])
     pairs = cut(pairs.select(F.least("a", "b").alias("better"), F.greatest("a", "b").alias("worse")).distinct())
     live = ranked.select("rank")
-    taken = None
+    taken, n_pairs = None, pairs.count()
     while True:
         beaten = pairs.select(F.col("worse").alias("rank")).distinct()
         winners = cut(live.join(beaten, "rank", "left_anti"))
         taken_now = winners if taken is None else taken.unionByName(winners)
-        adjacent = pairs.join(winners.withColumnRenamed("rank", "better"), "better", "left_semi")
+        adjacent = join_unique(
+            pairs, winners.withColumnRenamed("rank", "better"), ["better"], "left_semi", at_most=n_pairs
+        )
         dropped = adjacent.select(F.col("worse").alias("rank")).distinct()
         next_live = cut(
             live.join(winners, "rank", "left_anti").join(dropped, "rank", "left_anti")
@@ -63,8 +65,9 @@ def first_independent(ranked: DataFrame, links: DataFrame, n: int | None = None)
         if frontier is None or (n is not None and taken.filter(F.col("rank") < frontier).count() >= n):
             break
         alive = next_live.withColumnRenamed("rank", "better")
-        remaining = pairs.join(alive, "better", "left_semi")
-        next_pairs = cut(remaining.join(next_live.withColumnRenamed("rank", "worse"), "worse", "left_semi"))
+        next_pairs = join_unique(pairs, alive, ["better"], "left_semi", at_most=n_pairs)
+        alive = next_live.withColumnRenamed("rank", "worse")
+        next_pairs = cut(join_unique(next_pairs, alive, ["worse"], "left_semi", at_most=n_pairs))
         release(pairs)
         release(live)
         pairs, live = next_pairs, next_live

@@ -18,12 +18,12 @@ from ..skew import in_chunks, join_unique, number_within
 NO_NEIGHBOR = -1
 
 
-def indexed_neighbors(edges: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def indexed_neighbors(edges: DataFrame, hot_rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """(src, idx, dst, outdeg): neighbors numbered from 0 by id (then edge id)."""
     order = [F.col("dst")] + ([F.col("edge_id")] if "edge_id" in edges.columns else [])
-    numbered = number_within(edges, ["src"], order, "_n", hot_rows)
+    numbered = number_within(edges, ["src"], order, "_n", hot_rows, at_most)
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("outdeg"))
-    joined = join_unique(numbered, degree, ["src"], hot_rows=hot_rows)
+    joined = join_unique(numbered, degree, ["src"], hot_rows=hot_rows, at_most=at_most)
     return joined.select("src", (F.col("_n") - 1).alias("idx"), "dst", "outdeg")
 
 
@@ -31,12 +31,12 @@ def step_table(graph: Graph) -> DataFrame:
     """Indexed neighbors with the out-degree of both ends, bucketed by (src, idx); a walk that
     arrives knows at once whether it can go on."""
     if "steps" not in graph._prepared:
-        numbered = cut(indexed_neighbors(graph.edges, graph.hot_rows))
+        n = graph.edge_count()
+        numbered = cut(indexed_neighbors(graph.edges, graph.hot_rows, n))
         degree = numbered.filter(F.col("idx") == 0).select(F.col("src").alias("dst"), F.col("outdeg").alias("next_deg"))
-        table = join_unique(numbered, degree, ["dst"], "left", graph.hot_rows)
+        table = join_unique(numbered, degree, ["dst"], "left", graph.hot_rows, n)
         table = table.select("src", "idx", "dst", "outdeg", F.coalesce("next_deg", F.lit(0)).alias("next_deg"))
-        buckets = bucket_count(numbered.sparkSession, numbered.count())
-        graph._prepared["steps"] = cut_bucketed(table, ["src", "idx"], buckets)
+        graph._prepared["steps"] = cut_bucketed(table, ["src", "idx"], bucket_count(numbered.sparkSession, n))
         release(numbered)
     return graph._prepared["steps"]
 
@@ -58,7 +58,7 @@ def _start(graph: Graph, samplings: int) -> DataFrame:
     """``samplings`` walks per vertex, with the out-degree they start at."""
     degree = step_table(graph).filter(F.col("idx") == 0).select(F.col("src").alias("id"), "outdeg")
     return (
-        graph.vertices.select("id")
+        graph.vertex_ids()
         .join(degree, "id", "left")
         .select(
             F.col("id").alias("source"),
@@ -69,14 +69,16 @@ def _start(graph: Graph, samplings: int) -> DataFrame:
     )
 
 
-def _advance(walks: DataFrame, graph: Graph, step: int, seed: int, mode: str) -> DataFrame:
-    """Walks with out-edges moved one hop: ``hop`` is the new vertex, ``deg`` its out-degree."""
+def _advance(walks: DataFrame, graph: Graph, step: int, seed: int, mode: str, at_most: int) -> DataFrame:
+    """Walks with out-edges moved one hop: ``hop`` is the new vertex, ``deg`` its out-degree.
+    There are never more walks than at the start, ``at_most``."""
     pick = F.pmod(draw(F.col("source"), F.col("walk"), F.lit(step), F.col("current"), seed, mode), F.col("deg"))
     drawn = walks.withColumn("idx", pick).drop("deg")
     target = step_table(graph).select(
         F.col("src").alias("current"), "idx", F.col("dst").alias("hop"), F.col("next_deg").alias("deg")
     )
-    return join_unique(drawn, target, ["current", "idx"], hot_rows=graph.hot_rows).drop("idx", "current")
+    keys = ["current", "idx"]
+    return join_unique(drawn, target, keys, hot_rows=graph.hot_rows, at_most=at_most).drop(*keys)
 
 
 def _walk(graph: Graph, samplings: int, steps: int, seed: int, mode: str, with_path: bool, mark_sinks: bool) -> DataFrame:
@@ -85,11 +87,12 @@ def _walk(graph: Graph, samplings: int, steps: int, seed: int, mode: str, with_p
     if with_path:
         state = state.withColumn("path", empty)
     state = cut(state)
+    n = state.count()
     done = None
     for step in range(1, steps + 1):
         stopped = state.filter(F.col("deg") == 0)
         done = stopped if done is None else done.unionByName(stopped)
-        moved = _advance(state.filter(F.col("deg") > 0), graph, step, seed, mode)
+        moved = _advance(state.filter(F.col("deg") > 0), graph, step, seed, mode, n)
         moved = moved.withColumn("step", F.lit(step)).withColumnRenamed("hop", "current")
         if with_path:
             moved = moved.withColumn("path", F.array_append("path", F.col("current")))
@@ -170,7 +173,7 @@ def hub_walks(
     reaches a sink first."""
     steps = max(lengths) if max_steps is None else min(max_steps, max(lengths))
     degree = step_table(graph).filter(F.col("idx") == 0).select(F.col("src").alias("seed"), F.col("outdeg").alias("deg"))
-    known = graph.vertices.select(F.col("id").alias("seed"))
+    known = graph.vertex_ids().withColumnRenamed("id", "seed")
     starts = hubs.filter(F.col("value") > 0).select("seed").distinct().join(known, "seed", "left_semi").join(degree, "seed", "left")
     state = cut(
         starts.select(
@@ -180,17 +183,13 @@ def hub_walks(
             F.coalesce("deg", F.lit(0)).alias("deg"),
         ).withColumn("walk", F.col("walk") + 1)
     )
-    counted = state.groupBy(F.col("current").alias("id"), F.col("source").alias("hub")).agg(F.count(F.lit(1)).alias("n"))
+    n, arrivals = state.count(), state.select("current", "source")
     for step in range(1, steps + 1):
         going = state.filter((F.col("remaining") > 0) & (F.col("deg") > 0))
-        moved = _advance(going, graph, step, seed, mode).withColumnRenamed("hop", "current")
-        next_state = cut(moved.withColumn("remaining", F.col("remaining") - 1).select(*state.columns))
-        arrivals = next_state.groupBy(F.col("current").alias("id"), F.col("source").alias("hub")).agg(F.count(F.lit(1)).alias("n"))
-        # running totals are cut so that the tables of passed steps can go
-        total = cut(counted.unionByName(arrivals).groupBy("id", "hub").agg(F.sum("n").alias("n")))
-        release(state)
-        release(counted)
-        state, counted = next_state, total
+        moved = _advance(going, graph, step, seed, mode, n).withColumnRenamed("hop", "current")
+        # the step tables stay: they are the arrivals, counted once at the end
+        state = cut(moved.withColumn("remaining", F.col("remaining") - 1).select(*state.columns))
         if state.isEmpty():
             break
-    return counted
+        arrivals = arrivals.unionByName(state.select("current", "source"))
+    return arrivals.groupBy(F.col("current").alias("id"), F.col("source").alias("hub")).agg(F.count(F.lit(1)).alias("n"))

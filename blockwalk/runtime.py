@@ -44,6 +44,11 @@ def cut(df: DataFrame) -> DataFrame:
     return table
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a working table, else cut: for inputs that are read repeatedly."""
+    return df if getattr(df, "work_path", None) else cut(df)
+
+
 def bucket_count(spark: SparkSession, rows: int) -> int:
     """Buckets for a table of ``rows`` rows: enough for every core, few enough to stay full."""
     by_size = -(-rows // ROWS_PER_BUCKET)

@@ -4,6 +4,7 @@
 bound that does not grow with the data). Everything else treats those keys separately:
 
 * ``join_unique``   - the other side has one row per key: at most 10,000 rows are broadcast.
+* ``join_small``    - the other side's row count is known: broadcast up to a fixed bound.
 * ``join_spread``   - both sides have many rows per key: hot rows are split over slots.
 * ``number_within`` - row numbers per key: hot keys are numbered over a range partitioning.
 * ``in_chunks``     - lists per key, cut into bounded chunks.
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from .runtime import cut
 
 MAX_HOT_KEYS = 10_000
+BROADCAST_ROWS = 100_000
 HOT_ROWS = 1_000_000
 _BINS = 65_536
 _POS_BITS = 33  # monotonically_increasing_id: partition in the high bits, position in 33
@@ -33,13 +35,18 @@ class HotKeys:
     limit: int
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> HotKeys | None:
-    """Keys of ``df`` with more than max(hot_rows, rows / 10,000) rows, or None.
+def hot_keys(
+    df: DataFrame, keys: list[str], hot_rows: int | None = None, at_most: int | None = None
+) -> HotKeys | None:
+    """Keys of ``df`` with more than max(hot_rows, rows / 10,000) rows, or None. ``at_most``
+    is a known bound on the rows of ``df``: if no key can be hot, nothing is scanned.
 
     First pass: counts per hash bin (65,536 rows leave each task at most). Only if a bin is
     heavy does a second pass count the keys inside heavy bins.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    if at_most is not None and at_most <= hot_rows:
+        return None
     spark = df.sparkSession
     binned = F.pmod(F.xxhash64(*keys), F.lit(_BINS))
     bins = df.groupBy(binned.alias("_bin")).count().collect()
@@ -90,10 +97,12 @@ def every_slot(df: DataFrame, hot: HotKeys, slot: str = "slot") -> DataFrame:
 
 
 def join_unique(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot_rows: int | None = None
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot_rows: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
-    """``left`` (any skew) joined to ``right`` with at most one row per key; inner or left."""
-    return join_beside(left, right, keys, hot_keys(left, keys, hot_rows), how)
+    """``left`` (any skew) joined to ``right`` with at most one row per key; ``how`` is inner,
+    left, left_semi or left_anti."""
+    return join_beside(left, right, keys, hot_keys(left, keys, hot_rows, at_most), how)
 
 
 def join_beside(
@@ -108,12 +117,24 @@ def join_beside(
     return cold_rows.join(right, keys, how).unionByName(hot_rows_.join(F.broadcast(few), keys, how))
 
 
+def join_small(left: DataFrame, right: DataFrame, rows: int, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to a table of known size with at most one row per key: broadcast up to
+    ``BROADCAST_ROWS`` rows, beyond that as ``join_unique``."""
+    if rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), keys, how)
+    return join_unique(left, right, keys, how)
+
+
 def join_spread(
-    left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int | None = None
+    left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int | None = None, at_most: int | None = None
 ) -> DataFrame:
     """Inner join of two sides with many rows per key: hot keys of the left side are split
     over slots and the matching right rows are copied to each slot."""
-    hot = hot_keys(left, keys, hot_rows)
+    return join_slots(left, right, keys, hot_keys(left, keys, hot_rows, at_most))
+
+
+def join_slots(left: DataFrame, right: DataFrame, keys: list[str], hot: HotKeys | None) -> DataFrame:
+    """``join_spread`` with the hot keys of ``left`` already known."""
     if hot is None:
         return left.join(right, keys)
     cold_rows, _ = split_hot(left, hot)
@@ -154,12 +175,13 @@ def _placed(df: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def number_within(
-    df: DataFrame, keys: list[str], order: list[Column], out: str, hot_rows: int | None = None
+    df: DataFrame, keys: list[str], order: list[Column], out: str, hot_rows: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """1-based row number per key. Keys too large for one task are numbered by a range
     partitioning on (key, order) and the sizes of the key's earlier pieces."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    hot = hot_keys(df, keys, hot_rows)
+    hot = hot_keys(df, keys, hot_rows, at_most)
     if hot is None:
         return df.withColumn(out, F.row_number().over(window).cast("long"))
     cold_rows, hot_rows_ = split_hot(df, hot)
