@@ -60,10 +60,23 @@ class Links:
     cold: DataFrame
     hot: DataFrame | None
     hot_ids: HotKeys | None
+    hot_rows: int | None = None
+
+    def join(self, state: DataFrame, many: bool = False) -> DataFrame:
+        """Every (state row, edge leaving its ``id``) pair: columns of both.
 
-    def join(self, state: DataFrame) -> DataFrame:
-        """Every (state row, edge leaving its ``id``) pair: columns of both."""
+        ``many`` says that ids may own any number of state rows (score tables): hot ones are
+        then split over slots too, and their edges copied to each.
+        """
         keyed = state.withColumnRenamed("id", "at")
+        hot = hot_keys(keyed, ["at"], self.hot_rows) if many else None
+        if hot is None:
+            return self._pairs(keyed)
+        everything = self.cold if self.hot is None else self.cold.unionByName(self.hot.drop("slot"))
+        spread = with_slot(keyed, hot).join(every_slot(everything, hot), ["at", "slot"]).drop("slot")
+        return self._pairs(split_hot(keyed, hot)[0]).unionByName(spread)
+
+    def _pairs(self, keyed: DataFrame) -> DataFrame:
         pairs = keyed.join(self.cold, "at")
         if self.hot is None:
             return pairs
@@ -83,7 +96,7 @@ def _lay_out(graph: Graph, direction: str) -> Links:
     cold_rows = keyed if hot is None else split_hot(keyed, hot)[0]
     cold = cut_bucketed(cold_rows, ["at"], bucket_count(edges.sparkSession, rows))
     spread = None if hot is None else cut(with_slot(keyed, hot))
-    return Links(cold, spread, hot)
+    return Links(cold, spread, hot, graph.hot_rows)
 
 
 def with_edge_ids(edges: DataFrame, start: int = 1) -> DataFrame:

@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import bucket_count, cut, cut_bucketed, release, settled
-from ..skew import join_small, join_spread, number_all, number_within
+from ..skew import BROADCAST_ROWS, join_small, join_spread, number_all, number_within
 from .blocks import NO_BLOCK, edge_candidates
 from .seeds import first_independent
 
 MAX_BLOCKS = 1_000_000
 _FEW = 999  # limits up to this get the partial group limit before the shuffle
-_SLOT_ROWS = 4_096  # width of the index buckets of the residual range join
+_SLOT_ROWS = 4_096  # smallest width of the number buckets of the residual range join
+_SLOT_PIECES = 50_000  # most buckets
 
 
 def block_rows(table: DataFrame, *columns: str) -> list:
@@ -115,7 +116,11 @@ def partial_reschedule(
 
 
 def _fill(assigned: DataFrame, vacancies: list[tuple[int, int]], target: str) -> DataFrame:
-    """Hand the edges of block -1, in edge order, to ``target`` values with free places."""
+    """Hand the edges of block -1, in edge order, to ``target`` values with free places.
+
+    A range join of edge numbers with places, as an equi-join on number buckets: the places
+    are cut into a bounded number of pieces, so they can be broadcast and no edge moves.
+    """
     spark = assigned.sparkSession
     residual = number_all(assigned.filter(F.col("block") == NO_BLOCK), [F.col("edge_id")], "_n")
     slots, at = [], 0
@@ -123,12 +128,12 @@ def _fill(assigned: DataFrame, vacancies: list[tuple[int, int]], target: str) ->
         if free > 0:
             slots.append((value, at, at + free))
             at += free
+    width = max(_SLOT_ROWS, at // _SLOT_PIECES + 1)
     ranges = spark.createDataFrame(slots, f"{target} long, _from long, _to long")
-    # range join as an equi-join on index buckets; a bucket meets few ranges
-    ranges = ranges.withColumn(
-        "_b", F.explode(F.expr(f"sequence(_from div {_SLOT_ROWS}, (_to - 1) div {_SLOT_ROWS})"))
-    )
-    keyed = residual.withColumn("_bucket", F.expr(f"_n div {_SLOT_ROWS}"))
+    ranges = ranges.withColumn("_b", F.explode(F.expr(f"sequence(_from div {width}, (_to - 1) div {width})")))
+    if len(slots) + _SLOT_PIECES <= BROADCAST_ROWS:
+        ranges = F.broadcast(ranges)
+    keyed = residual.withColumn("_bucket", F.expr(f"_n div {width}"))
     inside = (F.col("_bucket") == F.col("_b")) & (F.col("_n") >= F.col("_from")) & (F.col("_n") < F.col("_to"))
     return keyed.join(ranges, inside, "left").drop("_b", "_bucket", "_n", "_from", "_to")
 
@@ -262,19 +267,17 @@ def water_fill(sizes: DataFrame, residual: int) -> DataFrame:
     Closed form over the partition table: the k smallest rise to one level, k the largest
     count for which reaching the k-th size costs no more than the residual.
     """
-    by_size = Window.orderBy("n_edges", "part")  # one row per partition of the result
-    lifted = sizes.withColumn("_k", F.row_number().over(by_size)).withColumn("_cum", F.sum("n_edges").over(by_size))
-    raised = lifted.filter(F.col("_k") * F.col("n_edges") - F.col("_cum") <= residual)
-    level = raised.agg(F.max_by(F.struct("_k", "_cum"), "_k").alias("m")).select(
-        F.col("m._k").alias("_raised"),
-        F.expr(f"(m._cum + {residual}) div m._k").alias("_level"),
-        F.expr(f"(m._cum + {residual}) % m._k").alias("_spare"),
-    ).first()
-    quota = F.when(
-        F.col("_k") <= level["_raised"],
-        F.lit(level["_level"]) - F.col("n_edges") + F.when(F.col("_k") == 1, F.lit(level["_spare"])).otherwise(0),
-    ).otherwise(0)
-    return lifted.select("part", "n_edges", quota.cast("long").alias("quota"))
+    rows = sorted((r["n_edges"], r["part"]) for r in block_rows(sizes, "part", "n_edges"))
+    raised, total, filled = 0, 0, 0
+    for k, (n, _) in enumerate(rows, 1):
+        total += n
+        if k * n - total <= residual:
+            raised, filled = k, total
+    level, spare = divmod(filled + residual, raised)
+    quotas = [(part, n, level - n if k < raised else 0) for k, (n, part) in enumerate(rows)]
+    part, n, quota = quotas[0]
+    quotas[0] = (part, n, quota + spare)
+    return sizes.sparkSession.createDataFrame(quotas, "part long, n_edges long, quota long")
 
 
 def materialize_partitions(blocks: DataFrame, merge: DataFrame, quotas: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import merge_arrays, rank_key, score_array
 from ..graph import Graph
 from ..runtime import cut, release
+from ..skew import join_small
 
 NO_BLOCK = -1  # label of edges no seed reached
 
@@ -138,5 +139,7 @@ def seed_distances(scores: DataFrame) -> DataFrame:
 
 def block_representatives(blocks: DataFrame) -> DataFrame:
     """One edge per block, the smallest (src, dst): (src, dst, seed)."""
-    first = blocks.groupBy("block").agg(F.min(F.struct("src", "dst")).alias("e"))
-    return first.select("e.src", "e.dst", F.col("block").alias("seed"))
+    # two hash aggregates: a minimum over structs would sort every edge
+    low = cut(blocks.groupBy("block").agg(F.min("src").alias("src")))
+    among = join_small(blocks.select("block", "src", "dst"), low, low.count(), ["block", "src"], "left_semi")
+    return among.groupBy("block", "src").agg(F.min("dst").alias("dst")).select("src", "dst", F.col("block").alias("seed"))

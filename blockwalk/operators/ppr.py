@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..runtime import cut, iterate, release
-from ..skew import join_spread
+from ..skew import hot_keys, join_both
 from .blocks import spread_mass
 
 HOP_FACTOR = 0.15  # fixed value: teleport constant, the weight of one hop
@@ -27,7 +27,7 @@ def _one_hop(graph: Graph, hop_factor: float, targets: DataFrame | None) -> Data
 
 def _pulled(graph: Graph, rows: DataFrame, value: str, hop_factor: float) -> DataFrame:
     """Rows of a vertex as its in-neighbors see them: ``value`` times hop_factor / out-degree."""
-    sent = graph.links("in").join(rows)
+    sent = graph.links("in").join(rows, many=True)
     return sent.withColumn(value, F.col(value) * (F.lit(hop_factor) / F.col("out_deg"))).drop("at").withColumnRenamed("to", "id")
 
 
@@ -65,7 +65,7 @@ def _compose(a: DataFrame, b: DataFrame, hot_rows: int | None) -> DataFrame:
     """Score product summed over the middle vertex."""
     first = a.select("id", F.col("target").alias("mid"), F.col("score").alias("s1"))
     second = b.select(F.col("id").alias("mid"), "target", F.col("score").alias("s2"))
-    met = join_spread(first, second, ["mid"], hot_rows)
+    met = join_both(first, second, ["mid"], hot_keys(first, ["mid"], hot_rows), hot_rows)
     return met.groupBy("id", "target").agg(F.sum(F.col("s1") * F.col("s2")).alias("score"))
 
 

@@ -24,10 +24,10 @@ def spread_seeds(edges: DataFrame, n: int, candidates: int | None = None, value:
     ``candidates`` limits the ranked list the walk goes through.
     """
     ranking = [F.desc("degree"), F.desc("id")]
-    listed = degrees(edges).select("id", "degree")
+    ranked = number_all(degrees(edges).select("id", "degree"), ranking, "rank", 1).select("id", "rank")
     if candidates is not None:
-        listed = listed.orderBy(*ranking).limit(candidates)
-    ranked = number_all(listed, ranking, "rank", 1).select("id", "rank")
+        # candidate lists run to millions: a range-sorted numbering, not a top-n in one task
+        ranked = ranked.filter(F.col("rank") <= candidates)
     chosen = first_independent(ranked, edges.select("src", "dst"), n)
     return chosen.select(F.col("id").alias("seed"), F.lit(float(value)).alias("value"), "rank")
 

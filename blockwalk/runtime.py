@@ -91,6 +91,14 @@ def release(table: DataFrame | None) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all working tables of this application; frames that read them stop working."""
+    for row in spark.sql("SHOW TABLES LIKE 'blockwalk_*'").collect():
+        spark.sql(f"DROP TABLE IF EXISTS {row['tableName']}")
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def iterate(state: DataFrame, step, rounds: int | None, done=None, cut_every: int = 1):
     """Run ``state = step(state, i)`` for i = 1..rounds (or until ``done(state)`` when None).
 

@@ -5,8 +5,10 @@ bound that does not grow with the data). Everything else treats those keys separ
 
 * ``join_unique``   - the other side has one row per key: at most 10,000 rows are broadcast.
 * ``join_small``    - the other side's row count is known: broadcast up to a fixed bound.
-* ``join_spread``   - both sides have many rows per key: hot rows are split over slots.
+* ``join_spread``   - many rows per key on both sides: the left side's hot rows are split
+  over slots; ``join_both`` does so for either side.
 * ``number_within`` - row numbers per key: hot keys are numbered over a range partitioning.
+* ``lead_within``   - the next row's value per key, hot keys through their row numbers.
 * ``in_chunks``     - lists per key, cut into bounded chunks.
 """
 
@@ -137,9 +139,20 @@ def join_slots(left: DataFrame, right: DataFrame, keys: list[str], hot: HotKeys
     """``join_spread`` with the hot keys of ``left`` already known."""
     if hot is None:
         return left.join(right, keys)
-    cold_rows, _ = split_hot(left, hot)
     spread = with_slot(left, hot).join(every_slot(right, hot), [*keys, "slot"]).drop("slot")
-    return cold_rows.join(right, keys).unionByName(spread)
+    return split_hot(left, hot)[0].join(right, keys).unionByName(spread)
+
+
+def join_both(
+    left: DataFrame, right: DataFrame, keys: list[str], hot_left: HotKeys | None, hot_rows: int | None = None
+) -> DataFrame:
+    """Inner join where either side may have hot keys; those of the left side are known."""
+    hot = hot_keys(right, keys, hot_rows)
+    if hot is None:
+        return join_slots(left, right, keys, hot_left)
+    spread = every_slot(left, hot).join(with_slot(right, hot), [*keys, "slot"]).drop("slot")
+    rest = join_slots(split_hot(left, hot)[0], split_hot(right, hot)[0], keys, hot_left)
+    return rest.unionByName(spread.select(*rest.columns))
 
 
 def number_all(df: DataFrame, order: list[Column], out: str, start: int = 0) -> DataFrame:
@@ -199,6 +212,22 @@ def number_within(
     return cold.select(*df.columns, out).unionByName(numbered)
 
 
+def lead_within(
+    df: DataFrame, keys: list[str], order: list[Column], column: str, out: str, hot_rows: int | None = None
+) -> DataFrame:
+    """``column`` of the next row of the same key in ``order``, null on the last."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    hot = hot_keys(df, keys, hot_rows)
+    if hot is None:
+        return df.withColumn(out, F.lead(column).over(window))
+    cold_rows, hot_rows_ = split_hot(df, hot)
+    numbered = cut(number_within(hot_rows_, keys, order, "_row", hot_rows))
+    following = numbered.select(*keys, (F.col("_row") - 1).alias("_row"), F.col(column).alias(out))
+    # (key, row number) is unique on both sides
+    joined = numbered.join(following, [*keys, "_row"], "left").select(*df.columns, out)
+    return cold_rows.withColumn(out, F.lead(column).over(window)).select(*df.columns, out).unionByName(joined)
+
+
 def in_chunks(
     df: DataFrame,
     keys: list[str],

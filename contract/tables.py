@@ -6,21 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockwalk import Graph, build_graph, cut, with_edge_ids
+from blockwalk.skew import lead_within
 
-# co-purchase chains: consecutive parts of an order
+# co-purchase chains: consecutive different parts of an order, each pair once
 CHAINS = {
     "chain": "l_returnflag = 'R'",
     "sparse": "l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 25",
     "dense": "true",
 }
-_CHAIN_SQL = """
-SELECT DISTINCT src, dst FROM (
-  SELECT l_partkey AS src,
-         lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst
-  FROM {lineitem} WHERE {keep})
-WHERE dst IS NOT NULL AND src <> dst
-"""
-
 # graphs are laid out once per session and data folder; queries start from the laid-out tables
 _known: dict[tuple, object] = {}
 
@@ -42,8 +35,11 @@ def once(spark: SparkSession, sf_dir: str, name: str, make):
 
 def chain(spark: SparkSession, sf_dir: str, variant: str = "chain") -> Graph:
     def make():
-        sql = _CHAIN_SQL.format(lineitem="{lineitem}", keep=CHAINS[variant])
-        pairs = spark.sql(sql, lineitem=table(spark, sf_dir, "lineitem"))
+        lines = table(spark, sf_dir, "lineitem").filter(CHAINS[variant])
+        lines = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"))
+        # ties in line number are equal parts, so the order is total
+        steps = lead_within(lines, ["l_orderkey"], [F.col("l_linenumber"), F.col("src")], "src", "dst")
+        pairs = steps.filter("src <> dst").select("src", "dst").distinct()
         graph = build_graph(cut(with_edge_ids(pairs)))
         return Graph(cut(graph.vertices), graph.edges)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from blockwalk import Graph, from_edges
 from blockwalk.operators import algorithms, balance, blocks, metrics, ppr, relational, topics, walks
 from blockwalk.operators.seeds import top_degree_seeds
-from blockwalk.skew import hot_keys, in_chunks, join_spread, join_unique, number_all, number_within
+from blockwalk.skew import hot_keys, in_chunks, join_both, join_small, join_spread, join_unique, lead_within, number_all, number_within
 
 HOT = 5
 
@@ -48,6 +48,14 @@ def test_joins(plain):
         assert rows(join_unique(left, one, ["src"], how, HOT)) == rows(left.join(one, "src", how))
     many = left.select("src", F.col("dst").alias("other"))
     assert rows(join_spread(left, many, ["src"], HOT)) == rows(left.join(many, "src"))
+    # the right side owns the hot key
+    few = left.filter("edge_id % 9 = 0")
+    assert rows(join_both(few, many, ["src"], None, HOT)) == rows(few.join(many, "src"))
+    hot_left = hot_keys(left, ["src"], 20)
+    assert rows(join_both(left, many, ["src"], hot_left, HOT)) == rows(left.join(many, "src"))
+    for how in ("left_semi", "left_anti"):
+        assert rows(join_unique(left, one, ["src"], how, HOT)) == rows(left.join(one, "src", how))
+        assert rows(join_small(left, one, 10**9, ["src"], how)) == rows(left.join(one, "src", how))
     plan = join_spread(left, many, ["src"], HOT)._jdf.queryExecution().optimizedPlan().toString()
     assert "slot" in plan
 
@@ -56,6 +64,8 @@ def test_numbering(plain):
     order = [F.desc("dst"), F.asc("edge_id")]
     split = number_within(plain.edges, ["src"], order, "n", HOT)
     assert rows(split) == rows(number_within(plain.edges, ["src"], order, "n"))
+    after = lead_within(plain.edges, ["src"], [F.col("edge_id")], "dst", "next", HOT)
+    assert rows(after) == rows(lead_within(plain.edges, ["src"], [F.col("edge_id")], "dst", "next"))
     numbered = number_all(plain.edges, [F.desc("dst"), F.asc("edge_id")], "n", 1).orderBy("n").collect()
     assert [r["n"] for r in numbered] == list(range(1, 241))
     assert [(-r["dst"], r["edge_id"]) for r in numbered] == sorted((-r["dst"], r["edge_id"]) for r in numbered)
