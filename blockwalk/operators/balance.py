@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from ..runtime import bucket_count, cut, cut_bucketed, release, settled
 from ..skew import BROADCAST_ROWS, join_small, join_spread, number_all, number_within
 from .blocks import NO_BLOCK, edge_candidates
+from .relational import union_rows
 from .seeds import first_independent
 
 MAX_BLOCKS = 1_000_000
 _FEW = 999  # limits up to this get the partial group limit before the shuffle
+_TABLES = 16  # round tables kept apart before they are written together
 _SLOT_ROWS = 4_096  # smallest width of the number buckets of the residual range join
 _SLOT_PIECES = 50_000  # most buckets
 
@@ -224,24 +226,21 @@ def merge_blocks_overlap(sizes: DataFrame, members: DataFrame, parts: int, inter
     shared = {p: {} for p in load}
     fresh = [(r["block"], r["part"]) for r in opened]
     left = set(edge_count) - set(part_of)
-    owned = None
+    owned: list[DataFrame] = []  # (part, id) tables of the vertices taken in so far
     while left:
         taken_now = spark.createDataFrame(fresh, "block long, part int")
-        new = members.join(taken_now, "block").select("part", "id").distinct()
-        if owned is not None:
-            new = new.join(owned, ["part", "id"], "left_anti")
+        new = join_small(members, taken_now, len(fresh), ["block"]).select("part", "id").distinct()
+        if owned:
+            new = new.join(union_rows(*owned), ["part", "id"], "left_anti")
         new = cut(new)
-        next_owned = new if owned is None else cut(owned.unionByName(new))
+        owned = [*owned, new] if len(owned) < _TABLES else [cut(union_rows(*owned, new))]
         open_blocks = spark.createDataFrame([(b,) for b in left], "block long")
-        open_members = members.join(open_blocks, "block", "left_semi")
+        open_members = join_small(members, open_blocks, len(left), ["block"], "left_semi")
         gained = join_spread(new, open_members, ["id"]).groupBy("part", "block").agg(F.count(F.lit(1)).alias("n"))
         # at most partitions x blocks rows
         for r in gained.collect():
             shared[r["part"]][r["block"]] = shared[r["part"]].get(r["block"], 0) + r["n"]
-        if owned is not None:
-            release(owned)
-            release(new)
-        owned, fresh, stale = next_owned, [], set()
+        fresh, stale = [], set()
         while left:
             p = min(load, key=lambda q: (load[q], q))
             if p in stale:

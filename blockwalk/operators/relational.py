@@ -103,14 +103,17 @@ def subtract_edges(edges: DataFrame, removed: DataFrame) -> DataFrame:
     return edges.join(removed.select("edge_id"), "edge_id", "left_anti")
 
 
-def union_edges(*parts: DataFrame) -> DataFrame:
-    """Bag union."""
+def union_rows(*parts: DataFrame) -> DataFrame:
+    """Bag union by column name."""
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+union_edges = union_rows
+
+
 def set_sizes(members: DataFrame, a: Column, b: Column) -> DataFrame:
     """Sizes of two vertex sets' intersection and union; ``members`` holds (block, id)."""
     sides = members.filter(a | b).groupBy("id").agg(F.max(a).alias("in_a"), F.max(b).alias("in_b"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..runtime import cut, release
 from ..skew import join_unique, number_all
 from ..sources.seed_files import SEED_VALUE
-from .relational import degrees
+from .relational import degrees, union_rows
+
+_TABLES = 16  # round tables kept apart before they are written together
 
 
 def top_degree_seeds(edges: DataFrame, n: int, value: float = SEED_VALUE, by: str = "degree") -> DataFrame:
@@ -47,22 +49,19 @@ def first_independent(ranked: DataFrame, links: DataFrame, n: int | None = None)
     pairs = join_unique(join_unique(pairs, low, ["src"]), high, ["dst"])
     pairs = cut(pairs.select(F.least("a", "b").alias("better"), F.greatest("a", "b").alias("worse")).distinct())
     live = ranked.select("rank")
-    taken, n_pairs = None, pairs.count()
+    won, n_pairs = [], pairs.count()
     while True:
         beaten = pairs.select(F.col("worse").alias("rank")).distinct()
         winners = cut(live.join(beaten, "rank", "left_anti"))
-        taken_now = winners if taken is None else taken.unionByName(winners)
+        won.append(winners)
         adjacent = join_unique(
             pairs, winners.withColumnRenamed("rank", "better"), ["better"], "left_semi", at_most=n_pairs
         )
         dropped = adjacent.select(F.col("worse").alias("rank")).distinct()
-        next_live = cut(
-            live.join(winners, "rank", "left_anti").join(dropped, "rank", "left_anti")
-        )
-        taken = cut(taken_now)
-        # MIN over nothing is null: nothing is undecided any more
+        next_live = cut(live.join(winners, "rank", "left_anti").join(dropped, "rank", "left_anti"))
+        # the best rank still undecided; everything taken below it is final
         frontier = next_live.agg(F.min("rank").alias("r")).first()["r"]
-        if frontier is None or (n is not None and taken.filter(F.col("rank") < frontier).count() >= n):
+        if frontier is None or (n is not None and union_rows(*won).filter(F.col("rank") < frontier).count() >= n):
             break
         alive = next_live.withColumnRenamed("rank", "better")
         next_pairs = join_unique(pairs, alive, ["better"], "left_semi", at_most=n_pairs)
@@ -71,5 +70,7 @@ def first_independent(ranked: DataFrame, links: DataFrame, n: int | None = None)
         release(pairs)
         release(live)
         pairs, live = next_pairs, next_live
-    out = ranked.join(taken, "rank", "left_semi").select("id", "rank").orderBy("rank")
+        if len(won) >= _TABLES:
+            won = [cut(union_rows(*won))]
+    out = ranked.join(union_rows(*won), "rank", "left_semi").select("id", "rank").orderBy("rank")
     return out if n is None else out.limit(n)
