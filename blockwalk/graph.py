@@ -99,9 +99,10 @@ def _lay_out(graph: Graph, direction: str) -> Links:
     return Links(cold, spread, hot, graph.hot_rows)
 
 
-def with_edge_ids(edges: DataFrame, start: int = 1) -> DataFrame:
-    """Give edges ids in (src, dst) order; rankings break score ties by this id."""
-    return number_all(edges, [F.col("src"), F.col("dst")], "edge_id", start)
+def with_edge_ids(edges: DataFrame, start: int = 1, distinct: bool = False) -> DataFrame:
+    """Give edges ids in (src, dst) order; rankings break score ties by this id. ``distinct``
+    says that no (src, dst) pair repeats, which saves a pass."""
+    return number_all(edges, [F.col("src"), F.col("dst")], "edge_id", start, total=distinct)
 
 
 def build_graph(

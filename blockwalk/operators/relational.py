@@ -35,8 +35,9 @@ def neighbors(edges: DataFrame, direction: str = "out", chunk: int = 10_000, hot
     """Neighbor id lists (id, chunk, neighbors), sorted; lists longer than ``chunk`` continue
     in the next chunk."""
     at, to = ("src", "dst") if direction == "out" else ("dst", "src")
-    rows = edges.select(F.col(at).alias("id"), F.col(to).alias("to"))
-    return in_chunks(rows, ["id"], F.col("to"), [F.col("to")], "neighbors", chunk, hot_rows)
+    ids = [c for c in ("edge_id",) if c in edges.columns]
+    rows = edges.select(F.col(at).alias("id"), F.col(to).alias("to"), *ids)
+    return in_chunks(rows, ["id"], F.col("to"), [F.col(c) for c in ("to", *ids)], "neighbors", chunk, hot_rows)
 
 
 def in_edges(edges: DataFrame, columns: list[str] | None = None, chunk: int = 10_000, hot_rows: int | None = None) -> DataFrame:

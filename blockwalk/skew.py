@@ -155,31 +155,35 @@ def join_both(
     return rest.unionByName(spread.select(*rest.columns))
 
 
-def number_all(df: DataFrame, order: list[Column], out: str, start: int = 0) -> DataFrame:
+def number_all(df: DataFrame, order: list[Column], out: str, start: int = 0, total: bool = True) -> DataFrame:
     """Number all rows by ``order`` without passing them through one task: range partitions
-    are numbered locally and shifted by the sizes of the partitions before them."""
+    are numbered locally and shifted by the sizes of the partitions before them.
+
+    ``total`` says that no two rows tie. If rows may be identical, a tie column is written
+    first, so that equal rows spread over tasks and a repeated task places them the same way.
+    """
     spark = df.sparkSession
+    if not total:
+        df = cut(df.withColumn("_tie", F.monotonically_increasing_id()))
+        order = [*order, F.col("_tie")]
     placed = _placed(df, order)
     sizes = placed.groupBy("_pid").count().orderBy("_pid").collect()  # one row per partition
-    shifts, total = [], start
+    shifts, at = [], start
     for row in sizes:
-        shifts.append((row["_pid"], total))
-        total += row["count"]
+        shifts.append((row["_pid"], at))
+        at += row["count"]
     shift = spark.createDataFrame(shifts, "_pid int, _shift long")
     return (
         placed.join(F.broadcast(shift), "_pid")
         .withColumn(out, F.col("_pos") + F.col("_shift"))
-        .drop("_pid", "_pos", "_shift")
+        .drop("_pid", "_pos", "_shift", "_tie")
     )
 
 
 def _placed(df: DataFrame, order: list[Column]) -> DataFrame:
     """``df`` range partitioned and sorted by ``order``, with partition and position."""
-    # identical rows cannot be told apart by any key: the tie column spreads them too
-    tied = df.withColumn("_tie", F.monotonically_increasing_id())
-    ranged = tied.repartitionByRange(*order, F.col("_tie")).sortWithinPartitions(*order, F.col("_tie"))
-    spot = F.monotonically_increasing_id()
-    numbered = ranged.drop("_tie").withColumn("_spot", spot)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = ranged.withColumn("_spot", F.monotonically_increasing_id())
     return cut(
         numbered.withColumn("_pid", F.shiftright("_spot", _POS_BITS).cast("int"))
         .withColumn("_pos", F.col("_spot").bitwiseAND(F.lit((1 << _POS_BITS) - 1)))

@@ -14,14 +14,16 @@ def write_partitioned_edges(
 ) -> None:
     """Write ``src \\t dst`` text, one folder ``part=p`` per partition. Partitions too large
     for one task are written by several, as several files of the same folder."""
-    rows = edges.select(F.col(part).alias("part"), "src", "dst")
+    # the edge id lets equal edges go to different tasks
+    spread_by = [c for c in ("edge_id",) if c in edges.columns]
+    rows = edges.select(F.col(part).alias("part"), "src", "dst", *spread_by)
     hot = hot_keys(rows, ["part"], hot_rows)
     if hot is None:
         placed = rows.repartition("part")
     else:
         cold = split_hot(rows, hot)[0].withColumn("slot", F.lit(0))
         placed = cold.unionByName(with_slot(rows, hot)).repartition("part", "slot").drop("slot")
-    placed.write.mode(mode).partitionBy("part").csv(path, sep="\t")
+    placed.select("part", "src", "dst").write.mode(mode).partitionBy("part").csv(path, sep="\t")
 
 
 def read_partitioned_edges(spark: SparkSession, path: str) -> DataFrame:

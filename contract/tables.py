@@ -40,7 +40,7 @@ def chain(spark: SparkSession, sf_dir: str, variant: str = "chain") -> Graph:
         # ties in line number are equal parts, so the order is total
         steps = lead_within(lines, ["l_orderkey"], [F.col("l_linenumber"), F.col("src")], "src", "dst")
         pairs = steps.filter("src <> dst").select("src", "dst").distinct()
-        graph = build_graph(cut(with_edge_ids(pairs)))
+        graph = build_graph(cut(with_edge_ids(pairs, distinct=True)))
         return Graph(cut(graph.vertices), graph.edges)
 
     return once(spark, sf_dir, variant, make)

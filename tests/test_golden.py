@@ -186,6 +186,18 @@ def test_walks(micro, halves):
     assert ids == {k: (p or [k[0]])[-1] for k, p in PATHS.items()}
 
 
+def test_walk_lengths(spark, micro):
+    lengths = walks.walk_lengths(4000, 0.15, spark=spark)
+    rows = [r["length"] for r in lengths.collect()]
+    assert min(rows) == 1 and sum(rows) / len(rows) == pytest.approx(1 / 0.15, rel=0.05)
+    hubs = spark.createDataFrame([(1, 1.0), (5, 1.0), (2, 0.0)], "seed long, value double")
+    got = walks.hub_walks(micro, hubs, rows[:6]).collect()
+    # hub 1 never meets a sink: its own start visits plus every hop; hub 5 is one
+    assert sum(r["n"] for r in got if r["hub"] == 1) == 6 + sum(rows[:6])
+    assert [(r["id"], r["n"]) for r in got if r["hub"] == 5] == [(5, 6)]
+    assert {r["hub"] for r in got} == {1, 5}
+
+
 @pytest.fixture(scope="module")
 def topical(spark, micro):
     labels = {(1, 2): ["a", "b"], (1, 3): ["a"], (2, 3): ["a", "b"], (3, 1): ["b"], (4, 3): ["a"], (4, 5): ["b"], (6, 7): ["a"]}

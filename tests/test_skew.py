@@ -8,7 +8,7 @@ import pytest
 from helpers import random_pairs
 from pyspark.sql import functions as F
 
-from blockwalk import Graph, from_edges
+from blockwalk import Graph, from_edges, with_edge_ids
 from blockwalk.operators import algorithms, balance, blocks, metrics, ppr, relational, topics, walks
 from blockwalk.operators.seeds import top_degree_seeds
 from blockwalk.skew import hot_keys, in_chunks, join_both, join_small, join_spread, join_unique, lead_within, number_all, number_within
@@ -73,7 +73,13 @@ def test_numbering(plain):
 
 def test_identical_rows_are_numbered_apart(spark):
     same = spark.range(50).select(F.lit(3).alias("src"), F.lit(4).alias("dst"))
-    assert sorted(r["n"] for r in number_all(same, [F.col("src"), F.col("dst")], "n").collect()) == list(range(50))
+    assert sorted(r["n"] for r in number_all(same, [F.col("src"), F.col("dst")], "n", total=False).collect()) == list(range(50))
+
+
+def test_multigraph_edge_ids(spark):
+    pairs = spark.createDataFrame([(2, 1), (1, 2), (1, 2), (1, 1), (1, 2)], "src long, dst long")
+    got = with_edge_ids(pairs).orderBy("edge_id").collect()
+    assert [(r["edge_id"], r["src"], r["dst"]) for r in got] == [(1, 1, 1), (2, 1, 2), (3, 1, 2), (4, 1, 2), (5, 2, 1)]
 
 
 def test_lists_are_chunked(plain):
