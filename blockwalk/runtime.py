@@ -8,6 +8,7 @@ executor-local blocks.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,6 +35,11 @@ def work_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/blockwalk/{sc.applicationId}"
 
 
+def _table_prefix(spark: SparkSession) -> str:
+    """Catalog names of this application's bucketed tables start with this."""
+    return "blockwalk_" + re.sub(r"\W", "_", spark.sparkContext.applicationId).lower()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a parquet working table and return a frame reading it."""
     spark = df.sparkSession
@@ -60,7 +66,7 @@ def cut_bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     """Materialise ``df`` bucketed and sorted on ``keys``: later joins and aggregates on those
     keys need no exchange of this side."""
     spark = df.sparkSession
-    name = f"blockwalk_{uuid.uuid4().hex}"
+    name = f"{_table_prefix(spark)}_{uuid.uuid4().hex}"
     path = f"{work_root(spark)}/{name}"
     (
         df.repartition(buckets, *keys)
@@ -93,7 +99,7 @@ def release(table: DataFrame | None) -> None:
 
 def clear(spark: SparkSession) -> None:
     """Delete all working tables of this application; frames that read them stop working."""
-    for row in spark.sql("SHOW TABLES LIKE 'blockwalk_*'").collect():
+    for row in spark.sql(f"SHOW TABLES LIKE '{_table_prefix(spark)}_*'").collect():
         spark.sql(f"DROP TABLE IF EXISTS {row['tableName']}")
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_root(spark))
     root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
