@@ -75,4 +75,21 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM doc d LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op1_mixing": _mixing(), "op2_warc": _WARC, "op7_decontamination": _DECONTAMINATION}
+_SHINGLES = f"""
+doc AS (SELECT doc_id, coalesce({_WORDS.format(_LOWER.format('text'))}, []) AS w FROM documents),
+  gram AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 3) - 1], ' ') AS g
+    FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS i FROM doc WHERE len(w) > 0)),
+  size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+  shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM gram x JOIN gram y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+  link AS (
+    SELECT a, b FROM shared JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b WHERE 100 * c >= 90 * (s.n + t.n - c)),
+  reach(id, r) AS (SELECT doc_id, doc_id FROM doc UNION SELECT id, b FROM reach JOIN link ON r = a)
+"""
+_NGRAM_JOIN = f"""
+WITH RECURSIVE {_SHINGLES}
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM doc LEFT JOIN size USING (doc_id) JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) ON id = doc_id
+"""
+
+ORACLE: dict[str, str] = {"op1_mixing": _mixing(), "op2_warc": _WARC, "op3_ngram_join": _NGRAM_JOIN, "op7_decontamination": _DECONTAMINATION}

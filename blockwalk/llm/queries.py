@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, work_root
-from . import decontam, langid, mixing, warc
+from . import decontam, langid, mixing, ngram_join, warc
 from .shipping import ship
 from .text import held_out
 
@@ -32,6 +32,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(cut(warc.read_archives(files)))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_windows(docs, _table(spark, sf_dir, "benchmark"))
@@ -48,5 +52,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_warc, op7_decontamination, op9_language_id)
+    f.__name__: f for f in (op1_mixing, op2_warc, op3_ngram_join, op7_decontamination, op9_language_id)
 }
