@@ -92,4 +92,47 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
 FROM doc LEFT JOIN size USING (doc_id) JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) ON id = doc_id
 """
 
-ORACLE: dict[str, str] = {"op1_mixing": _mixing(), "op2_warc": _WARC, "op3_ngram_join": _NGRAM_JOIN, "op7_decontamination": _DECONTAMINATION}
+# the base patterns as given, and the two that the method adds; with score, bonus and context
+_PII = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 9, 1, "true", r"e-?mail|contact|write|courriel|correo|kontakt"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 6, 3,
+     "len(list_filter(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS HUGEINT), 999) > 255)) = 0", "x"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", 8, 2,
+     "length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN (length(digits) - i) % 2 = 0 "
+     "THEN digits[i]::INT ELSE digits[i]::INT * 2 - CASE WHEN digits[i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0", "x"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 6, 3, "length(digits) BETWEEN 9 AND 15", "x"),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", 8, 2,
+     "length(plain) BETWEEN 15 AND 34 AND list_reduce(list_concat([0], list_transform(string_split(plain[5:] || plain[:4], ''), "
+     "lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda a, x: (a * CASE WHEN x >= 10 THEN 100 ELSE 10 END + x) % 97) = 1", "x"),
+    ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 3, 6, "true", "ssn|social security"),
+)
+
+
+def _pii() -> str:
+    parts = []
+    for k, (name, pattern, score, bonus, valid, context) in enumerate(_PII):
+        near = f"regexp_matches(lower(right(gap, 40) || ' ' || left(after, 40)), '{context}')"
+        parts.append(f"""
+    SELECT doc_id, {k} AS kind, '{name}' AS name, pos AS start_at, pos + length(hit) AS end_at
+    FROM (
+      SELECT doc_id, hits[i] AS hit, gaps[i] AS gap, gaps[i + 1] AS after, regexp_replace(hits[i], '[^0-9]', '', 'g') AS digits,
+             replace(hits[i], ' ', '') AS plain,
+             list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS pos
+      FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+        SELECT doc_id, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS gaps FROM doc)))
+    WHERE {valid} AND {score} + CASE WHEN {near} THEN {bonus} ELSE 0 END >= 5""")
+    count = ", ".join(f"count(*) FILTER (name = '{n}') AS n_{n}" for n in ("email", "ip", "card", "phone"))
+    return f"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  span AS ({" UNION ALL ".join(parts)}),
+  found AS (
+    SELECT doc_id, {count}, string_agg(name || ':' || start_at::BIGINT || ':' || end_at::BIGINT, ',' ORDER BY start_at, kind) AS spans,
+           string_agg(name || ':' || start_at::BIGINT || ':' || end_at::BIGINT, ',' ORDER BY start_at, kind) FILTER (kind < 4) AS base
+    FROM span GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card,
+       coalesce(n_phone, 0)::BIGINT AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc LEFT JOIN found USING (doc_id)
+"""
+
+
+ORACLE: dict[str, str] = {"op1_mixing": _mixing(), "op2_warc": _WARC, "op3_ngram_join": _NGRAM_JOIN, "op5_pii": _pii(), "op7_decontamination": _DECONTAMINATION}

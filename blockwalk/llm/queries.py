@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, work_root
-from . import decontam, langid, mixing, ngram_join, warc
+from . import decontam, langid, mixing, ngram_join, pii, warc
 from .shipping import ship
 from .text import held_out
 
@@ -36,6 +36,15 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = {f"n_{k.name}": pii.how_many(F.col("pii"), k.name) for k in pii.KINDS if k.base}
+    return found.select(
+        "doc_id", *[c.alias(n) for n, c in count.items()],
+        F.sha2(pii.listed(pii.base_spans(F.col("pii"))).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"),
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_windows(docs, _table(spark, sf_dir, "benchmark"))
@@ -52,5 +61,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_warc, op3_ngram_join, op7_decontamination, op9_language_id)
+    f.__name__: f for f in (op1_mixing, op2_warc, op3_ngram_join, op5_pii, op7_decontamination, op9_language_id)
 }
