@@ -59,8 +59,9 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), max_copies: int = 3) ->
 def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=(1, 2, 3),
     max_copies: int = 3, preference: Column | None = None, seed: str = "mix", passes: int = 3,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(key, source, size, source_size, target, copies, taken), one row per row of ``docs``.
+    """(key, source, size, source_size, target, copies, taken, *carry), one row per row of ``docs``.
 
     ``preference`` (positive, default 1) makes inclusion unequal inside a source: a document
     expects ``target * preference / sum(preference * size)`` copies, at most ``max_copies``.
@@ -69,14 +70,14 @@ def mix(
 
     Null or empty text has size 0 and takes 0; a null source is a source; null keys share one
     random number; repeated rows are separate documents; no rows give no rows. Other columns of
-    ``docs`` are ignored. Every step either shuffles sums (sources x 4,096 at most per task) or
+    ``docs`` are ignored, but for those named in ``carry``. Every step either shuffles sums (sources x 4,096 at most per task) or
     joins one row per source; the exact ranking is only formed inside one of 4,096 x 4,096
     slices of a source, so a source with a third of all rows is never gathered.
     """
     sized = docs.select(
         F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
         F.coalesce(preference if preference is not None else F.lit(1.0), F.lit(1.0)).cast("double").alias("pref"),
-        uniform(F.col(key), seed).alias("u"),
+        uniform(F.col(key), seed).alias("u"), *[F.col(c).alias(f"carried_{c}") for c in carry],
     )
     sized = cut(sized.withColumn("name", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))))
     sums = sized.groupBy("name", "source").agg(
@@ -99,7 +100,7 @@ def mix(
         state = _fill(state)
     return state.select(
         F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"),
+        (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"carried_{c}").alias(c) for c in carry],
     )
 
 
