@@ -135,4 +135,23 @@ FROM doc LEFT JOIN found USING (doc_id)
 """
 
 
-ORACLE: dict[str, str] = {"op1_mixing": _mixing(), "op2_warc": _WARC, "op3_ngram_join": _NGRAM_JOIN, "op5_pii": _pii(), "op7_decontamination": _DECONTAMINATION}
+_EMBEDDING_JOIN = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+  ok AS (
+    SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+    WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  link AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+      ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND a.norm > 0 AND b.norm > 0
+     AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+  reach(id, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT id, b FROM reach JOIN link ON r = a),
+  low AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+  degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN low ON id = vec_id LEFT JOIN degree ON a = vec_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_mixing": _mixing(), "op2_warc": _WARC, "op3_ngram_join": _NGRAM_JOIN, "op5_pii": _pii(), "op7_decontamination": _DECONTAMINATION,
+    "op10_embedding_join": _EMBEDDING_JOIN,
+}

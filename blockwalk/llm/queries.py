@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, work_root
-from . import decontam, langid, mixing, ngram_join, pii, warc
+from . import decontam, embed_join, langid, mixing, ngram_join, pii, toxicity, warc
 from .shipping import ship
 from .text import held_out
 
@@ -54,12 +54,24 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    model = toxicity.learn(docs, labels)
+    scored = toxicity.score(docs.withColumn("held_out", held_out(F.col("doc_id"))), model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
     profiles = langid.learn_profiles(docs.filter("not held_out"))
     return langid.identify(docs.select("doc_id", "text", "held_out"), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_join.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_warc, op3_ngram_join, op5_pii, op7_decontamination, op9_language_id)
+    f.__name__: f for f in (op1_mixing, op2_warc, op3_ngram_join, op5_pii, op7_decontamination, op8_toxicity, op9_language_id, op10_embedding_join)
 }
