@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, work_root
-from . import decontam, embed_join, langid, mixing, ngram_join, pii, toxicity, warc
+from . import decontam, embed_join, langid, licenses, mixing, ngram_join, pii, token_counts, toxicity, warc
 from .shipping import ship
 from .text import held_out
 
@@ -36,6 +36,14 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.size("notices").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("notices.license")), ",").alias("licenses"),
+        F.coalesce(F.array_max("notices.difference"), F.lit(0.0)).alias("most_different"),
+    )
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = {f"n_{k.name}": pii.how_many(F.col("pii"), k.name) for k in pii.KINDS if k.base}
@@ -45,6 +53,18 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: a public byte-level vocabulary of 50,256 pieces
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    with open(vocabulary, encoding="ascii") as lines:
+        automaton = token_counts.build(token_counts.read_vocabulary(lines))
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), automaton).select(
+        "doc_id", "n_words", "n_tokens"
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_windows(docs, _table(spark, sf_dir, "benchmark"))
@@ -73,5 +93,5 @@ def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_warc, op3_ngram_join, op5_pii, op7_decontamination, op8_toxicity, op9_language_id, op10_embedding_join)
+    f.__name__: f for f in (op1_mixing, op2_warc, op3_ngram_join, op4_licenses, op5_pii, op6_token_counts, op7_decontamination, op8_toxicity, op9_language_id, op10_embedding_join)
 }
