@@ -38,7 +38,7 @@ NAMES = {
     "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC-BY-ND-4.0": ["CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"],
 }
-PHRASES = ["Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "SPDX-License-Identifier: {}"]
+PHRASES = ["Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "SPDX-License-Identifier: {}"]
 NOTICES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
     "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, "
@@ -59,7 +59,7 @@ NOTICES = {
 #: only lines with one of these can begin a notice
 TRIGGERS = [b"licens", b"licenc", b"permission", b"redistribut", b"source code form", b"released under"]
 #: a notice may differ from its template in so many of the template's words, but in none that name the license
-DIFFERENT = 0.15
+DIFFERENT = 0.1
 #: templates whose saving is that near the best are compared as well
 CLOSE = 0.1
 
