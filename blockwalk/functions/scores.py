@@ -1,8 +1,7 @@
 """Ranking rule and score maps.
 
-Scores are compared in single precision: a double sum depends on the order of its terms, and
-rounding to 24 bits keeps that noise from deciding which of two equal scores ranks first.
-Ties go to the smaller seed (or edge id).
+Seed scores are whole multiples of ``1 / UNIT``, so their sums are exact whatever the order of the
+terms, and are compared as they are. Ties go to the smaller seed (or edge id).
 """
 
 from __future__ import annotations
@@ -11,8 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: parts of one unit of mass; sums stay exact in a double up to 2^53 / UNIT = 8,388,608
+UNIT = 1 << 30
+
+
 def rank_key(score: str = "score") -> Column:
-    return F.col(score).cast("float")
+    return F.col(score)
 
 
 def top_k(df: DataFrame, k: int, keys: list[str], score: str = "score", tie: str = "seed", rank: str | None = None) -> DataFrame:
@@ -61,6 +64,6 @@ def merge_arrays(a: Column, b: Column, k: int) -> Column:
     summed = F.map_entries(map_add(as_map(a), as_map(b)))
     keyed = F.transform(
         summed,
-        lambda e: F.struct((-e["value"].cast("float")).alias("key"), e["key"].alias("seed"), e["value"].alias("score")),
+        lambda e: F.struct((-e["value"]).alias("key"), e["key"].alias("seed"), e["value"].alias("score")),
     )
     return F.transform(F.slice(F.sort_array(keyed), 1, k), _seed_score)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import bucket_count, cut, cut_bucketed
-from .skew import HotKeys, every_slot, hot_keys, join_beside, number_all, split_hot, with_slot
+from .skew import HotKeys, every_slot, hot_keys, join_beside, join_known, number_all, split_hot, with_slot
 
 
 @dataclass
@@ -73,8 +73,20 @@ class Links:
         if hot is None:
             return self._pairs(keyed)
         everything = self.cold if self.hot is None else self.cold.unionByName(self.hot.drop("slot"))
-        spread = with_slot(keyed, hot).join(every_slot(everything, hot), ["at", "slot"]).drop("slot")
-        return self._pairs(split_hot(keyed, hot)[0]).unionByName(spread)
+        calm, crowded = split_hot(keyed, hot)
+        spread = join_known(crowded, split_hot(everything, hot)[1], ["at"], hot, self.hot_ids)
+        pairs = self._pairs(calm)
+        return pairs.unionByName(spread.select(*pairs.columns))
+
+    def with_sender(self, values: DataFrame) -> DataFrame:
+        """Every edge with the columns of ``values`` (one row per ``id``) of its sending end, null
+        where there is none. The bucketed edges do not move."""
+        keyed = values.withColumnRenamed("id", "at")
+        out = self.cold.join(keyed, "at", "left")
+        if self.hot is None:
+            return out
+        few = keyed.join(F.broadcast(self.hot_ids.table.select("at")), "at", "left_semi")
+        return out.unionByName(self.hot.drop("slot").join(F.broadcast(few), "at", "left"))
 
     def _pairs(self, keyed: DataFrame) -> DataFrame:
         pairs = keyed.join(self.cold, "at")
@@ -133,13 +145,15 @@ def message_step(
     merge: dict[str, Column],
     by: tuple[str, ...] = (),
     active: Column | None = None,
+    many: bool = False,
 ) -> DataFrame:
-    """One round of send-along-edge and merge.
+    """One round of send-along-edge and merge. ``many``: ``state`` may have any number of rows
+    per vertex.
 
     ``active`` picks the sending rows of ``state``; ``send`` builds the message columns from
     state and edge columns; ``merge`` aggregates them per receiver (and ``by``). All three are
     column expressions, so Catalyst prunes, pushes down and combines map-side.
     """
     senders = state if active is None else state.filter(active)
-    sent = links.join(senders).select(F.col("to").alias("id"), *[c.alias(n) for n, c in send.items()])
+    sent = links.join(senders, many).select(F.col("to").alias("id"), *[c.alias(n) for n, c in send.items()])
     return sent.groupBy("id", *by).agg(*[c.alias(n) for n, c in merge.items()])

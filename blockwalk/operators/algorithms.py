@@ -141,7 +141,7 @@ def shortest_paths(graph: Graph, landmarks: DataFrame, max_rounds: int | None =
     def step(state, _):
         found = message_step(
             links, state, {"landmark": F.col("landmark"), "hops": F.col("hops") + 1}, {"hops": F.min("hops")},
-            by=("landmark",), active=F.col("fresh"),
+            by=("landmark",), active=F.col("fresh"), many=True,
         )
         known = state.select("id", "landmark", F.col("hops").alias("old"), F.lit(None).cast("int").alias("new"))
         offered = found.select("id", "landmark", F.lit(None).cast("int").alias("old"), F.col("hops").alias("new"))

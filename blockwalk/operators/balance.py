@@ -56,7 +56,7 @@ def capped_assign(
     if room is None:
         cap = default_cap(n_edges, len(seed_ids)) if cap is None else cap
         room = {s: cap for s in seed_ids}
-    listed = edge_candidates(profiles).select("edge_id", "rank", "seed", F.col("score").cast("float").alias("key"))
+    listed = edge_candidates(profiles).select("edge_id", "rank", "seed", F.col("score").alias("key"))
     allowed = spark.createDataFrame([(s,) for s in seed_ids], "seed long")
     listed = join_small(listed, allowed, len(seed_ids), ["seed"], "left_semi")
     # profiles are bounded lists, so buckets are sized by edges
@@ -64,7 +64,7 @@ def capped_assign(
     bars: dict[int, tuple[float, int]] = {s: (float("inf"), 0) for s in seed_ids if room.get(s, 0) <= 0}
     picks = None
     while True:
-        bar_table = spark.createDataFrame([(s, k, e) for s, (k, e) in bars.items()], "seed long, bar float, bar_edge long")
+        bar_table = spark.createDataFrame([(s, k, e) for s, (k, e) in bars.items()], "seed long, bar double, bar_edge long")
         is_open = (
             F.col("bar").isNull()
             | (F.col("key") > F.col("bar"))
@@ -107,7 +107,7 @@ def partial_reschedule(
     keep = int(cap * (1 - share))
     best = F.get("profile", F.lit(0))
     own = profiles.filter(F.size("profile") > 0).select(
-        "edge_id", "src", "dst", best["seed"].alias("block"), best["score"].cast("float").alias("key")
+        "edge_id", "src", "dst", best["seed"].alias("block"), best["score"].alias("key")
     )
     placed = number_within(own, ["block"], [F.desc("key"), F.asc("edge_id")], "place", hot_rows)
     kept = cut(placed.filter(F.col("place") <= keep).select("edge_id", "src", "dst", "block"))
@@ -261,12 +261,14 @@ def part_sizes(sizes: DataFrame, merge: DataFrame) -> DataFrame:
 
 def water_fill(sizes: DataFrame, residual: int) -> DataFrame:
     """(part, n_edges, quota): spread ``residual`` edges so the smallest partitions rise
-    together; what does not divide goes to the smallest.
+    together; what does not divide goes to the smallest. No partitions, no rows.
 
     Closed form over the partition table: the k smallest rise to one level, k the largest
     count for which reaching the k-th size costs no more than the residual.
     """
     rows = sorted((r["n_edges"], r["part"]) for r in block_rows(sizes, "part", "n_edges"))
+    if not rows:
+        return sizes.sparkSession.createDataFrame([], "part long, n_edges long, quota long")
     raised, total, filled = 0, 0, 0
     for k, (n, _) in enumerate(rows, 1):
         total += n
@@ -294,6 +296,8 @@ def materialize_partitions(blocks: DataFrame, merge: DataFrame, quotas: DataFram
 def balance_stats(sizes: DataFrame) -> DataFrame:
     """One row: integer average, SD over the integer average, their ratio, and stddev_pop."""
     total = sizes.agg(F.sum("n_edges").alias("s"), F.count(F.lit(1)).alias("p")).first()
+    if not total["p"]:
+        return sizes.sparkSession.createDataFrame([], "average long, sd double, stddev_pop double, sd_share double")
     average = total["s"] // total["p"]
     squares = f"sum((n_edges - {average}) * (n_edges - {average}))"
     return sizes.agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import merge_arrays, rank_key, score_array
+from ..functions.scores import UNIT, merge_arrays, rank_key, score_array
 from ..graph import Graph
 from ..runtime import cut, release
 from ..skew import join_small
@@ -22,25 +22,30 @@ def spread_mass(
     every out-neighbor (parallel edges each pass a share). Scores add up the untruncated
     arrivals; with ``topk`` both scores and arrivals then keep their k best seeds. ``fade``
     multiplies the old score where something arrives.
+
+    Mass is counted in whole parts of 1 / UNIT and shares are rounded down, so sums do not
+    depend on the order in which messages arrive.
     """
     links = graph.links("out")
     start = (
         seeds.filter(F.col("value") > 0)
         .groupBy("seed")
-        .agg(F.max("value").alias("score"))
+        .agg(F.round(F.max("value") * UNIT).cast("long").alias("score"))
         .join(graph.vertex_ids().withColumnRenamed("id", "seed"), "seed", "left_semi")
         .select(F.col("seed").alias("id"), "seed", "score", F.col("score").alias("inc"))
     )
     state = cut(start)
+    zero = F.lit(0).cast("long")
     for _ in range(rounds):
-        sent = links.join(state.filter(F.col("inc").isNotNull()).select("id", "seed", "inc"))
+        out = F.col("inc") if keep == 1 else F.floor(F.col("inc") * keep)
+        sent = links.join(state.filter(F.col("inc").isNotNull()).select("id", "seed", out.alias("_out")), many=topk is None)
         arrived = sent.select(
-            F.col("to").alias("id"), "seed", F.lit(0.0).alias("score"), (F.col("inc") / F.col("out_deg") * keep).alias("inc")
+            F.col("to").alias("id"), "seed", zero.alias("score"), F.expr("_out div out_deg").alias("inc")
         )
-        held = state.filter(F.col("score").isNotNull()).select("id", "seed", "score", F.lit(0.0).alias("inc"))
+        held = state.filter(F.col("score").isNotNull()).select("id", "seed", "score", zero.alias("inc"))
         both = arrived.unionByName(held).groupBy("id", "seed").agg(F.sum("score").alias("score"), F.sum("inc").alias("inc"))
         got = F.col("inc") > 0
-        old = F.col("score") if fade is None else F.when(got, F.col("score") * fade).otherwise(F.col("score"))
+        old = F.col("score") if fade is None else F.when(got, F.floor(F.col("score") * fade)).otherwise(F.col("score"))
         updated = both.withColumn("score", old + F.col("inc"))
         if topk is None:
             updated = updated.withColumn("inc", F.when(got, F.col("inc")))
@@ -64,7 +69,7 @@ def spread_mass(
         state = next_state
         if state.filter(F.col("inc").isNotNull()).isEmpty():
             break
-    return state.filter(F.col("score").isNotNull()).select("id", "seed", "score")
+    return state.filter(F.col("score").isNotNull()).select("id", "seed", (F.col("score") / UNIT).alias("score"))
 
 
 def propagate(graph: Graph, seeds: DataFrame, iterations: int, topk: int) -> DataFrame:
@@ -98,14 +103,14 @@ def edge_profiles(graph: Graph, scores: DataFrame, topk: int) -> DataFrame:
     """(edge_id, src, dst, profile): the ends' scores added per seed, best ``topk`` in order.
 
     The per-vertex scores travel as one array of at most k entries, and the two arrays are
-    merged inside the row: edges move once (to the join on ``dst``) and no (edge, seed) rows
-    are ever shuffled. ``scores`` must hold at most k rows per vertex, as ``propagate`` gives.
+    merged inside the row: edges start from the table bucketed by ``src``, move once (to the
+    join on ``dst``), and no (edge, seed) rows are ever shuffled. ``scores`` must hold at most
+    k rows per vertex, as ``propagate`` gives.
     """
     packed = cut(score_array(scores, "s"))
-    edges = graph.edges.select("edge_id", "src", "dst")
-    for end in ("src", "dst"):
-        side = packed.select(F.col("id").alias(end), F.col("s").alias(f"s_{end}"))
-        edges = graph.join_end(edges, end, side, "left")
+    sent = graph.links("out").with_sender(packed.withColumnRenamed("s", "s_src"))
+    edges = sent.select("edge_id", F.col("at").alias("src"), F.col("to").alias("dst"), "s_src")
+    edges = graph.join_end(edges, "dst", packed.select(F.col("id").alias("dst"), F.col("s").alias("s_dst")), "left")
     return edges.select("edge_id", "src", "dst", merge_arrays(F.col("s_src"), F.col("s_dst"), topk).alias("profile"))
 
 

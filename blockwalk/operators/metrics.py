@@ -95,7 +95,7 @@ def visits_by_distance(
     scored = inside.join(distances.select("id", "seed", "score"), ["id", "seed"], "left")
     scored = cut(scored.withColumn("score", F.coalesce("score", F.lit(0.0))))
     placed = number_within(
-        scored.withColumn("_key", F.col("score").cast("float")), ["part", "seed"], [F.desc("_key"), F.asc("id")], "_n", hot_rows
+        scored.withColumn("_key", F.col("score")), ["part", "seed"], [F.desc("_key"), F.asc("id")], "_n", hot_rows
     )
     size = scored.groupBy("part", "seed").agg(F.count(F.lit(1)).alias("_all"))
     grouped = join_unique(placed, size, ["part", "seed"], hot_rows=hot_rows)

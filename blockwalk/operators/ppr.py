@@ -45,6 +45,21 @@ def inverse_p_distance(
     return iterate(base, step, iterations)
 
 
+def inverse_p_distance_from(graph: Graph, sources: DataFrame, iterations: int, hop_factor: float = HOP_FACTOR) -> DataFrame:
+    """The rows of ``sources(id)`` in ``inverse_p_distance``, without the rest of the table: mass
+    flows forward from each source, so a round costs the edges that its sources have reached."""
+    links = graph.links("out")
+    state = cut(sources.select("id").distinct().select(F.col("id").alias("source"), "id", F.lit(1.0).alias("w")))
+    found = None
+    for _ in range(1 + iterations):
+        sent = links.join(state, many=True).withColumn("w", F.col("w") * (F.lit(hop_factor) / F.col("out_deg")))
+        arrived = cut(sent.groupBy("source", F.col("to").alias("id")).agg(F.sum("w").alias("w")))
+        part = arrived.select("source", F.col("id").alias("target"), F.col("w").alias("score"))
+        found = part if found is None else found.unionByName(part)
+        state = arrived
+    return found.groupBy(F.col("source").alias("id"), "target").agg(F.sum("score").alias("score"))
+
+
 def inverse_p_distance_with_length(
     graph: Graph, iterations: int, hop_factor: float = HOP_FACTOR, targets: DataFrame | None = None
 ) -> DataFrame:
@@ -77,21 +92,27 @@ def _add(*parts: DataFrame) -> DataFrame:
 
 
 def inverse_p_distance_doubling(
-    graph: Graph, rounds: int, hop_factor: float = HOP_FACTOR, mode: str = "exact", floor: float = 0.0
+    graph: Graph, rounds: int, hop_factor: float = HOP_FACTOR, mode: str = "exact", floor: float = 0.0,
+    targets: DataFrame | None = None,
 ) -> DataFrame:
     """Scores reaching 2, 4, 8 ... hops by composing tables with themselves.
 
     ``exact`` keeps the power and the sum (S + A S, A A) and equals ``inverse_p_distance`` at
     depth 2^rounds; ``recurrence`` is D + D D, which counts some paths more than once.
-    ``floor`` drops smaller scores after each round to bound the table.
+    ``floor`` drops smaller scores after each round to bound the table. ``targets(id)`` limits
+    the last table, whose rounds then only compose towards those vertices.
     """
     sums = cut(_one_hop(graph, hop_factor, None))
     power = sums
+    if targets is not None and rounds == 0:
+        return _one_hop(graph, hop_factor, targets)
+    wanted = None if targets is None else targets.select(F.col("id").alias("target"))
     for i in range(rounds):
+        toward = sums if wanted is None or i + 1 < rounds else sums.join(wanted, "target", "left_semi")
         if mode == "recurrence":
-            new_sums = _add(sums, _compose(sums, sums, graph.hot_rows))
+            new_sums = _add(toward, _compose(sums, toward, graph.hot_rows))
         else:
-            new_sums = _add(sums, _compose(power, sums, graph.hot_rows))
+            new_sums = _add(toward, _compose(power, toward, graph.hot_rows))
         new_sums = cut(new_sums.filter(F.col("score") > floor))
         if mode == "exact" and i + 1 < rounds:
             new_power = cut(_compose(power, power, graph.hot_rows).filter(F.col("score") > floor))

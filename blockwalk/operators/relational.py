@@ -127,6 +127,17 @@ def reduce_by_key(rows: DataFrame, keys: list[str], **aggregates: Column) -> Dat
     return rows.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
+def counters(graph: Graph) -> DataFrame:
+    """(counter, value): rows, loops and id sums of a graph's edge and vertex tables."""
+    edges = graph.edges.agg(
+        F.count(F.lit(1)).alias("edges"), F.count_if(F.col("src") == F.col("dst")).alias("loops"),
+        F.coalesce(F.sum("src"), F.lit(0)).alias("src_sum"), F.coalesce(F.sum("dst"), F.lit(0)).alias("dst_sum"),
+    )
+    vertices = graph.vertices.agg(F.count(F.lit(1)).alias("vertices"), F.coalesce(F.sum("id"), F.lit(0)).alias("id_sum"))
+    long = [t.unpivot([], t.columns, "counter", "value") for t in (edges, vertices)]
+    return long[0].unionByName(long[1])
+
+
 def top_n(rows: DataFrame, n: int, order: list[Column]) -> DataFrame:
     """Global top-n: each task keeps n rows before the final merge."""
     return rows.orderBy(*order).limit(n)

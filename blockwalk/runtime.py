@@ -27,7 +27,7 @@ def work_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not root:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="blockwalk-")
         sc.setCheckpointDir(root)

@@ -6,7 +6,8 @@ bound that does not grow with the data). Everything else treats those keys separ
 * ``join_unique``   - the other side has one row per key: at most 10,000 rows are broadcast.
 * ``join_small``    - the other side's row count is known: broadcast up to a fixed bound.
 * ``join_spread``   - many rows per key on both sides: the left side's hot rows are split
-  over slots; ``join_both`` does so for either side.
+  over slots; ``join_both`` does so for either side, and over a grid of slots for keys that
+  are hot on both, so a task never meets more than ``limit`` rows of either side.
 * ``number_within`` - row numbers per key: hot keys are numbered over a range partitioning.
 * ``lead_within``   - the next row's value per key, hot keys through their row numbers.
 * ``in_chunks``     - lists per key, cut into bounded chunks.
@@ -30,7 +31,8 @@ _POS_BITS = 33  # monotonically_increasing_id: partition in the high bits, posit
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys with more than ``limit`` rows; ``table`` holds the keys and ``fan`` (slots)."""
+    """Keys with more than ``limit`` rows; ``table`` holds the keys and ``fan`` (slots). A slot
+    holds about ``hot_rows`` rows, a constant, however large the table is."""
 
     table: DataFrame
     keys: tuple[str, ...]
@@ -64,7 +66,7 @@ def hot_keys(
         .groupBy(*keys)
         .count()
         .filter(F.col("count") > limit)
-        .select(*keys, F.ceil(F.col("count") / F.lit(limit)).cast("int").alias("fan"))
+        .select(*keys, F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("fan"))
     )
     rows = found.collect()
     if not rows:
@@ -147,12 +149,32 @@ def join_both(
     left: DataFrame, right: DataFrame, keys: list[str], hot_left: HotKeys | None, hot_rows: int | None = None
 ) -> DataFrame:
     """Inner join where either side may have hot keys; those of the left side are known."""
-    hot = hot_keys(right, keys, hot_rows)
-    if hot is None:
+    return join_known(left, right, keys, hot_left, hot_keys(right, keys, hot_rows))
+
+
+def join_known(left: DataFrame, right: DataFrame, keys: list[str], hot_left: HotKeys | None, hot_right: HotKeys | None) -> DataFrame:
+    """Inner join with the hot keys of both sides known. A key hot on one side is split there and
+    copied on the other; a key hot on both gets a grid: each side is split over its own slots
+    and copied to the other's."""
+    if hot_right is None:
         return join_slots(left, right, keys, hot_left)
-    spread = every_slot(left, hot).join(with_slot(right, hot), [*keys, "slot"]).drop("slot")
-    rest = join_slots(split_hot(left, hot)[0], split_hot(right, hot)[0], keys, hot_left)
-    return rest.unionByName(spread.select(*rest.columns))
+    if hot_left is None:
+        spread = every_slot(left, hot_right).join(with_slot(right, hot_right), [*keys, "slot"]).drop("slot")
+        rest = split_hot(left, hot_right)[0].join(split_hot(right, hot_right)[0], keys)
+        return rest.unionByName(spread.select(*rest.columns))
+    ours, theirs = hot_left.table, hot_right.table
+    only = lambda a, b, hot: HotKeys(a.join(F.broadcast(b.select(*keys)), keys, "left_anti"), tuple(keys), hot.limit)
+    rest = join_known(
+        split_hot(left, hot_right)[0], split_hot(right, hot_right)[0], keys, only(ours, theirs, hot_left), None
+    )
+    wide = only(theirs, ours, hot_right)
+    spread = every_slot(left, wide).join(with_slot(right, wide), [*keys, "slot"]).drop("slot")
+    both_left = HotKeys(ours.join(F.broadcast(theirs.select(*keys)), keys, "left_semi"), tuple(keys), hot_left.limit)
+    both_right = HotKeys(theirs.join(F.broadcast(ours.select(*keys)), keys, "left_semi"), tuple(keys), hot_right.limit)
+    rows = every_slot(with_slot(left, both_left, "row"), both_right, "column")
+    columns = every_slot(with_slot(right, both_right, "column"), both_left, "row")
+    grid = rows.join(columns, [*keys, "row", "column"]).drop("row", "column")
+    return rest.unionByName(spread.select(*rest.columns)).unionByName(grid.select(*rest.columns))
 
 
 def number_all(df: DataFrame, order: list[Column], out: str, start: int = 0, total: bool = True) -> DataFrame:

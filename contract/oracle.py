@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import LANDMARKS, LENGTHS, PARTS, ROUNDS, SAMPLINGS, SEEDS, STEPS, TOPK
-from .tables import CHAINS
+from .queries import LANDMARKS, LENGTHS, OVERLAP, PARTS, PR_TOLERANCE, ROUNDS, SAMPLINGS, SEEDS, STEPS, TOPK
+from .tables import ORDER_SHIFT
 
 CHUNK = 10_000
 
@@ -15,12 +15,12 @@ def f32(expr: str) -> str:
 class Sql:
     """A growing WITH list; ``out`` closes it."""
 
-    def __init__(self, variant: str = "chain"):
+    def __init__(self):
         self.ctes: list[str] = []
-        self.add("pairs", f"""SELECT DISTINCT src, dst FROM (
+        self.add("pairs", """SELECT src, dst FROM (
             SELECT l_partkey AS src,
                    lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst
-            FROM lineitem WHERE {CHAINS[variant]}) WHERE dst IS NOT NULL AND src <> dst""")
+            FROM lineitem) WHERE dst IS NOT NULL AND src <> dst""")
         self.add("e", "SELECT row_number() OVER (ORDER BY src, dst) AS edge_id, src, dst FROM pairs")
         self.add("v", "SELECT DISTINCT id FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e)")
         self.add("od", "SELECT src AS id, count(*) AS d FROM e GROUP BY src")
@@ -39,30 +39,33 @@ class Sql:
         return "WITH RECURSIVE " + ",\n".join(self.ctes) + "\n" + select
 
 
-def seeded(sql: Sql) -> Sql:
+def seeded(sql: Sql, seeds: int = SEEDS) -> Sql:
     sql.add("deg", "SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id")
-    return sql.add("seeds", f"SELECT id AS seed, 100000.0::DOUBLE AS value FROM deg ORDER BY degree DESC, id DESC LIMIT {SEEDS}")
+    return sql.add("seeds", f"SELECT id AS seed, 100000.0::DOUBLE AS value FROM deg ORDER BY degree DESC, id DESC LIMIT {seeds}")
 
 
-def scored(sql: Sql) -> Sql:
+UNIT = 1 << 30  # mass is counted in whole parts of 1 / UNIT
+
+
+def scored(sql: Sql, seeds: int = SEEDS, rounds: int = ROUNDS) -> Sql:
     """Seed propagation: scores(id, seed, score)."""
-    seeded(sql)
-    sql.add("a0", "SELECT seed AS id, seed, value AS score FROM seeds")
-    sql.add("f0", "SELECT seed AS id, seed, value AS score FROM seeds")
-    for t in range(1, ROUNDS + 1):
+    seeded(sql, seeds)
+    sql.add("a0", f"SELECT seed AS id, seed, (value * {UNIT})::BIGINT AS score FROM seeds")
+    sql.add("f0", "SELECT * FROM a0")
+    for t in range(1, rounds + 1):
         p = t - 1
-        sql.add(f"m{t}", f"""SELECT ed.dst AS id, f.seed, sum(f.score / ed.d) AS score
+        sql.add(f"m{t}", f"""SELECT ed.dst AS id, f.seed, sum(f.score // ed.d)::BIGINT AS score
             FROM f{p} f JOIN ed ON ed.src = f.id GROUP BY ed.dst, f.seed""")
-        sql.add(f"s{t}", f"""SELECT id, seed, sum(score) AS score FROM
+        sql.add(f"s{t}", f"""SELECT id, seed, sum(score)::BIGINT AS score FROM
             (SELECT * FROM a{p} UNION ALL SELECT * FROM m{t}) GROUP BY id, seed""")
         sql.add(f"a{t}", top(f"s{t}"))
         sql.add(f"f{t}", top(f"m{t}"))
-    return sql.add("scores", f"SELECT * FROM a{ROUNDS}")
+    return sql.add("scores", f"SELECT id, seed, score / {UNIT}::DOUBLE AS score FROM a{rounds}")
 
 
 def top(name: str, keys: str = "id") -> str:
     return f"""SELECT * FROM {name} QUALIFY row_number() OVER
-        (PARTITION BY {keys} ORDER BY CAST(score AS FLOAT) DESC, seed) <= {TOPK}"""
+        (PARTITION BY {keys} ORDER BY score DESC, seed) <= {TOPK}"""
 
 
 def profiled(sql: Sql) -> Sql:
@@ -71,7 +74,7 @@ def profiled(sql: Sql) -> Sql:
         (SELECT edge_id, src AS id FROM e UNION ALL SELECT edge_id, dst FROM e) e
         JOIN scores s ON s.id = e.id GROUP BY e.edge_id, s.seed""")
     return sql.add("prof", f"""SELECT * FROM (SELECT *, row_number() OVER
-        (PARTITION BY edge_id ORDER BY CAST(score AS FLOAT) DESC, seed) AS rank FROM ends) WHERE rank <= {TOPK}""")
+        (PARTITION BY edge_id ORDER BY score DESC, seed) AS rank FROM ends) WHERE rank <= {TOPK}""")
 
 
 def blocked(sql: Sql) -> Sql:
@@ -103,11 +106,11 @@ def merged(sql: Sql) -> Sql:
         THEN (SELECT r FROM r) - (SELECT sum(base) FROM filled) ELSE 0 END AS quota FROM filled""")
 
 
-def refused(sql: Sql, cands: str, room: str, rounds: int = 16) -> Sql:
+def refused(sql: Sql, cands: str, room: str, rounds: int = 40) -> Sql:
     """Capped assignment of ``cands(edge_id, rank, seed, key)`` under ``room(seed, room)``: edges
     propose to their best seed still open, overfull seeds raise their bar. Rounds after the
     outcome is stable change nothing. Ends in picks(edge_id, seed)."""
-    sql.add("bar0", f"SELECT seed, 'inf'::FLOAT AS bar, 0::BIGINT AS bar_edge FROM {room} WHERE room <= 0")
+    sql.add("bar0", f"SELECT seed, 'inf'::DOUBLE AS bar, 0::BIGINT AS bar_edge FROM {room} WHERE room <= 0")
     for t in range(1, rounds + 1):
         sql.add(f"pick{t}", f"""SELECT c.edge_id, arg_min(c.seed, c.rank) AS seed, arg_min(c.key, c.rank) AS key
             FROM {cands} c LEFT JOIN bar{t - 1} b ON b.seed = c.seed
@@ -131,7 +134,7 @@ def block_sets(sql: Sql) -> Sql:
         JOIN (SELECT block, list(id) AS ids FROM bv GROUP BY block) USING (block)""")
 
 
-def opened(sql: Sql, parts: int = 4, share: float = 0.45) -> Sql:
+def opened(sql: Sql, parts: int = 4, share: float = OVERLAP) -> Sql:
     """The initial blocks: state after looking at i blocks; chosen blocks and their sets."""
     block_sets(sql)
     sql.recursive("o(i, chosen, sets, loads)", f"""
@@ -142,7 +145,7 @@ def opened(sql: Sql, parts: int = 4, share: float = 0.45) -> Sql:
           CASE WHEN ok THEN list_append(sets, bs.ids) ELSE sets END,
           CASE WHEN ok THEN list_append(loads, bs.n) ELSE loads END
         FROM (SELECT o.*, bs.block, bs.i AS bi, len(chosen) < {parts} AND len(list_filter(sets, lambda x:
-                len(list_intersect(x, bs.ids)) > {share} * least(len(x), len(bs.ids)))) = 0 AS ok
+                len(list_intersect(x, bs.ids)) > {share}::DOUBLE * least(len(x), len(bs.ids)))) = 0 AS ok
               FROM o JOIN bs ON bs.i = o.i + 1) s JOIN bs ON bs.i = s.bi""")
     return sql.add("start", "SELECT * FROM o ORDER BY i DESC LIMIT 1")
 
@@ -202,7 +205,10 @@ def visited(sql: Sql) -> Sql:
 
 
 def one_hop(sql: Sql, extra: str = "") -> Sql:
-    return sql.add("p0", f"SELECT src AS id, dst AS target, sum(0.15 / d) AS score {extra} FROM ed GROUP BY src, dst")
+    """Direct scores towards the seeds."""
+    seeded(sql)
+    return sql.add("p0", f"""SELECT src AS id, dst AS target, sum(0.15 / d) AS score {extra} FROM ed
+        WHERE dst IN (SELECT seed FROM seeds) GROUP BY src, dst""")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -222,7 +228,18 @@ def oracle_sql() -> dict[str, str]:
         QUALIFY row_number() OVER (PARTITION BY src % 50 ORDER BY src, dst) = 1""")
     o["partition_files"] = placed(Sql()).out("SELECT src, dst, part FROM placed")
     o["partition_contents"] = placed(Sql()).out(f"""SELECT part, chunk, string_agg(src || '-' || dst, ',' ORDER BY src, dst) AS contents
-        FROM (SELECT *, (row_number() OVER (PARTITION BY part ORDER BY src, dst) - 1) // {CHUNK} AS chunk FROM placed) GROUP BY 1, 2""")
+        FROM (SELECT *, (row_number() OVER (PARTITION BY part ORDER BY src, dst) - 1) // {CHUNK} AS chunk
+        FROM (SELECT DISTINCT part, src, dst FROM placed)) GROUP BY 1, 2""")
+    o["seed_round_trip"] = seeded(Sql()).out("SELECT seed, value, row_number() OVER (ORDER BY seed) - 1 AS rank FROM seeds")
+    o["flat_edge_files"] = Sql().out("SELECT count(*) AS n, sum(src)::BIGINT AS src, sum(dst)::BIGINT AS dst FROM e GROUP BY src % 3")
+    o["saved_vertices"] = Sql().out("""SELECT v.id, coalesce(od.d, 0)::BIGINT AS out_degree, coalesce(ind.d, 0)::BIGINT AS in_degree,
+        (coalesce(od.d, 0) + coalesce(ind.d, 0))::BIGINT AS degree FROM v LEFT JOIN od ON od.id = v.id LEFT JOIN ind ON ind.id = v.id""")
+    o["vertex_sample"] = "SELECT true AS is_subset, true AS near_a_tenth"
+    o["graph_counters"] = Sql().out("""SELECT 'edges' AS counter, count(*)::BIGINT AS value FROM e UNION ALL SELECT 'loops', count(*) FILTER (src = dst) FROM e
+        UNION ALL SELECT 'src_sum', sum(src)::BIGINT FROM e UNION ALL SELECT 'dst_sum', sum(dst)::BIGINT FROM e
+        UNION ALL SELECT 'vertices', count(*) FROM v UNION ALL SELECT 'id_sum', sum(id)::BIGINT FROM v""")
+    o["geometric_lengths"] = Sql().out("""SELECT id, greatest(1, ceil(ln(1.0::DOUBLE - (id % 97 + 0.5::DOUBLE) / 97.0::DOUBLE)
+        / ln(1.0::DOUBLE - 0.15::DOUBLE)))::BIGINT AS length FROM v""")
     # graph building blocks
     o["graph_vertices"] = Sql().add("given", """SELECT s_suppkey + 500000 AS id, s_nationkey::BIGINT AS n FROM supplier
         UNION ALL SELECT p_partkey, p_size::BIGINT FROM part""").out("""SELECT id, coalesce(n, -5)::BIGINT AS n FROM
@@ -266,10 +283,10 @@ def oracle_sql() -> dict[str, str]:
     # seeds and blocks
     o["top_degree_seeds"] = seeded(Sql()).out("SELECT seed, value FROM seeds")
     o["propagate"] = scored(Sql()).out(f"SELECT id, seed, {f32('score')} AS score FROM scores")
-    o["unvisited"] = scored(Sql("sparse")).add("hit", "SELECT DISTINCT id FROM scores").out("""
+    o["unvisited"] = scored(Sql(), 2, 1).add("hit", "SELECT DISTINCT id FROM scores").out("""
         SELECT 'vertices' AS kind, (SELECT count(*) FROM v WHERE id NOT IN (SELECT id FROM hit)) AS n
         UNION ALL SELECT 'edges', (SELECT count(*) FROM e WHERE src NOT IN (SELECT id FROM hit) AND dst NOT IN (SELECT id FROM hit))""")
-    o["unvisited_vertices"] = scored(Sql()).out("SELECT id FROM v WHERE id NOT IN (SELECT id FROM scores)")
+    o["unvisited_vertices"] = scored(Sql(), 2, 1).out("SELECT id FROM v WHERE id NOT IN (SELECT id FROM scores)")
     o["edge_profiles"] = profiled(Sql()).out(f"SELECT edge_id, rank, seed, {f32('score')} AS score FROM prof")
     o["assign_blocks"] = blocked(Sql()).out(f"SELECT edge_id, src, dst, block, {f32('score')} AS score FROM b")
     o["block_sizes"] = blocked(Sql()).out("SELECT block, count(*) AS n_edges FROM b WHERE block <> -1 GROUP BY block")
@@ -284,7 +301,7 @@ def oracle_sql() -> dict[str, str]:
         FROM scan JOIN ranked r ON r.rank = scan.i + 1 JOIN near ON near.id = r.id WHERE len(taken) < {SEEDS}""").out("""
         SELECT unnest(taken) AS seed, 100000.0::DOUBLE AS value, unnest(ranks) AS rank FROM (SELECT * FROM scan ORDER BY i DESC LIMIT 1)""")
     # balancing
-    cands = "SELECT edge_id, rank, seed, CAST(score AS FLOAT) AS key FROM prof"
+    cands = "SELECT edge_id, rank, seed, score AS key FROM prof"
     room = f"SELECT seed, (SELECT count(*) FROM e) // {SEEDS} + 1 AS room FROM seeds"
     o["capped_assign"] = refused(profiled(Sql()).add("c", cands).add("room", room), "c", "room").out("""
         SELECT e.edge_id, e.src, e.dst, coalesce(p.seed, -1) AS block FROM e LEFT JOIN picks p ON p.edge_id = e.edge_id""")
@@ -351,7 +368,7 @@ def oracle_sql() -> dict[str, str]:
         WHERE NOT EXISTS (SELECT 1 FROM pv WHERE pv.part = p.part AND pv.id = w.source) GROUP BY p.part""")
     o["visits_by_distance"] = visited(blocked(Sql())).add("bv", """SELECT DISTINCT block, id FROM
         (SELECT block, src AS id FROM b UNION ALL SELECT block, dst FROM b) WHERE block <> -1""").add("r", """
-        SELECT bv.block AS part, bv.block AS seed, visits, row_number() OVER (PARTITION BY bv.block ORDER BY CAST(coalesce(s.score, 0.0) AS FLOAT) DESC, bv.id) AS k,
+        SELECT bv.block AS part, bv.block AS seed, visits, row_number() OVER (PARTITION BY bv.block ORDER BY coalesce(s.score, 0.0) DESC, bv.id) AS k,
           greatest(1, count(*) OVER (PARTITION BY bv.block) // 20) AS width
         FROM bv JOIN visits ON visits.id = bv.id LEFT JOIN scores s ON s.id = bv.id AND s.seed = bv.block""").out(
         f"SELECT part, seed, ((k - 1) // width)::BIGINT AS bin, {f32('avg(visits)')} AS mean_visits, count(*) AS n FROM r GROUP BY 1, 2, 3")
@@ -380,8 +397,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT ed.src AS id, p.target, p.score * (0.15 / ed.d) AS score FROM p{t - 1} p JOIN ed ON ed.dst = p.id
             UNION ALL SELECT * FROM p0) GROUP BY id, target""")
     o["inverse_p_distance"] = sql.out(f"SELECT id, target, {f32('score')} AS score FROM p2")
-    o["ppr_lookup"] = seeded(sql).out(f"""SELECT id, target, {f32('score')} AS score FROM p2
-        WHERE id = (SELECT id FROM deg ORDER BY degree DESC, id DESC LIMIT 1)""")
+    sql = seeded(Sql(), 1).add("g0", "SELECT seed AS id, 1.0::DOUBLE AS w FROM seeds")
+    for t in (1, 2, 3):
+        sql.add(f"g{t}", f"SELECT ed.dst AS id, sum(g.w * (0.15 / ed.d)) AS w FROM g{t - 1} g JOIN ed ON ed.src = g.id GROUP BY ed.dst")
+    o["ppr_lookup"] = sql.out(f"""SELECT seed AS id, id AS target, {f32('sum(w)')} AS score FROM
+        (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3), seeds GROUP BY 1, 2""")
     sql = one_hop(Sql(), ", 1::BIGINT AS max_len")
     for t in (1, 2):
         sql.add(f"p{t}", f"""SELECT id, target, sum(score) AS score, max(max_len) AS max_len FROM (
@@ -395,8 +415,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT ed.src AS id, p.target, p.score * (0.15 / ed.d) AS score FROM p{t - 1} p JOIN ed ON ed.dst = p.id
             UNION ALL SELECT * FROM p0) GROUP BY id, target""")
     o["ppr_doubling"] = sql.out(f"SELECT id, target, {f32('score')} AS score FROM p3")
-    o["ppr_doubling_recurrence"] = one_hop(Sql()).out(f"""SELECT id, target, {f32('sum(score)')} AS score FROM (
-        SELECT * FROM p0 UNION ALL SELECT a.id, b.target, a.score * b.score FROM p0 a JOIN p0 b ON a.target = b.id) GROUP BY 1, 2""")
+    o["ppr_doubling_recurrence"] = one_hop(Sql()).add("hop", "SELECT src AS id, dst AS target, sum(0.15 / d) AS score FROM ed GROUP BY src, dst").out(
+        f"""SELECT id, target, {f32('sum(score)')} AS score FROM (
+        SELECT * FROM p0 UNION ALL SELECT a.id, b.target, a.score * b.score FROM hop a JOIN p0 b ON a.target = b.id) GROUP BY 1, 2""")
 
     def increments(rounds: int) -> Sql:
         sql = one_hop(Sql()).add("q0", "SELECT id, target, score, score AS inc FROM p0")
@@ -414,28 +435,30 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT {t + 1}::BIGINT AS round, coalesce(sum(n), 0)::BIGINT AS elements FROM (SELECT ind.d AS n FROM q{t} q JOIN ind ON ind.id = q.id WHERE q.inc > 0.001)"
         for t in range(3)))
     for name, old in (("hub_ppr", "0.15"), ("hub_ppr_sum", "1.0")):
-        sql = seeded(Sql()).add("a0", "SELECT seed AS id, seed, value AS score, value AS inc FROM seeds")
+        sql = seeded(Sql()).add("a0", f"SELECT seed AS id, seed, (value * {UNIT})::BIGINT AS score, (value * {UNIT})::BIGINT AS inc FROM seeds")
         for t in range(1, ROUNDS + 1):
-            sql.add(f"m{t}", f"""SELECT ed.dst AS id, a.seed, sum(a.inc / ed.d * 0.85) AS inc FROM a{t - 1} a
+            sql.add(f"m{t}", f"""SELECT ed.dst AS id, a.seed, sum(floor(a.inc * 0.85::DOUBLE)::BIGINT // ed.d)::BIGINT AS inc FROM a{t - 1} a
                 JOIN ed ON ed.src = a.id WHERE a.inc > 0 GROUP BY ed.dst, a.seed""")
             sql.add(f"a{t}", f"""SELECT coalesce(a.id, m.id) AS id, coalesce(a.seed, m.seed) AS seed,
-                CASE WHEN m.inc IS NULL THEN a.score ELSE coalesce(a.score, 0) * {old} + m.inc END AS score, m.inc AS inc
+                CASE WHEN m.inc IS NULL THEN a.score ELSE floor(coalesce(a.score, 0) * {old}::DOUBLE)::BIGINT + m.inc END AS score, m.inc AS inc
                 FROM a{t - 1} a FULL JOIN m{t} m ON m.id = a.id AND m.seed = a.seed""")
-        o[name] = sql.out(f"SELECT id, seed, {f32('score')} AS score FROM a{ROUNDS}")
+        o[name] = sql.out(f"SELECT id, seed, {f32(f'score / {UNIT}::DOUBLE')} AS score FROM a{ROUNDS}")
     # PageRank and structure
     sql = Sql().add("r0", "SELECT id, 0.15::DOUBLE AS rank FROM v")
     for t in range(1, 6):
         sql.add(f"r{t}", f"""SELECT v.id, 0.15 + 0.85 * coalesce(m.s, 0) AS rank FROM v LEFT JOIN
             (SELECT ed.dst AS id, sum(r.rank / ed.d) AS s FROM r{t - 1} r JOIN ed ON ed.src = r.id GROUP BY ed.dst) m ON m.id = v.id""")
+    o["static_pagerank"] = sql.out(f"SELECT id, {f32('rank')} AS rank FROM r3")
     o["pagerank"] = sql.out(f"SELECT id, {f32('rank')} AS rank FROM r5")
     sql = Sql().add("r0", "SELECT id, 0.15::DOUBLE AS rank, 0.15::DOUBLE AS delta FROM v")
-    for t in range(1, 9):
+    for t in range(1, 41):
         sql.add(f"r{t}", f"""SELECT r.id, r.rank + 0.85 * coalesce(m.s, 0) AS rank, 0.85 * coalesce(m.s, 0) AS delta FROM r{t - 1} r LEFT JOIN
-            (SELECT ed.dst AS id, sum(r.delta / ed.d) AS s FROM r{t - 1} r JOIN ed ON ed.src = r.id WHERE r.delta > 0.01 GROUP BY ed.dst) m
+            (SELECT ed.dst AS id, sum(r.delta / ed.d) AS s FROM r{t - 1} r JOIN ed ON ed.src = r.id WHERE r.delta > {PR_TOLERANCE} GROUP BY ed.dst) m
             ON m.id = r.id""")
-    o["dynamic_pagerank"] = sql.out(f"SELECT id, {f32('rank')} AS rank FROM r8")
-    o["connected_components"] = Sql("sparse").add("l", "SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e").recursive(
-        "reach(id, seen)", "SELECT id, id FROM v UNION SELECT l.y, r.seen FROM reach r JOIN l ON l.x = r.id").out(
+    o["dynamic_pagerank"] = sql.out(f"SELECT id, {f32('rank')} AS rank FROM r40")
+    o["connected_components"] = Sql().add("l", f"""SELECT o_custkey AS x, o_orderkey + {ORDER_SHIFT} AS y FROM orders
+        UNION SELECT o_orderkey + {ORDER_SHIFT}, o_custkey FROM orders""").recursive(
+        "reach(id, seen)", "SELECT x, x FROM l UNION SELECT l.y, r.seen FROM reach r JOIN l ON l.x = r.id").out(
         "SELECT id, min(seen) AS component FROM reach GROUP BY id")
     o["triangle_count"] = Sql().add("u", "SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e").add(
         "t", "SELECT x.a, x.b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b").out("""
@@ -443,7 +466,7 @@ def oracle_sql() -> dict[str, str]:
         (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY id) USING (id)""")
     o["shortest_paths"] = seeded(Sql()).recursive("d(id, landmark, hops)", f"""
         SELECT seed, seed, 0::BIGINT FROM (SELECT seed FROM seeds ORDER BY seed LIMIT {LANDMARKS})
-        UNION SELECT e.src, d.landmark, d.hops + 1 FROM d JOIN e ON e.dst = d.id WHERE d.hops < 40""").out(
+        UNION SELECT e.src, d.landmark, d.hops + 1 FROM d JOIN e ON e.dst = d.id WHERE d.hops < 2000""").out(
         "SELECT id, landmark, min(hops) AS hops FROM d GROUP BY 1, 2")
     # topics
     counts = """c AS (SELECT id, topic, count(*) AS n FROM (SELECT dst AS id, unnest(topics) AS topic FROM buyers) GROUP BY 1, 2),

@@ -16,12 +16,15 @@ from blockwalk.runtime import work_root
 from blockwalk.skew import join_unique
 from blockwalk.sources import edge_lists, partitions, results, seed_files
 
-from .tables import buyer_topics, chain, once, table, topic_chain
+from .tables import buyer_topics, chain, customer_orders, once, table, topic_chain
 
 SEEDS, ROUNDS, TOPK, PARTS = 16, 3, 5, 12
 SAMPLINGS, STEPS = 2, 4
-LENGTHS = (2, 3, 5, 6)
+LENGTHS = walks.HUB_WALK_LENGTHS
 LANDMARKS = 5
+# blocks of the whole table share most of their vertices
+OVERLAP = 0.9
+PR_TOLERANCE = 0.05
 
 
 def f32(name: str):
@@ -123,6 +126,47 @@ def partition_contents(spark, d):
     return listed.select(long("part"), "chunk", F.array_join(as_text, ",").alias("contents"))
 
 
+def seed_round_trip(spark, d):
+    """Seeds written and read again, with their place in the file."""
+    path = f"{work_root(spark)}/files_{uuid.uuid4().hex}"
+    seed_files.write_seeds(_seeds(spark, d).orderBy("seed").coalesce(1), path)
+    return seed_files.read_seeds(spark, path).select("seed", "value", "rank")
+
+
+def flat_edge_files(spark, d):
+    """A flat folder of edge files: each file a partition, edges as they were loaded."""
+    path = f"{work_root(spark)}/files_{uuid.uuid4().hex}"
+    rows = chain(spark, d).edges.select(F.concat_ws("\t", "src", "dst").alias("value"), (F.col("src") % 3).alias("k"))
+    for k in range(3):
+        rows.filter(F.col("k") == k).select("value").coalesce(1).write.text(f"{path}/{k}")
+    loaded = partitions.read_edge_files(spark, f"{path}/*")
+    sizes = strategies.as_loaded(loaded).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("src").alias("src"), F.sum("dst").alias("dst"))
+    return sizes.select("n", "src", "dst")
+
+
+def saved_vertices(spark, d):
+    """A vertex result saved and read again."""
+    path = f"{work_root(spark)}/files_{uuid.uuid4().hex}"
+    results.save_vertices(relational.degrees(chain(spark, d).edges), path, "orc")
+    return spark.read.orc(path)
+
+
+def vertex_sample(spark, d):
+    """A tenth of the vertices: is it part of them, and is its share near a tenth?"""
+    whole = chain(spark, d).vertices.select("id")
+    picked = cut(results.sample_vertices(whole, 0.1))
+    tagged = whole.select("id", F.lit(1).alias("all"), F.lit(0).alias("got")).unionByName(picked.select("id", F.lit(0).alias("all"), F.lit(1).alias("got")))
+    each = tagged.groupBy("id").agg(F.sum("all").alias("all"), F.sum("got").alias("got"))
+    share = F.sum("got") / F.sum("all")
+    return each.agg((F.max(F.col("got") - F.col("all")) <= 0).alias("is_subset"), share.between(0.05, 0.15).alias("near_a_tenth"))
+
+
+def graph_counters(spark, d):
+    """Counts and sums over the edge and vertex tables."""
+    graph = chain(spark, d)
+    return relational.counters(graph)
+
+
 # graph building blocks ---------------------------------------------------------------------
 
 def graph_vertices(spark, d):
@@ -252,14 +296,18 @@ def propagate(spark, d):
     return blocks.seed_distances(scores).select("id", "seed", f32("score"))
 
 
+def _few_scores(spark, d):
+    """Two seeds and one round, so that many vertices stay unvisited."""
+    graph = chain(spark, d)
+    return once(spark, d, "few", lambda: cut(blocks.propagate(graph, top_degree_seeds(graph.edges, 2), 1, TOPK)))
+
+
 def unvisited(spark, d):
-    graph = chain(spark, d, "sparse")
-    seeds = top_degree_seeds(graph.edges, SEEDS)
-    return blocks.coverage(graph, blocks.propagate(graph, seeds, ROUNDS, TOPK))
+    return blocks.coverage(chain(spark, d), _few_scores(spark, d))
 
 
 def unvisited_vertices(spark, d):
-    return blocks.unvisited_vertices(chain(spark, d), _scores(spark, d))
+    return blocks.unvisited_vertices(chain(spark, d), _few_scores(spark, d))
 
 
 def edge_profiles(spark, d):
@@ -324,13 +372,13 @@ def block_overlaps(spark, d):
 def initial_blocks(spark, d):
     sizes = blocks.block_sizes(_blocks(spark, d))
     members = balance.block_vertices(_blocks(spark, d))
-    chosen = balance.pick_initial_blocks(sizes, members, balance.block_overlaps(members), 4, 0.45)
+    chosen = balance.pick_initial_blocks(sizes, members, balance.block_overlaps(members), 4, OVERLAP)
     return chosen.select("block", long("part"))
 
 
 def overlap_merge(spark, d):
     sizes = blocks.block_sizes(_blocks(spark, d))
-    merged = balance.merge_blocks_overlap(sizes, balance.block_vertices(_blocks(spark, d)), 4, 0.45)
+    merged = balance.merge_blocks_overlap(sizes, balance.block_vertices(_blocks(spark, d)), 4, OVERLAP)
     return merged.select("block", long("part"))
 
 
@@ -405,7 +453,7 @@ def visits_by_distance(spark, d):
 
 
 def message_elements(spark, d):
-    return ppr.message_elements(chain(spark, d), 3, delta=0.001).select(long("round"), "elements")
+    return ppr.message_elements(chain(spark, d), 3, delta=0.001, targets=_targets(spark, d)).select(long("round"), "elements")
 
 
 # walks -------------------------------------------------------------------------------------
@@ -443,34 +491,48 @@ def segments_by_source(spark, d):
 
 
 def hub_walks(spark, d):
-    return walks.hub_walks(chain(spark, d), _seeds(spark, d), LENGTHS, mode="affine")
+    return walks.hub_walks(chain(spark, d), _seeds(spark, d), mode="affine")
+
+
+def geometric_lengths(spark, d):
+    """Walk lengths from a uniform number of each vertex."""
+    u = (F.col("id") % 97 + F.lit(0.5)) / F.lit(97.0)
+    return chain(spark, d).vertices.select("id", walks.geometric_length(u, 0.15).cast("long").alias("length"))
+
+
+def static_pagerank(spark, d):
+    return algorithms.static_pagerank(chain(spark, d), 3).select("id", f32("rank"))
 
 
 # personalized PageRank and graph algorithms --------------------------------------------------
 
+def _targets(spark, d):
+    return _seeds(spark, d).select(F.col("seed").alias("id"))
+
+
 def inverse_p_distance(spark, d):
-    return ppr.inverse_p_distance(chain(spark, d), 2).select("id", "target", f32("score"))
+    return ppr.inverse_p_distance(chain(spark, d), 2, targets=_targets(spark, d)).select("id", "target", f32("score"))
 
 
 def ppr_with_length(spark, d):
-    out = ppr.inverse_p_distance_with_length(chain(spark, d), 2)
+    out = ppr.inverse_p_distance_with_length(chain(spark, d), 2, targets=_targets(spark, d))
     return out.select("id", "target", f32("score"), long("max_len"))
 
 
 def ppr_doubling(spark, d):
-    return ppr.inverse_p_distance_doubling(chain(spark, d), 2).select("id", "target", f32("score"))
+    return ppr.inverse_p_distance_doubling(chain(spark, d), 2, targets=_targets(spark, d)).select("id", "target", f32("score"))
 
 
 def ppr_doubling_recurrence(spark, d):
-    return ppr.inverse_p_distance_doubling(chain(spark, d), 1, mode="recurrence").select("id", "target", f32("score"))
+    return ppr.inverse_p_distance_doubling(chain(spark, d), 1, mode="recurrence", targets=_targets(spark, d)).select("id", "target", f32("score"))
 
 
 def ppr_delta(spark, d):
-    return ppr.ppr_delta(chain(spark, d), 3).select("id", "target", f32("score"), f32("inc"))
+    return ppr.ppr_delta(chain(spark, d), 3, targets=_targets(spark, d)).select("id", "target", f32("score"), f32("inc"))
 
 
 def ppr_delta_converge(spark, d):
-    return ppr.ppr_delta_converge(chain(spark, d), delta=0.001).select("id", "target", f32("score"))
+    return ppr.ppr_delta_converge(chain(spark, d), delta=0.001, targets=_targets(spark, d)).select("id", "target", f32("score"))
 
 
 def _hub_ppr(rule):
@@ -481,8 +543,9 @@ def _hub_ppr(rule):
 
 
 def ppr_lookup(spark, d):
-    best = top_degree_seeds(chain(spark, d).edges, 1).first()["seed"]
-    return ppr.scores_of(ppr.inverse_p_distance(chain(spark, d), 2), best).select("id", "target", f32("score"))
+    graph = chain(spark, d)
+    best = top_degree_seeds(graph.edges, 1).select(F.col("seed").alias("id"))
+    return ppr.inverse_p_distance_from(graph, best, 2).select("id", "target", f32("score"))
 
 
 def pagerank(spark, d):
@@ -490,11 +553,11 @@ def pagerank(spark, d):
 
 
 def dynamic_pagerank(spark, d):
-    return algorithms.dynamic_pagerank(chain(spark, d), 0.01, max_rounds=8).select("id", f32("rank"))
+    return algorithms.dynamic_pagerank(chain(spark, d), PR_TOLERANCE).select("id", f32("rank"))
 
 
 def connected_components(spark, d):
-    return algorithms.connected_components(chain(spark, d, "sparse"))
+    return algorithms.connected_components(customer_orders(spark, d))
 
 
 def triangle_count(spark, d):
@@ -540,6 +603,13 @@ QUERIES = {
     "block_representative_text": block_representative_text,
     "partition_files": partition_files,
     "partition_contents": partition_contents,
+    "seed_round_trip": seed_round_trip,
+    "flat_edge_files": flat_edge_files,
+    "saved_vertices": saved_vertices,
+    "vertex_sample": vertex_sample,
+    "graph_counters": graph_counters,
+    "static_pagerank": static_pagerank,
+    "geometric_lengths": geometric_lengths,
     "graph_vertices": graph_vertices,
     "degrees": degrees,
     "neighbors": neighbors,

@@ -6,8 +6,8 @@ import pytest
 from helpers import greedy_scan, random_pairs
 from pyspark.sql import functions as F
 
-from blockwalk import build_graph, from_edges
-from blockwalk.operators import balance, blocks
+from blockwalk import Graph, build_graph, from_edges
+from blockwalk.operators import balance, blocks, ppr
 from blockwalk.operators.seeds import spread_seeds, top_degree_seeds
 
 
@@ -155,3 +155,54 @@ def test_given_vertices_join_the_graph(spark):
     assert {r["id"]: r["name"] for r in graph.vertices.collect()} == {1: "none", 2: "x", 9: "y"}
     ids = build_graph(edges).vertices.agg(F.count("id")).first()[0]
     assert ids == 2
+
+
+def test_scores_that_differ_in_the_eighth_digit(spark):
+    from blockwalk.functions import top_k
+
+    table = spark.createDataFrame([(1, 3, 200000.001), (1, 9, 200000.004)], "id long, seed long, score double")
+    assert [r["seed"] for r in top_k(table, 1, ["id"]).collect()] == [9]
+    profile = blocks.edge_profiles(from_edges(spark, [(1, 2)]), table, 2).first()["profile"]
+    assert [e["seed"] for e in profile] == [9, 3]
+
+
+def test_sums_do_not_depend_on_the_order_of_messages(spark):
+    graph = from_edges(spark, [(s, 9) for s in range(1, 9)] + [(s, 20 + s) for s in range(1, 9)] + [(s, 40 + s) for s in range(1, 9)])
+    seeds = spark.createDataFrame([(s, 1.0 + s / 7) for s in range(1, 9)], "seed long, value double")
+    one = blocks.propagate(graph, seeds, 2, 8).orderBy("id", "seed").collect()
+    two = blocks.propagate(Graph(graph.vertices, graph.edges.repartition(5, "dst")), seeds.repartition(3), 2, 8).orderBy("id", "seed").collect()
+    assert one == two
+
+
+def test_empty_tables_of_sizes(spark):
+    sizes = spark.createDataFrame([], "part long, n_edges long")
+    assert balance.water_fill(sizes, 5).collect() == []
+    assert balance.balance_stats(sizes).collect() == []
+
+
+def test_single_source_rows_equal_those_of_the_whole_table(spark):
+    graph = from_edges(spark, random_pairs(3, 30, 150, hub_share=0.2))
+    whole = ppr.inverse_p_distance(graph, 2)
+    for source in (1, 7):
+        some = ppr.inverse_p_distance_from(graph, spark.createDataFrame([(source,)], "id long"), 2)
+        want = {(r["id"], r["target"]): r["score"] for r in whole.filter(F.col("id") == source).collect()}
+        got = {(r["id"], r["target"]): r["score"] for r in some.collect()}
+        assert got == pytest.approx(want)
+
+
+def test_doubling_towards_targets(spark):
+    graph = from_edges(spark, random_pairs(4, 30, 150))
+    targets = spark.createDataFrame([(2,), (5,)], "id long")
+    for rounds in (0, 1, 2):
+        whole = ppr.inverse_p_distance_doubling(graph, rounds).join(targets.withColumnRenamed("id", "target"), "target", "left_semi")
+        some = ppr.inverse_p_distance_doubling(graph, rounds, targets=targets)
+        key = lambda df: {(r["id"], r["target"]): r["score"] for r in df.collect()}
+        assert key(some) == pytest.approx(key(whole))
+
+
+def test_seed_files_keep_their_order(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("9\t2.5\n4\n\n7\t1\n")
+    from blockwalk.sources import read_seeds
+
+    got = [(r["seed"], r["value"]) for r in read_seeds(spark, str(tmp_path)).orderBy("rank").collect()]
+    assert got == [(9, 2.5), (4, 100000.0), (7, 1.0)]

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from blockwalk import Graph, from_edges, with_edge_ids
 from blockwalk.operators import algorithms, balance, blocks, metrics, ppr, relational, topics, walks
 from blockwalk.operators.seeds import top_degree_seeds
-from blockwalk.skew import hot_keys, in_chunks, join_both, join_small, join_spread, join_unique, lead_within, number_all, number_within
+from blockwalk.skew import (
+    every_slot, hot_keys, in_chunks, join_both, join_known, join_small, join_spread, join_unique, lead_within, number_all, number_within, with_slot,
+)
 
 HOT = 5
 
@@ -33,6 +35,23 @@ def rows(df):
     return sorted(df.collect(), key=str)
 
 
+def test_key_hot_on_both_sides_gets_a_grid(spark):
+    left = spark.range(400).select(F.when(F.col("id") < 330, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("a"))
+    right = spark.range(300).select(F.when(F.col("id") < 250, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("b"))
+    hot_left, hot_right = hot_keys(left, ["k"], 50), hot_keys(right, ["k"], 50)
+    assert rows(join_known(left, right, ["k"], hot_left, hot_right)) == rows(left.join(right, "k"))
+    cells = every_slot(with_slot(left, hot_left, "row"), hot_right, "column").groupBy("row", "column").count().collect()
+    assert len(cells) == 7 * 5 and max(r["count"] for r in cells) < 90  # 330 rows over 7 slots, whatever the other side
+    cells = every_slot(with_slot(right, hot_right, "column"), hot_left, "row").groupBy("row", "column").count().collect()
+    assert max(r["count"] for r in cells) < 90
+
+
+def test_state_and_edges_hot_at_one_vertex(plain, hot):
+    state = plain.vertices.crossJoin(plain.vertices.select(F.col("id").alias("seed")).limit(9)).withColumn("id", F.least("id", F.lit(6)))
+    one, two = (g.links("out").join(state, many=True).select("at", "to", "seed", "edge_id") for g in (plain, hot))
+    assert rows(one) == rows(two)
+
+
 def test_hot_keys_are_found(plain):
     found = hot_keys(plain.edges, ["src"], HOT)
     counts = {r["src"]: r["count"] for r in plain.edges.groupBy("src").count().collect()}

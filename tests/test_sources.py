@@ -57,7 +57,7 @@ def test_labeled_edges(spark, tmp_path):
 def test_seed_files(spark, tmp_path):
     path = write(tmp_path / "s.txt", "4\t2.5\n7\n\n9 \t 1e3\n")
     seeds = read_seeds(spark, path)
-    assert tuples(seeds) == [(4, 2.5), (7, 100000.0), (9, 1000.0)]
+    assert tuples(seeds) == [(4, 2.5, 0), (7, 100000.0, 1), (9, 1000.0, 2)]
     write_seeds(seeds, str(tmp_path / "out"))
     assert tuples(read_seeds(spark, str(tmp_path / "out"))) == tuples(seeds)
 
