@@ -1,7 +1,7 @@
 """Balancing blocks into edge partitions.
 
-Edge-level work stays in Spark. Only block-level tables (one row per seed or partition, at
-most ``MAX_BLOCKS``, checked) come to the driver, where the sequential greedy rules run.
+Tables of edges and of seeds stay in Spark, whatever their number. Only the sequential merges fold
+a table of blocks on the driver; how many blocks that may be is their ``max_blocks``.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import bucket_count, cut, cut_bucketed, release, settled
-from ..skew import BROADCAST_ROWS, join_small, join_spread, number_all, number_within
+from ..skew import BROADCAST_ROWS, join_small, join_spread, join_unique, number_all, number_within, running_sum
 from .blocks import NO_BLOCK, edge_candidates
 from .relational import union_rows
 from .seeds import first_independent
 
+#: blocks that a merge folds on the driver if the caller names no other number
 MAX_BLOCKS = 1_000_000
 _FEW = 999  # limits up to this get the partial group limit before the shuffle
 _TABLES = 16  # round tables kept apart before they are written together
@@ -24,11 +25,11 @@ _SLOT_ROWS = 4_096  # smallest width of the number buckets of the residual range
 _SLOT_PIECES = 50_000  # most buckets
 
 
-def block_rows(table: DataFrame, *columns: str) -> list:
+def block_rows(table: DataFrame, *columns: str, max_blocks: int = MAX_BLOCKS) -> list:
     """Block-level rows on the driver, behind a size check."""
-    rows = table.select(*columns).limit(MAX_BLOCKS + 1).collect()
-    if len(rows) > MAX_BLOCKS:
-        raise ValueError(f"more than {MAX_BLOCKS} blocks; merge seeds before balancing")
+    rows = table.select(*columns).limit(max_blocks + 1).collect()
+    if len(rows) > max_blocks:
+        raise ValueError(f"more than {max_blocks} blocks; merge seeds first or raise max_blocks")
     return rows
 
 
@@ -37,7 +38,7 @@ def default_cap(n_edges: int, n_seeds: int) -> int:
 
 
 def capped_assign(
-    profiles: DataFrame, seeds: DataFrame, cap: int | None = None, room: dict[int, int] | None = None,
+    profiles: DataFrame, seeds: DataFrame, cap: int | None = None, room: DataFrame | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """(edge_id, src, dst, block) as a scan of all (edge, seed, score) by score descending
@@ -46,52 +47,60 @@ def capped_assign(
     Edges propose to their best seed still open to them; a seed over its cap raises its bar
     to its cap-th best proposal, and edges below it move on. Bars only rise, so this ends,
     and since both sides rank by the same score the outcome is the scan's. State between
-    rounds is one bar per seed; candidates are written once, bucketed by edge, and each round
-    reads them without a shuffle. ``room`` gives a cap per seed, else every seed has ``cap``.
+    rounds is one row per seed; candidates are written once, bucketed by edge, and each round
+    reads them without a shuffle. ``room(seed, room)`` gives a cap per seed, else every seed
+    has ``cap``.
     """
     spark = profiles.sparkSession
     profiles = settled(profiles)
     n_edges = profiles.count()
-    seed_ids = [r["seed"] for r in block_rows(seeds, "seed")]
+    listed_seeds = seeds.select("seed").distinct()
     if room is None:
-        cap = default_cap(n_edges, len(seed_ids)) if cap is None else cap
-        room = {s: cap for s in seed_ids}
+        n_seeds = listed_seeds.count()
+        cap = default_cap(n_edges, n_seeds) if cap is None else cap
+        room = listed_seeds.withColumn("room", F.lit(cap).cast("long"))
+    room = cut(room.select("seed", F.col("room").cast("long").alias("room")))
+    n_seeds = room.count()
     listed = edge_candidates(profiles).select("edge_id", "rank", "seed", F.col("score").alias("key"))
-    allowed = spark.createDataFrame([(s,) for s in seed_ids], "seed long")
-    listed = join_small(listed, allowed, len(seed_ids), ["seed"], "left_semi")
+    listed = join_small(listed, room.select("seed"), n_seeds, ["seed"], "left_semi")
     # profiles are bounded lists, so buckets are sized by edges
     candidates = cut_bucketed(listed, ["edge_id"], bucket_count(spark, n_edges))
-    bars: dict[int, tuple[float, int]] = {s: (float("inf"), 0) for s in seed_ids if room.get(s, 0) <= 0}
+    bars = cut(room.filter("room <= 0").select("seed", F.lit(float("inf")).alias("bar"), F.lit(0).cast("long").alias("bar_edge")))
     picks = None
     while True:
-        bar_table = spark.createDataFrame([(s, k, e) for s, (k, e) in bars.items()], "seed long, bar double, bar_edge long")
         is_open = (
             F.col("bar").isNull()
             | (F.col("key") > F.col("bar"))
             | ((F.col("key") == F.col("bar")) & (F.col("edge_id") <= F.col("bar_edge")))
         )
-        open_now = join_small(candidates, bar_table, len(bars), ["seed"], "left").filter(is_open)
+        open_now = join_small(candidates, bars, n_seeds, ["seed"], "left").filter(is_open)
         release(picks)
         picks = cut(
             open_now.groupBy("edge_id").agg(F.min_by("seed", "rank").alias("seed"), F.min_by("key", "rank").alias("key"))
         )
-        load = {r["seed"]: r["count"] for r in picks.groupBy("seed").count().collect()}
-        over = [(s, room[s], n - room[s]) for s, n in load.items() if n > room[s]]
-        if not over:
+        load = picks.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).join(room, "seed").filter(F.col("n") > F.col("room"))
+        over = cut(load.select("seed", "room", (F.col("n") - F.col("room")).alias("excess")))
+        n_over, most = over.agg(F.count(F.lit(1)), F.max("excess")).first()
+        if not n_over:
+            release(over)
             break
-        crowded = spark.createDataFrame(over, "seed long, room long, excess long")
-        contested = join_small(picks, crowded, len(over), ["seed"])
-        worst_first = max(x for _, _, x in over) <= _FEW
-        if worst_first:
+        contested = join_small(picks, over, n_over, ["seed"])
+        if most <= _FEW:
             place = Window.partitionBy("seed").orderBy(F.asc("key"), F.desc("edge_id"))
             placed = contested.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= _FEW + 1)
             last_kept = placed.filter(F.col("place") == F.col("excess") + 1)
         else:
             placed = number_within(contested, ["seed"], [F.desc("key"), F.asc("edge_id")], "place", hot_rows)
             last_kept = placed.filter(F.col("place") == F.col("room"))
-        for r in last_kept.select("seed", "key", "edge_id").collect():
-            bars[r["seed"]] = (r["key"], r["edge_id"])
+        raised = last_kept.select("seed", F.col("key").alias("bar"), F.col("edge_id").alias("bar_edge"))
+        kept_bars = bars.join(over.select("seed"), "seed", "left_anti")
+        new_bars = cut(raised.unionByName(kept_bars))
+        release(bars)
+        release(over)
+        bars = new_bars
     release(candidates)
+    release(bars)
+    release(room)
     placed = profiles.select("edge_id", "src", "dst").join(picks.select("edge_id", F.col("seed").alias("block")), "edge_id", "left")
     return placed.select("edge_id", "src", "dst", F.coalesce("block", F.lit(NO_BLOCK)).alias("block"))
 
@@ -102,8 +111,8 @@ def partial_reschedule(
     """Every seed keeps its best ``floor(cap * (1 - share))`` own edges; only the others are
     offered again, into the room left. Kept edges are never displaced."""
     profiles = settled(profiles)
-    seed_ids = [r["seed"] for r in block_rows(seeds, "seed")]
-    cap = default_cap(profiles.count(), len(seed_ids)) if cap is None else cap
+    listed = seeds.select("seed").distinct()
+    cap = default_cap(profiles.count(), listed.count()) if cap is None else cap
     keep = int(cap * (1 - share))
     best = F.get("profile", F.lit(0))
     own = profiles.filter(F.size("profile") > 0).select(
@@ -111,29 +120,31 @@ def partial_reschedule(
     )
     placed = number_within(own, ["block"], [F.desc("key"), F.asc("edge_id")], "place", hot_rows)
     kept = cut(placed.filter(F.col("place") <= keep).select("edge_id", "src", "dst", "block"))
-    used = {r["block"]: r["count"] for r in kept.groupBy("block").count().collect()}
     rest = cut(profiles.join(kept.select("edge_id"), "edge_id", "left_anti"))
-    room = {s: cap - used.get(s, 0) for s in seed_ids}
+    room = _vacancies(kept, listed, cap).select("seed", F.col("free").alias("room"))
     return kept.unionByName(capped_assign(rest, seeds, room=room, hot_rows=hot_rows))
 
 
-def _fill(assigned: DataFrame, vacancies: list[tuple[int, int]], target: str) -> DataFrame:
-    """Hand the edges of block -1, in edge order, to ``target`` values with free places.
+def _vacancies(assigned: DataFrame, seeds: DataFrame, cap: int) -> DataFrame:
+    """``seeds`` with ``free``: the places a cap leaves them."""
+    load = assigned.groupBy(F.col("block").alias("seed")).agg(F.count(F.lit(1)).alias("_n"))
+    return seeds.join(load, "seed", "left").withColumn("free", F.lit(cap) - F.coalesce("_n", F.lit(0))).drop("_n")
+
+
+def _fill(assigned: DataFrame, vacancies: DataFrame, target: str, order: list[str]) -> DataFrame:
+    """Hand the edges of block -1, in edge order, to ``target`` values with ``free`` places, in
+    the given order of ``vacancies``.
 
     A range join of edge numbers with places, as an equi-join on number buckets: the places
     are cut into a bounded number of pieces, so they can be broadcast and no edge moves.
     """
-    spark = assigned.sparkSession
     residual = number_all(assigned.filter(F.col("block") == NO_BLOCK), [F.col("edge_id")], "_n")
-    slots, at = [], 0
-    for value, free in vacancies:
-        if free > 0:
-            slots.append((value, at, at + free))
-            at += free
-    width = max(_SLOT_ROWS, at // _SLOT_PIECES + 1)
-    ranges = spark.createDataFrame(slots, f"{target} long, _from long, _to long")
-    ranges = ranges.withColumn("_b", F.explode(F.expr(f"sequence(_from div {width}, (_to - 1) div {width})")))
-    if len(slots) + _SLOT_PIECES <= BROADCAST_ROWS:
+    open_places = running_sum(vacancies.filter("free > 0"), [F.col(c) for c in order], "free", "_from")
+    slots = cut(open_places.select(target, "_from", (F.col("_from") + F.col("free")).alias("_to")))
+    n, places = slots.agg(F.count(F.lit(1)), F.coalesce(F.max("_to"), F.lit(0))).first()
+    width = max(_SLOT_ROWS, places // _SLOT_PIECES + 1)
+    ranges = slots.withColumn("_b", F.explode(F.expr(f"sequence(_from div {width}, (_to - 1) div {width})")))
+    if n + _SLOT_PIECES <= BROADCAST_ROWS:
         ranges = F.broadcast(ranges)
     keyed = residual.withColumn("_bucket", F.expr(f"_n div {width}"))
     inside = (F.col("_bucket") == F.col("_b")) & (F.col("_n") >= F.col("_from")) & (F.col("_n") < F.col("_to"))
@@ -142,22 +153,21 @@ def _fill(assigned: DataFrame, vacancies: list[tuple[int, int]], target: str) ->
 
 def fill_residual(assigned: DataFrame, seeds: DataFrame, cap: int) -> DataFrame:
     """Put edges of block -1 into the free places of the seeds, in the order of ``seeds``
-    (its ``rank`` column if it has one, else by id). Each edge is placed once; edges beyond
-    all free places stay -1."""
+    (its ``rank`` column if it has one, as ``read_seeds`` gives, else by id). Each edge is
+    placed once; edges beyond all free places stay -1."""
     assigned = settled(assigned)
-    order = "rank" if "rank" in seeds.columns else "seed"
-    ordered = [r["seed"] for r in sorted(block_rows(seeds, *{"seed", order}), key=lambda r: r[order])]
-    load = {r["block"]: r["count"] for r in assigned.groupBy("block").count().collect()}
-    vacancies = [(s, cap - load.get(s, 0)) for s in ordered]
-    filled = _fill(assigned, vacancies, "seed")
+    order = ["rank", "seed"] if "rank" in seeds.columns else ["seed"]
+    vacancies = _vacancies(assigned, seeds.select(*order), cap)
+    filled = _fill(assigned, vacancies, "seed", order)
     filled = filled.withColumn("block", F.coalesce("seed", F.lit(NO_BLOCK))).select("edge_id", "src", "dst", "block")
     before = assigned.filter(F.col("block") != NO_BLOCK).select("edge_id", "src", "dst", "block")
     return before.unionByName(filled)
 
 
-def merge_blocks_lpt(sizes: DataFrame, parts: int) -> DataFrame:
-    """(block, part): blocks by size descending, each to the smallest partition so far."""
-    rows = [r for r in block_rows(sizes, "block", "n_edges") if r["block"] != NO_BLOCK]
+def merge_blocks_lpt(sizes: DataFrame, parts: int, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """(block, part): blocks by size descending, each to the smallest partition so far. A
+    sequential rule: at most ``max_blocks`` rows of ``sizes`` are folded on the driver."""
+    rows = [r for r in block_rows(sizes, "block", "n_edges", max_blocks=max_blocks) if r["block"] != NO_BLOCK]
     if len(rows) < parts:
         raise ValueError(f"{len(rows)} blocks cannot open {parts} partitions")
     heap = [(0, p) for p in range(parts)]
@@ -209,7 +219,9 @@ def pick_initial_blocks(
     return sizes.sparkSession.createDataFrame(opened, "block long, part int")
 
 
-def merge_blocks_overlap(sizes: DataFrame, members: DataFrame, parts: int, inter_fac: float) -> DataFrame:
+def merge_blocks_overlap(
+    sizes: DataFrame, members: DataFrame, parts: int, inter_fac: float, max_blocks: int = MAX_BLOCKS
+) -> DataFrame:
     """(block, part): the smallest partition repeatedly takes the unassigned block sharing most
     vertices with it, ties to the block with most edges, then to the smaller id.
 
@@ -219,7 +231,7 @@ def merge_blocks_overlap(sizes: DataFrame, members: DataFrame, parts: int, inter
     """
     spark = sizes.sparkSession
     members = cut(members)
-    edge_count = {r["block"]: r["n_edges"] for r in block_rows(sizes, "block", "n_edges") if r["block"] != NO_BLOCK}
+    edge_count = {r["block"]: r["n_edges"] for r in block_rows(sizes, "block", "n_edges", max_blocks=max_blocks) if r["block"] != NO_BLOCK}
     opened = block_rows(pick_initial_blocks(sizes, members, block_overlaps(members), parts, inter_fac), "block", "part")
     part_of = {r["block"]: r["part"] for r in opened}
     load = {r["part"]: edge_count[r["block"]] for r in opened}
@@ -285,11 +297,9 @@ def materialize_partitions(blocks: DataFrame, merge: DataFrame, quotas: DataFram
     """(edge_id, src, dst, part): edges of merged blocks in their partition, edges of block -1
     dealt out by quota in edge order."""
     blocks = settled(blocks)
-    merge_rows = block_rows(merge, "block", "part")
-    merge = merge.sparkSession.createDataFrame(merge_rows, "block long, part int")
-    merged = join_small(blocks.filter(F.col("block") != NO_BLOCK), merge, len(merge_rows), ["block"])
-    shares = sorted((r["part"], r["quota"]) for r in block_rows(quotas, "part", "quota"))
-    dealt = _fill(blocks, shares, "part").select("edge_id", "src", "dst", F.col("part").cast("int").alias("part"))
+    merged = join_unique(blocks.filter(F.col("block") != NO_BLOCK), merge.select("block", F.col("part").cast("int").alias("part")), ["block"])
+    shares = quotas.select(F.col("part").cast("long").alias("part"), F.col("quota").alias("free"))
+    dealt = _fill(blocks, shares, "part", ["part"]).select("edge_id", "src", "dst", F.col("part").cast("int").alias("part"))
     return merged.select("edge_id", "src", "dst", "part").unionByName(dealt)
 
 

@@ -466,7 +466,7 @@ def oracle_sql() -> dict[str, str]:
         (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY id) USING (id)""")
     o["shortest_paths"] = seeded(Sql()).recursive("d(id, landmark, hops)", f"""
         SELECT seed, seed, 0::BIGINT FROM (SELECT seed FROM seeds ORDER BY seed LIMIT {LANDMARKS})
-        UNION SELECT e.src, d.landmark, d.hops + 1 FROM d JOIN e ON e.dst = d.id WHERE d.hops < 2000""").out(
+        UNION SELECT e.src, d.landmark, d.hops + 1 FROM d JOIN e ON e.dst = d.id WHERE d.hops < 60""").out(
         "SELECT id, landmark, min(hops) AS hops FROM d GROUP BY 1, 2")
     # topics
     counts = """c AS (SELECT id, topic, count(*) AS n FROM (SELECT dst AS id, unnest(topics) AS topic FROM buyers) GROUP BY 1, 2),

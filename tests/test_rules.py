@@ -30,7 +30,7 @@ def test_capped_assign_is_the_scan(spark, case):
         profiles[e] = sorted(entries, key=lambda x: (-x[1], x[0]))
     room = {s: rng.randint(0, 30) for s in seeds}
     seed_table = spark.createDataFrame([(s, 1.0) for s in seeds], "seed long, value double")
-    got = balance.capped_assign(profile_table(spark, profiles), seed_table, room=room)
+    got = balance.capped_assign(profile_table(spark, profiles), seed_table, room=spark.createDataFrame(list(room.items()), "seed long, room long"))
     assert {r["edge_id"]: r["block"] for r in got.collect()} == greedy_scan(profiles, room)
 
 
@@ -206,3 +206,26 @@ def test_seed_files_keep_their_order(spark, tmp_path):
 
     got = [(r["seed"], r["value"]) for r in read_seeds(spark, str(tmp_path)).orderBy("rank").collect()]
     assert got == [(9, 2.5), (4, 100000.0), (7, 1.0)]
+
+
+def test_running_sums_over_partitions(spark):
+    from blockwalk.skew import running_sum
+
+    table = spark.createDataFrame([(i, i % 5) for i in range(40)], "id long, n long").repartition(6)
+    got = {r["id"]: r["before"] for r in running_sum(table, [F.col("id")], "n", "before").collect()}
+    assert got == {i: sum(k % 5 for k in range(i)) for i in range(40)}
+    assert running_sum(table.limit(0), [F.col("id")], "n", "before").collect() == []
+
+
+def test_residual_follows_the_order_of_the_seed_file(spark):
+    edges = spark.createDataFrame([(i, i, i + 100, -1) for i in range(1, 6)], "edge_id long, src long, dst long, block long")
+    seeds = spark.createDataFrame([(3, 2), (8, 0), (5, 1)], "seed long, rank long")
+    got = {r["edge_id"]: r["block"] for r in balance.fill_residual(edges, seeds, 2).collect()}
+    assert got == {1: 8, 2: 8, 3: 5, 4: 5, 5: 3}
+
+
+def test_the_merge_limit_is_the_callers(spark):
+    sizes = spark.createDataFrame([(b, 10) for b in range(5)], "block long, n_edges long")
+    assert balance.merge_blocks_lpt(sizes, 2, max_blocks=5).count() == 5
+    with pytest.raises(ValueError):
+        balance.merge_blocks_lpt(sizes, 2, max_blocks=4)
