@@ -245,17 +245,18 @@ def near_duplicates(
         )
 
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    base = cut(texts.withColumn("x", describe("text")).select("id", "x.n", "x.digest", "x.shown"))
+    described = cut(texts.withColumn("x", describe("text")).select("id", "x.n", "x.digest", "x.shown"))
+    base = cut(described.select("id", "n", "digest"))
     taking = base.filter("n > 0 and id is not null")
     classes = cut(taking.groupBy("digest").agg(F.min("id").alias("node")))
-    nodes = taking.join(classes.hint("shuffle_hash"), "digest").filter("id = node")
-    shown = cut(nodes.select("node", "n", F.explode("shown").alias("grp")))
+    nodes = described.filter("n > 0 and id is not null").join(classes.hint("shuffle_hash"), "digest").filter("id = node")
+    shown = cut(nodes.select("node", F.explode("shown").alias("grp")))
+    release(described)
     heads = cut(shown.groupBy("grp").agg(F.min("node").alias("head"), F.max("node").alias("tail")).filter("head <> tail").drop("tail"))
-    met = shown.join(heads, "grp")
-    stars = cut(met.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    met = shown.join(heads, "grp").filter("node <> head")
+    stars = cut(met.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
     subtrees = components(stars)
-    sizes = met.select("node", "n").distinct()
-    members = cut(sizes.join(subtrees, F.col("node") == F.col("id")).select("id", "n", F.col("component").alias("c0")))
+    members = cut(taking.select("id", "n").join(subtrees, "id").select("id", "n", F.col("component").alias("c0")).distinct())
     weights = cut(members.groupBy("c0").agg(F.ceil(F.sum("n") / shard).cast("int").alias("blocks")))
     placed = cut(members.join(weights, "c0"))
     zero = F.lit(0)
@@ -290,7 +291,7 @@ def _huge_links(texts, huge, shown, heads, stars, size, percent, shard) -> DataF
     links = cut(_links(_sets_of(texts, others.unionByName(first), size), percent, True))
     labels = inside.join(components(links).withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     labels = cut(labels)
-    met = shown.drop("n").join(heads.select("grp"), "grp").join(labels.withColumnRenamed("id", "node"), "node")
+    met = shown.join(heads.select("grp"), "grp").join(labels.withColumnRenamed("id", "node"), "node")
     open_groups = met.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("grp")
     left = cut(met.join(open_groups, "grp").select("node", "n", "c0", "label").distinct())
     blocks = left.groupBy("c0").agg(F.ceil(F.sum("n") / shard).cast("int").alias("blocks"))
