@@ -152,6 +152,24 @@ def links_in(vectors: np.ndarray, weights: np.ndarray, sides: np.ndarray, block:
     return added[back], [(int(order[a]), int(order[b])) for a, b in spanning.pairs]
 
 
+def _split_cells(split: dict, dim: int, cell: np.ndarray, rows: np.ndarray, visits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(cell, part, other, side, row) of vectors dealt to cells of which some are split: ``split``
+    has the numbers of parts of those that live in a cell and of those that visit it."""
+    out = []
+    for c, row, visit in zip(cell.tolist(), rows.tolist(), visits.tolist(), strict=True):
+        lives, guests = split.get((dim, c), (1, 1))
+        whole = lives == guests == 1
+        if visit:
+            out += [(c, part, 0 if whole else -1 - row % max(guests, 1), 2, row) for part in range(lives)]
+        elif whole:
+            out.append((c, 0, 0, 0, row))
+        else:
+            mine = row % lives
+            out += [(c, min(mine, other), max(mine, other), int(other < mine), row) for other in range(lives)]
+            out += [(c, mine, -1 - guest, 0, row) for guest in range(guests)]
+    return tuple(np.array(x, np.int64) for x in zip(*out, strict=True)) if out else tuple(np.empty(0, np.int64) for _ in range(5))
+
+
 def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", cosine: float = 0.95, shard: int = SHARD) -> DataFrame:
     """(key, n_links, component_id, kept), one row per row of ``vectors``.
 
@@ -216,32 +234,13 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
         """Rows to the tasks (dim, cell, part, other): part is a share of those that live in the
         cell, other the share they meet: the same or a later one, or (below 0) one of visitors."""
         for batch in batches:
-            nodes, counts, data = batch.column(0), batch.column(1), batch.column(2)
             for dim, cell, rows, visits in placed(batch):
-                out: list[list] = [[], [], [], [], []]
-
-                def put(c, part, other, side, row, out=out):
-                    for x, y in zip(out, (c, part, other, side, row), strict=True):
-                        x.append(y)
-
-                for c, row, visit in zip(cell.tolist(), rows.tolist(), visits.tolist(), strict=True):
-                    lives, guests = split.value.get((dim, c), (1, 1))
-                    if visit:
-                        other = -1 - row % guests if guests > 1 else -1
-                        for part in range(lives):
-                            put(c, part, 0 if lives == guests == 1 else other, 2, row)
-                    elif lives == guests == 1:
-                        put(c, 0, 0, 0, row)
-                    else:
-                        mine = row % lives
-                        for other in range(lives):
-                            put(c, min(mine, other), max(mine, other), int(other < mine), row)
-                        for guest in range(guests):
-                            put(c, mine, -1 - guest, 0, row)
-                n = len(out[0])
-                take = pa.array(out[4], pa.int64())
+                part, other, side = np.zeros(len(cell), np.int64), np.zeros(len(cell), np.int64), np.where(visits, 2, 0)
+                if split.value:
+                    cell, part, other, side, rows = _split_cells(split.value, dim, cell, rows, visits)
+                take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, dim)), *[pa.array(x, pa.int64()) for x in out[:4]], nodes.take(take), counts.take(take), data.take(take)],
+                    [*[pa.array(x) for x in (np.full(len(cell), dim), cell, part, other, side)], *[batch.column(i).take(take) for i in range(3)]],
                     ["dim", "cell", "part", "other", "side", "node", "c", "v"],
                 )
 
@@ -249,32 +248,40 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     dealt = classes.select("node", "c", "v").mapInArrow(deal, "dim long, cell long, part long, other long, side long, node long, c long, v binary")
     dealt = dealt.repartition(*groups).sortWithinPartitions(*groups)
 
-    def run(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        dim, cell, part, other = held[0][:4]
-        side = np.array([r[4] for r in held])
-        if len(held) < 2 or not (side == 0).any():
+    def run(key: tuple, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dim, cell, part, other = key
+        rows = pa.Table.from_batches(held)
+        side = rows.column("side").to_numpy()
+        if len(side) < 2 or not (side == 0).any():
             return
-        x = np.frombuffer(b"".join(r[7] for r in held), np.float64).reshape(len(held), dim)
-        block = cell >> (_CELL_BITS * min(axes, blocks_of(dim)[0].stop))
-        weight = np.array([r[6] for r in held], np.int64)
+        x = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float64).reshape(len(side), dim)
+        node, weight = rows.column("node").to_numpy(), rows.column("c").to_numpy()
+        block = int(cell) >> (_CELL_BITS * min(axes, blocks_of(dim)[0].stop))
         added, pairs = links_in(x, weight, side, block, cosine, axes, part == other, True)
         some = np.flatnonzero(added)
         if len(some):
-            a = [held[i][5] for i in some] + [held[i][5] for i, _ in pairs]
-            b = [None] * len(some) + [held[j][5] for _, j in pairs]
-            n = added[some].tolist() + [0] * len(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
+            ends = np.array(pairs, np.int64).reshape(-1, 2)
+            a = pa.array(np.concatenate((node[some], node[ends[:, 0]])))
+            b = pa.array([None] * len(some) + node[ends[:, 1]].tolist(), pa.int64())
+            n = pa.array(np.concatenate((added[some], np.zeros(len(ends), np.int64))))
+            yield pa.RecordBatch.from_arrays([a, b, n], ["a", "b", "n"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        key, held = None, []
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if held and held[0][:4] != row[:4]:
-                    yield from run(held)
+            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
+            ends = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for start, end in itertools.pairwise([0, *ends.tolist(), len(keys)]):
+                if end == start:
+                    continue
+                mine = tuple(keys[start].tolist())
+                if held and mine != key:
+                    yield from run(key, held)
                     held = []
-                held.append(row)
+                key = mine
+                held.append(batch.slice(start, end - start))
         if held:
-            yield from run(held)
+            yield from run(key, held)
 
     found = cut(dealt.mapInArrow(join, "a long, b long, n long"))
     degrees = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
