@@ -85,7 +85,9 @@ def train(
     full = [i for i, (b, _) in enumerate(bags) if len(b)]
     if not full:
         return model
-    seen = np.bincount(np.concatenate([bags[i][0] for i in full]), minlength=size)
+    seen = np.zeros(size, np.int64)
+    for i in full:
+        seen[bags[i][0]] += 1
     known = np.flatnonzero(seen >= max(2, least * len(full)))
     rare = np.log(len(full) / np.maximum(seen, 1))
     place = np.full(size, -1)
@@ -94,7 +96,7 @@ def train(
     for i in full:
         b, n = bags[i]
         at = place[b]
-        items[i] = at[at >= 0], (n / n.sum() * rare[b])[at >= 0]
+        items[i] = at[at >= 0].astype(np.int32), (n / n.sum() * rare[b])[at >= 0].astype(np.float32)
     vectors = (rng.random((len(known), DIM)) - 0.5) * 0.1
     weights, bias = model.weights, model.bias
     seen_v, seen_w, seen_b = np.full(vectors.shape, 1e-8), np.full(weights.shape, 1e-8), np.full(2, 1e-8)
@@ -137,12 +139,12 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         )
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(marked), "id")
-    table = rows.withColumn("x", bag("text")).select("id", "y", "x.b", "x.n").toArrow().sort_by("id")
-    bags = [
-        (np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(n, np.int32))
-        for b, n in zip(table.column("b").to_pylist(), table.column("n").to_pylist(), strict=True)
-    ]
-    return train(bags, table.column("y").to_numpy())
+    table = rows.withColumn("x", bag("text")).select("id", "y", "x.b", "x.n").toArrow()
+    order = np.argsort(table.column("id").to_numpy(), kind="stable")
+    toxic = table.column("y").to_numpy()[order]
+    pairs = list(zip(table.column("b").to_pylist(), table.column("n").to_pylist(), strict=True))
+    del table
+    return train([(np.frombuffer(pairs[i][0], np.int32), np.frombuffer(pairs[i][1], np.int32)) for i in order], toxic)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
