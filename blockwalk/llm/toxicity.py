@@ -24,6 +24,8 @@ BITS, DIM = 18, 8
 LENGTHS = (3, 4, 5)
 #: about so many labelled texts at most are learned from
 SAMPLE = 6000
+#: an n-gram's weight is halved if it is in so many texts
+DOUBT = 5
 
 _PRIME, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,14 +71,15 @@ class Model:
 
 def train(
     bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.3,
-    decay: float = 1e-5, least: float = 0.02, seed: int = 7,
+    decay: float = 1e-5, odds: float = 0.0, seed: int = 7,
 ) -> Model:
     """Vectors and softmax jointly, by AdaGrad on the cross entropy over shuffled batches.
 
     A bag is (buckets, counts). The mean weighs a bucket by how rarely texts hold it (log of
-    texts over texts with it); the trained vectors include that weight. Buckets in less than
-    ``least`` of the bags keep a zero vector: they cannot be told from chance, and count only
-    in the mean's denominator. Without any text the model gives every text the same score.
+    texts over texts with it) and by how far its number of texts can be trusted (texts over
+    texts + DOUBT); the trained vectors include that weight. Every bucket of a bag is learned;
+    rare ones are only held smaller. ``odds``: log odds of a toxic text among all less those
+    among the bags, added to the bias. Without any text the model gives every text the same score.
     """
     rng = np.random.default_rng(seed)
     size = 1 << BITS
@@ -84,51 +87,64 @@ def train(
     model = Model(np.zeros((size, DIM)), rng.standard_normal((DIM, 2)), np.array([0.0, np.log(share / (1 - share))]))
     full = [i for i, (b, _) in enumerate(bags) if len(b)]
     if not full:
+        model.bias[1] += odds
         return model
     seen = np.zeros(size, np.int64)
     for i in full:
         seen[bags[i][0]] += 1
-    known = np.flatnonzero(seen >= max(2, least * len(full)))
-    rare = np.log(len(full) / np.maximum(seen, 1))
-    place = np.full(size, -1)
-    place[known] = np.arange(len(known))
-    items = {}
-    for i in full:
-        b, n = bags[i]
-        at = place[b]
-        items[i] = at[at >= 0].astype(np.int32), (n / n.sum() * rare[b])[at >= 0].astype(np.float32)
-    vectors = (rng.random((len(known), DIM)) - 0.5) * 0.1
+    weight = np.log(len(full) / np.maximum(seen, 1)) * (seen / (seen + DOUBT))
+    vectors = (rng.random((size, DIM)) - 0.5) * 0.1
     weights, bias = model.weights, model.bias
     seen_v, seen_w, seen_b = np.full(vectors.shape, 1e-8), np.full(weights.shape, 1e-8), np.full(2, 1e-8)
+    place = np.zeros(size, np.int64)
     for _ in range(epochs):
         order = rng.permutation(full)
         for lo in range(0, len(order), batch):
             pick = order[lo : lo + batch]
-            bag = np.zeros((len(pick), len(known)))
+            held = np.zeros(size, bool)
+            for i in pick:
+                held[bags[i][0]] = True
+            here = np.flatnonzero(held)
+            place[here] = np.arange(len(here))
+            bag = np.zeros((len(pick), len(here)))
             for row, i in enumerate(pick):
-                bag[row, items[i][0]] = items[i][1]
-            mean = bag @ vectors
+                b, n = bags[i]
+                bag[row, place[b]] = n / n.sum() * weight[b]
+            own = vectors[here]
+            mean = bag @ own
             logit = mean @ weights + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(pick)), toxic[pick].astype(int)] -= 1
             p /= len(pick)
-            gv = bag.T @ (p @ weights.T) + decay * vectors
+            gv = bag.T @ (p @ weights.T) + decay * own
             gw, gb = mean.T @ p + decay * weights, p.sum(0)
-            for value, grad, square in ((vectors, gv, seen_v), (weights, gw, seen_w), (bias, gb, seen_b)):
+            seen_v[here] += gv**2
+            vectors[here] = own - rate * gv / np.sqrt(seen_v[here])
+            for value, grad, square in ((weights, gw, seen_w), (bias, gb, seen_b)):
                 square += grad**2
                 value -= rate * grad / np.sqrt(square)
-    model.vectors[known] = vectors * rare[known][:, None]
+    model.vectors[:] = vectors * weight[:, None]
+    bias[1] += odds
     return model
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled documents, chosen by a hash of the key; whole
-    texts. Rows with a null key, label or text are left out, a key labelled twice counts as
+    texts. Toxic documents may fill half of the sample, and what the other class leaves, so few
+    toxic ones among very many are all learned from; the bias then takes the classes' true
+    odds. Rows with a null key, label or text are left out, a key labelled twice counts as
     toxic if any label says so. The sampled keys (bounded by ``sample``) are broadcast to the
     documents, the bags are made by the tasks, and only they reach the driver, which trains."""
     marked = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y is not null")
-    marked = marked.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    marked = marked.groupBy("id").agg((F.max("y") > 0).cast("int").alias("y"))
+    have = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
+    have = [have.get(0, 0), have.get(1, 0)]
+    some = min(have[1], max(sample // 2, sample - have[0]))
+    take = [min(have[0], sample - some), some]
+    odds = float(np.log(have[1] / have[0]) - np.log(take[1] / take[0])) if min(*have, *take) else 0.0
+    first = [marked.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in enumerate(take)]
+    marked = first[0].unionByName(first[1])
 
     @arrow_udf("struct<b:binary, n:binary>")
     def bag(column: pa.Array) -> pa.Array:
@@ -144,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     toxic = table.column("y").to_numpy()[order]
     pairs = list(zip(table.column("b").to_pylist(), table.column("n").to_pylist(), strict=True))
     del table
-    return train([(np.frombuffer(pairs[i][0], np.int32), np.frombuffer(pairs[i][1], np.int32)) for i in order], toxic)
+    return train([(np.frombuffer(pairs[i][0], np.int32), np.frombuffer(pairs[i][1], np.int32)) for i in order], toxic, odds=odds)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

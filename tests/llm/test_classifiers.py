@@ -121,3 +121,28 @@ def test_toxicity_on_the_larger_table(spark):
     hit = [r["predicted"] for r in rows if r["toxic"] == 1]
     false = [r["predicted"] for r in rows if r["toxic"] == 0]
     assert np.mean(hit) > 0.75 and np.mean(false) < 0.05
+
+
+def test_few_toxic_texts_among_many_are_learned(words):
+    texts, y = toy(words, 800)
+    keep = [i for i in range(800) if not y[i] or i % 100 == 0]  # 8 of 608
+    texts, y = [texts[i] for i in keep], y[keep]
+    weight, bias = toxicity.train([toxicity.subwords(t.encode()) for t in texts], y, epochs=20).flat()
+
+    def score(t):
+        b, n = toxicity.subwords(t.encode())
+        return weight[b] @ n / n.sum() + bias
+
+    clean = words(40)
+    assert score(clean) < 0 < score(clean + " worthles disgustin patheticc worthlesss")
+
+
+def test_the_sample_takes_toxic_texts_first(spark, words):
+    texts, y = toy(words, 800)
+    keep = [i for i in range(800) if not y[i] or i % 64 == 0]
+    docs = spark.createDataFrame([(i, texts[i]) for i in keep], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, int(y[i])) for i in keep], "doc_id int, toxic int")
+    model = toxicity.learn(docs, labels, sample=100)
+    rows = toxicity.score(docs, model).collect()
+    assert all(r["predicted"] for r in rows if y[r["doc_id"]])
+    assert sum(r["predicted"] for r in rows if not y[r["doc_id"]]) < 6
