@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -56,13 +58,15 @@ NOTICES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
     "provided that the above copyright notice and this permission notice appear in all copies.",
 }
-#: only lines with one of these can begin a notice
-TRIGGERS = [b"licens", b"licenc", b"permission", b"redistribut", b"source code form", b"released under"]
+#: a notice holds at least one of these; their words may be wrapped
+TRIGGERS = ["licens", "licenc", "permission", "redistribut", "source code form", "released under"]
 #: a notice may differ from its template in so many of the template's words, but in none that name the license
 DIFFERENT = 0.1
 #: templates whose saving is that near the best are compared as well
 CLOSE = 0.1
 
+_TRIGGER = re.compile("|".join(t.replace(" ", r"\W+") for t in TRIGGERS))
+_TRIGGER_BYTES = re.compile(_TRIGGER.pattern.encode())
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 
@@ -82,6 +86,20 @@ class Template:
     def words(self) -> list[str]:
         return _words(self.text)
 
+    @cached_property
+    def count(self) -> Counter:
+        return Counter(self.words)
+
+    @cached_property
+    def triggers(self) -> list[int]:
+        """Places of the triggers among the words."""
+        return _trigger_words(self.text.lower(), [m.start() for m in _WORD.finditer(self.text.lower())])
+
+    @cached_property
+    def slack(self) -> int:
+        """Words that a notice may have more than the template."""
+        return int(DIFFERENT * len(self.words)) + 1
+
     @cached_property
     def press(self) -> zstandard.ZstdCompressor:
         raw = zstandard.ZstdCompressionDict(self.text.lower().encode() * (1 + 16 // len(self.text)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -107,13 +125,19 @@ def _size(press, block: str) -> int:
     return len(press.compress(block.encode()))
 
 
-def differences(template: Template, block: list[str]) -> tuple[float, int]:
-    """(share of the template's words that differ, words of the block it covers); words before
-    and after the part of the block that matches are not counted. 1 if a naming word differs."""
+def _trigger_words(low: str, starts: list[int]) -> list[int]:
+    """Numbers of the words in which triggers begin; ``starts`` are the words' positions."""
+    return sorted({bisect_right(starts, m.start()) - 1 for m in _TRIGGER.finditer(low)})
+
+
+def differences(template: Template, block: list[str]) -> tuple[float, int, int]:
+    """(share of the template's words that differ, first and end of the words of the block it
+    covers); words before and after the part of the block that matches are not counted. 1 if a
+    naming word differs."""
     match = difflib.SequenceMatcher(None, template.words, block, autojunk=False)
     same = [m for m in match.get_matching_blocks() if m.size]
     if not same:
-        return 1.0, 0
+        return 1.0, 0, 0
     kept = {w for m in same for w in template.words[m.a : m.a + m.size]}
     first, last = same[0].b, same[-1].b + same[-1].size
     shared = sum(m.size for m in same)
@@ -121,60 +145,57 @@ def differences(template: Template, block: list[str]) -> tuple[float, int]:
     lost = len(template.words) - shared
     extra = [w for w in block[first:last] if any(c.isdigit() for c in w) and w not in template.words]
     if not template.named <= kept or extra:
-        return 1.0, last
-    return max(lost, inside) / len(template.words), last
+        return 1.0, first, last
+    return max(lost, inside) / len(template.words), first, last
 
 
 def find_notices(text: bytes | None) -> list[tuple[str, float, float]]:
-    """(license, saving, difference) of each notice, in order. A notice begins on a line with a
-    trigger; a template is tried on as much text as it is long, from that line on."""
+    """(license, saving, difference) of each notice, in order, wherever lines end.
+
+    At each trigger every template is laid so that one of its own triggers comes there. Blocks
+    are ranked by what they save; from the best confirmed one, those within CLOSE are compared,
+    and the words that the notice covers are done with. Templates that lack a naming word or too
+    many words in the block cannot be confirmed and are not compressed.
+    """
     global _plain
-    low = (text or b"").lower()
-    if not any(t in low for t in TRIGGERS):
+    if not _TRIGGER_BYTES.search((text or b"").lower()):
         return []
     if _plain is None:
         _plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         _templates.extend(templates())
-    lines = (text or b"").decode(errors="replace").lower().split("\n")
-    out, skip = [], 0
-    for at, line in enumerate(lines):
-        if at < skip or not any(t.decode() in line for t in TRIGGERS):
+    low = (text or b"").decode(errors="replace").lower()
+    spans = [m.span() for m in _WORD.finditer(low)]
+    words = [low[a:b] for a, b in spans]
+    out, done = [], 0
+    for at in _trigger_words(low, [a for a, _ in spans]):
+        if at < done:
             continue
         ranked = []
         for t in _templates:
-            end = at + 1
-            size = len(line)
-            while size < len(t.text) and end < len(lines):
-                size += len(lines[end]) + 1
-                end += 1
-            # a long line is cut into stretches around its triggers
-            whole = " ".join(lines[at:end])
-            for start in _starts(whole, line, len(t.text)):
-                block = whole[start : start + len(t.text) + 40]
-                ranked.append((1 - _size(t.press, block) / _size(_plain, block), t, block, end))
-        best = max((r[0] for r in ranked), default=0)
-        checked = []
-        for saving, t, block, end in ranked:
-            if saving >= best - CLOSE:
-                share, covered = differences(t, _words(block))
-                if share <= DIFFERENT:
-                    checked.append((share, -len(t.words), -saving, t.license, end, covered))
+            for begin in sorted({max(done, at - k - t.slack) for k in t.triggers}):
+                end = min(len(words), begin + len(t.words) + 3 * t.slack)
+                block = words[begin:end]
+                if end <= at or not t.named <= set(block):
+                    continue
+                if (t.count - Counter(block)).total() > DIFFERENT * len(t.words):
+                    continue
+                piece = low[spans[begin][0] : spans[end - 1][1]]
+                ranked.append((1 - _size(t.press, piece) / _size(_plain, piece), t, begin, block))
+        ranked.sort(key=lambda r: -r[0])
+        checked, best = [], 0.0
+        for saving, t, begin, block in ranked:
+            if checked and saving < best - CLOSE:
+                break
+            share, first, last = differences(t, block)
+            if share <= DIFFERENT and begin + first <= at < begin + last:
+                best = best if checked else saving
+                checked.append((share, -len(t.words), -saving, t.license, begin + last))
         if checked:
-            share, _, saving, license, end, _ = min(checked)
+            share, _, saving, license, done = min(checked)
             out.append((license, -saving, share))
-            skip = end if len(line) < 200 else at + 1
     return out
 
 
-def _starts(whole: str, line: str, size: int) -> list[int]:
-    """Where blocks of a line begin: its start, and for a line longer than the template the word
-    some way before each trigger."""
-    if len(line) <= size + 40:
-        return [0]
-    found = {m.start() for t in TRIGGERS for m in re.finditer(re.escape(t.decode()), line)}
-    return sorted({max(0, whole.rfind(" ", 0, max(0, at - 30)) + 1) for at in found})
-
-
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with notices: array of (license, saving, difference) in order of occurrence.
 

@@ -51,3 +51,11 @@ def test_table(spark):
     got = sorted((r["doc_id"], [n["license"] for n in r["notices"]]) for r in licenses.scan(docs).collect())
     assert got == [(1, ["MIT", "CC-BY-NC-4.0"]), (2, []), (3, []), (4, []), (5, ["MIT"]), (5, ["MIT"])]
     assert licenses.scan(docs.limit(0)).collect() == []
+
+
+def test_each_notice_of_a_line_and_of_adjacent_lines_counts(words):
+    one = "Released under the MIT License. Some words here. Licensed under CC BY-NC 4.0."
+    assert found(one) == ["MIT", "CC-BY-NC-4.0"]
+    assert found(f"{words(150)} {one} {words(150)} {one}") == ["MIT", "CC-BY-NC-4.0"] * 2
+    assert found("Licensed under the MIT License\nLicensed under the Apache License 2.0") == ["MIT", "Apache-2.0"]
+    assert found("Released under the MIT License. Released\nunder the MIT License.") == ["MIT", "MIT"]
