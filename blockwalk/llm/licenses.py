@@ -24,16 +24,16 @@ from .text import as_bytes, with_columns
 
 # fixed values: names of licenses, phrases that grant them, and the opening words of notices
 NAMES = {
-    "MIT": ["MIT License"],
+    "MIT": ["MIT License", "MIT"],
     "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0"],
     "GPL-2.0": ["GNU General Public License, version 2", "GPL-2.0"],
     "GPL-3.0": ["GNU General Public License, version 3", "GPL-3.0"],
     "LGPL-3.0": ["GNU Lesser General Public License, version 3", "LGPL-3.0"],
     "AGPL-3.0": ["GNU Affero General Public License, version 3", "AGPL-3.0"],
     "MPL-2.0": ["Mozilla Public License, Version 2.0", "MPL-2.0"],
-    "BSD-2-Clause": ["BSD 2-Clause License"],
-    "BSD-3-Clause": ["BSD 3-Clause License"],
-    "ISC": ["ISC License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "BSD-3-Clause"],
+    "ISC": ["ISC License", "ISC"],
     "CC0-1.0": ["CC0 1.0"],
     "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
     "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
@@ -67,6 +67,8 @@ CLOSE = 0.1
 
 _TRIGGER = re.compile("|".join(t.replace(" ", r"\W+") for t in TRIGGERS))
 _TRIGGER_BYTES = re.compile(_TRIGGER.pattern.encode())
+#: after a name, "-0" or "-style" make another one
+_LONGER = re.compile(r"-(?!only\b|or\b)[^\W_]")
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 
@@ -187,7 +189,7 @@ def find_notices(text: bytes | None) -> list[tuple[str, float, float]]:
             if checked and saving < best - CLOSE:
                 break
             share, first, last = differences(t, block)
-            if share <= DIFFERENT and begin + first <= at < begin + last:
+            if share <= DIFFERENT and begin + first <= at < begin + last and not _LONGER.match(low, spans[begin + last - 1][1]):
                 best = best if checked else saving
                 checked.append((share, -len(t.words), -saving, t.license, begin + last))
         if checked:

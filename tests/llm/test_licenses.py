@@ -59,3 +59,19 @@ def test_each_notice_of_a_line_and_of_adjacent_lines_counts(words):
     assert found(f"{words(150)} {one} {words(150)} {one}") == ["MIT", "CC-BY-NC-4.0"] * 2
     assert found("Licensed under the MIT License\nLicensed under the Apache License 2.0") == ["MIT", "Apache-2.0"]
     assert found("Released under the MIT License. Released\nunder the MIT License.") == ["MIT", "MIT"]
+
+
+@pytest.mark.parametrize("id", ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-4.0"])
+def test_spdx_lines(id):
+    assert found(f"# SPDX-License-Identifier: {id}\nimport os\n") == [id]
+    assert found(f"/* SPDX-License-Identifier: {id} */") == [id]
+    assert found(f"// SPDX-License-Identifier: {id}-style") == []
+
+
+@pytest.mark.parametrize("license", ["GPL-2.0", "GPL-3.0", "MPL-2.0", "BSD-3-Clause"])
+def test_headers_wrapped_anywhere(license):
+    w = licenses.NOTICES[license].split()
+    for width in (3, 7, 12):
+        lines = [" ".join(w[i : i + width]) for i in range(0, len(w), width)]
+        assert found("/*\n * " + "\n * ".join(lines) + "\n */\nint main;") == [license]
+    assert found("// SPDX-License-Identifier: GPL-2.0-or-later") == ["GPL-2.0"]
