@@ -151,7 +151,25 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM v JOIN low ON id = vec_id LEFT JOIN degree ON a = vec_id
 """
 
+_SUBSTRING = f"""
+WITH split AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS words FROM documents),
+  windows AS (
+    SELECT doc_id, p, array_to_string(words[p : p + 19], ' ') AS w
+    FROM (SELECT *, unnest(range(1, len(words) - 18)) AS p FROM split WHERE len(words) >= 20)),
+  repeated AS (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) > 1 AS again FROM windows),
+  numbered AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM split),
+  marked AS (
+    SELECT n.doc_id, n.p, word, coalesce(bool_or(again) OVER (PARTITION BY n.doc_id ORDER BY n.p ROWS 19 PRECEDING), false) AS gone
+    FROM numbered n LEFT JOIN repeated r ON n.doc_id = r.doc_id AND n.p = r.p),
+  kept AS (
+    SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT gone), '') AS kept
+    FROM marked GROUP BY doc_id)
+SELECT s.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k USING (doc_id)"""
+
+
 ORACLE: dict[str, str] = {
     "op1_mixing": _mixing(), "op2_warc": _WARC, "op3_ngram_join": _NGRAM_JOIN, "op5_pii": _pii(), "op7_decontamination": _DECONTAMINATION,
     "op10_embedding_join": _EMBEDDING_JOIN,
+    "op13_substring_dedup": _SUBSTRING,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, work_root
-from . import decontam, embed_join, langid, licenses, mixing, ngram_join, pii, token_counts, toxicity, warc
+from . import decontam, embed_join, langid, licenses, mixing, ngram_join, pii, substring, token_counts, toxicity, warc
 from .shipping import ship
 from .text import held_out
 
@@ -92,6 +92,11 @@ def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_join.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_warc, op3_ngram_join, op4_licenses, op5_pii, op6_token_counts, op7_decontamination, op8_toxicity, op9_language_id, op10_embedding_join)
+    f.__name__: f for f in (op1_mixing, op2_warc, op3_ngram_join, op4_licenses, op5_pii, op6_token_counts, op7_decontamination, op8_toxicity, op9_language_id, op10_embedding_join, op13_substring_dedup)
 }
