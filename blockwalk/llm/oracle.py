@@ -151,6 +151,58 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM v JOIN low ON id = vec_id LEFT JOIN degree ON a = vec_id
 """
 
+_HARD_NEGATIVES = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  score AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, list_dot_product(a.e, b.e)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND len(a.e) = len(b.e)),
+  positive AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM score WHERE alike AND id <> anchor_id
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN score USING (anchor_id)
+WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER w <= 10"""
+
+
+_PREFIX_TRIE = """
+WITH RECURSIVE own AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+  bits(n, i, v) AS (
+    SELECT n, 0, n FROM range(256) t(n)
+    UNION ALL SELECT n, i + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE i < 8),
+  crc(c, s, i, v) AS (
+    SELECT DISTINCT c, c::VARCHAR, 0, 4294967295::BIGINT FROM own
+    UNION ALL SELECT c, s, crc.i + 1, xor(crc.v >> 8, b.v) FROM crc JOIN bits b ON b.i = 8 AND b.n = xor(crc.v & 255, ascii(s[crc.i + 1])::BIGINT) WHERE crc.i < len(s)),
+  conv AS (
+    SELECT c, c - c % 5 AS base, xor(v, 4294967295) % 9 AS h, (SELECT count(*) FROM own o WHERE o.c = crc.c - crc.c % 5) AS n_base
+    FROM crc WHERE i = len(s)),
+  rebuilt AS (
+    SELECT v.c, o.pos, role, text FROM conv v JOIN own o ON o.c = v.base AND o.pos <= h
+    UNION ALL SELECT v.c, least(h, n_base) + o.pos - h, role, text FROM conv v JOIN own o ON o.c = v.c AND o.pos > h),
+  path(c, depth, node, parent, bytes) AS (
+    SELECT c, 0::BIGINT, '', NULL, 0::BIGINT FROM conv
+    UNION ALL SELECT p.c, p.depth + 1, md5(node || '/' || md5(role) || md5(text)), node, strlen(text)::BIGINT FROM path p JOIN rebuilt r ON r.c = p.c AND r.pos = p.depth + 1),
+  node AS (SELECT node, depth, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM path GROUP BY node, depth),
+  kids AS (SELECT parent AS node, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY parent),
+  below AS (
+    SELECT p.node, sum((n_convs - 1) * n.bytes) AS saved_tokens, count(*) FILTER (k.node IS NULL) AS n_leaves
+    FROM node n LEFT JOIN kids k ON k.node = n.node JOIN path p ON p.c = n.conv_id AND p.depth <= n.depth GROUP BY p.node),
+  ends AS (
+    SELECT node, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS sha
+    FROM (SELECT * FROM path QUALIFY depth = max(depth) OVER (PARTITION BY c)) GROUP BY node)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+FROM node n LEFT JOIN node u ON u.node = n.parent AND n.depth > 0 LEFT JOIN kids k ON k.node = n.node JOIN below b ON b.node = n.node LEFT JOIN ends e ON e.node = n.node"""
+
+
 _SUBSTRING = f"""
 WITH split AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS words FROM documents),
   windows AS (
@@ -171,5 +223,7 @@ FROM split s LEFT JOIN kept k USING (doc_id)"""
 ORACLE: dict[str, str] = {
     "op1_mixing": _mixing(), "op2_warc": _WARC, "op3_ngram_join": _NGRAM_JOIN, "op5_pii": _pii(), "op7_decontamination": _DECONTAMINATION,
     "op10_embedding_join": _EMBEDDING_JOIN,
+    "op11_hard_negatives": _HARD_NEGATIVES,
+    "op12_prefix_trie": _PREFIX_TRIE,
     "op13_substring_dedup": _SUBSTRING,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, work_root
-from . import decontam, embed_join, langid, licenses, mixing, ngram_join, pii, substring, token_counts, toxicity, warc
+from . import decontam, embed_join, hard_negatives, langid, licenses, mixing, ngram_join, pii, prefix_trie, substring, token_counts, toxicity, warc
 from .shipping import ship
 from .text import held_out
 
@@ -92,11 +92,31 @@ def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_join.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    wide = F.col("embedding").cast("array<double>")
+    usable = F.col("embedding").isNotNull() & ~F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.filter(usable).select("vec_id", label.alias("label"), F.transform(wide, lambda x: F.floor(256 * x)).alias("embedding"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+def rebuilt_conversations(conversations: DataFrame, hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(turns, ids): every conversation c starts with turns of conversation c - c % 5."""
+    turns = cut(prefix_trie.ordered_turns(conversations, hot_rows=hot_rows))
+    heads = F.crc32(F.col("conv").cast("string").cast("binary")) % 9
+    return prefix_trie.grafted(turns, F.col("conv") - F.col("conv") % 5, heads, 8, hot_rows), turns.select("conv")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*rebuilt_conversations(_table(spark, sf_dir, "conversations")))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_warc, op3_ngram_join, op4_licenses, op5_pii, op6_token_counts, op7_decontamination, op8_toxicity, op9_language_id, op10_embedding_join, op13_substring_dedup)
+    f.__name__: f for f in (op1_mixing, op2_warc, op3_ngram_join, op4_licenses, op5_pii, op6_token_counts, op7_decontamination, op8_toxicity, op9_language_id, op10_embedding_join, op11_hard_negatives, op12_prefix_trie, op13_substring_dedup)
 }
