@@ -1,7 +1,7 @@
 """Ranking rule and score maps.
 
-Seed scores are whole multiples of ``1 / UNIT``, so their sums are exact whatever the order of the
-terms, and are compared as they are. Ties go to the smaller seed (or edge id).
+Seed scores come from exact sums (``mass``), so they are the same whatever the order of the terms,
+and are compared as they are. Ties go to the smaller seed (or edge id).
 """
 
 from __future__ import annotations
@@ -10,10 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: parts of one unit of mass; sums stay exact in a double up to 2^53 / UNIT = 8,388,608
-UNIT = 1 << 30
-
-
 def rank_key(score: str = "score") -> Column:
     return F.col(score)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import UNIT, merge_arrays, rank_key, score_array
+from ..functions import mass
+from ..functions.scores import merge_arrays, rank_key, score_array
 from ..graph import Graph
 from ..runtime import cut, release
 from ..skew import join_small
@@ -23,53 +24,56 @@ def spread_mass(
     arrivals; with ``topk`` both scores and arrivals then keep their k best seeds. ``fade``
     multiplies the old score where something arrives.
 
-    Mass is counted in whole parts of 1 / UNIT and shares are rounded down, so sums do not
-    depend on the order in which messages arrive.
+    Amounts are exact (``functions.mass``), so sums do not depend on the order in which messages
+    arrive; shares are rounded down to 2^-93 of a unit. What arrives is sent on however small it
+    is, also where it rounds to 0: reach does not depend on the amount.
     """
     links = graph.links("out")
-    start = (
-        seeds.filter(F.col("value") > 0)
-        .groupBy("seed")
-        .agg(F.round(F.max("value") * UNIT).cast("long").alias("score"))
-        .join(graph.vertex_ids().withColumnRenamed("id", "seed"), "seed", "left_semi")
-        .select(F.col("seed").alias("id"), "seed", "score", F.col("score").alias("inc"))
-    )
-    state = cut(start)
+    held, arrived = mass.names("s"), mass.names("i")
+    some, none = F.lit(1), F.lit(0)
+    start = seeds.filter(F.col("value") > 0).groupBy("seed").agg(F.max("value").alias("value"))
+    start = start.join(graph.vertex_ids().withColumnRenamed("id", "seed"), "seed", "left_semi")
+    amount = mass.from_double(F.col("value"))
+    state = cut(start.select(
+        F.col("seed").alias("id"), "seed", *[a.alias(n) for n, a in zip(held, amount, strict=True)],
+        *[a.alias(n) for n, a in zip(arrived, amount, strict=True)], F.lit(True).alias("counts"), F.lit(True).alias("moves"),
+    ))
     zero = F.lit(0).cast("long")
     for _ in range(rounds):
-        out = F.col("inc") if keep == 1 else F.floor(F.col("inc") * keep)
-        sent = links.join(state.filter(F.col("inc").isNotNull()).select("id", "seed", out.alias("_out")), many=topk is None)
-        arrived = sent.select(
-            F.col("to").alias("id"), "seed", zero.alias("score"), F.expr("_out div out_deg").alias("inc")
+        out = [F.col(n) for n in arrived]
+        out = out if keep == 1 else mass.scaled(out, keep)
+        moving = state.filter("moves").select("id", "seed", *[a.alias(n) for n, a in zip(arrived, out, strict=True)])
+        sent = links.join(moving, many=topk is None)
+        shares = mass.divided([F.col(n) for n in arrived], F.col("out_deg"))
+        come = sent.select(
+            F.col("to").alias("id"), "seed", *[zero.alias(n) for n in held], *[a.alias(n) for n, a in zip(arrived, shares, strict=True)], some.alias("got")
         )
-        held = state.filter(F.col("score").isNotNull()).select("id", "seed", "score", zero.alias("inc"))
-        both = arrived.unionByName(held).groupBy("id", "seed").agg(F.sum("score").alias("score"), F.sum("inc").alias("inc"))
-        got = F.col("inc") > 0
-        old = F.col("score") if fade is None else F.when(got, F.floor(F.col("score") * fade)).otherwise(F.col("score"))
-        updated = both.withColumn("score", old + F.col("inc"))
+        old = state.filter("counts").select("id", "seed", *held, *[zero.alias(n) for n in arrived], none.alias("got"))
+        both = come.unionByName(old).groupBy("id", "seed").agg(*[F.sum(n).alias(n) for n in (*held, *arrived)], (F.max("got") > 0).alias("moves"))
+        both = both.select("id", "seed", *held, *[a.alias(n) for n, a in zip(arrived, mass.carried([F.col(n) for n in arrived]), strict=True)], "moves")
+        before = [F.col(n) for n in held]
+        if fade is not None:
+            before = [F.when(F.col("moves"), a).otherwise(F.col(n)) for n, a in zip(held, mass.scaled(before, fade), strict=True)]
+        total = mass.carried([b + F.col(n) for b, n in zip(before, arrived, strict=True)])
+        updated = both.select("id", "seed", *[a.alias(n) for n, a in zip(held, total, strict=True)], *arrived, "moves")
         if topk is None:
-            updated = updated.withColumn("inc", F.when(got, F.col("inc")))
+            updated = updated.withColumn("counts", F.lit(True))
         else:
             # groups hold at most one row per seed
+            ranked = updated.withColumn("score", mass.to_double([F.col(n) for n in held])).withColumn("inc", mass.to_double([F.col(n) for n in arrived]))
             by_score = Window.partitionBy("id").orderBy(rank_key("score").desc(), "seed")
-            by_inc = Window.partitionBy("id").orderBy(rank_key("inc").desc(), "seed")
+            by_inc = Window.partitionBy("id").orderBy(F.desc("moves"), rank_key("inc").desc(), "seed")
             updated = (
-                updated.withColumn("_s", F.row_number().over(by_score))
-                .withColumn("_i", F.row_number().over(by_inc))
-                .select(
-                    "id",
-                    "seed",
-                    F.when(F.col("_s") <= topk, F.col("score")).alias("score"),
-                    F.when((F.col("_i") <= topk) & got, F.col("inc")).alias("inc"),
-                )
-                .filter(F.col("score").isNotNull() | F.col("inc").isNotNull())
+                ranked.withColumn("counts", F.row_number().over(by_score) <= topk)
+                .withColumn("moves", F.col("moves") & (F.row_number().over(by_inc) <= topk))
+                .filter("counts or moves")
             )
-        next_state = cut(updated.select("id", "seed", "score", "inc"))
+        next_state = cut(updated.select("id", "seed", *held, *arrived, "counts", "moves"))
         release(state)
         state = next_state
-        if state.filter(F.col("inc").isNotNull()).isEmpty():
+        if state.filter("moves").isEmpty():
             break
-    return state.filter(F.col("score").isNotNull()).select("id", "seed", (F.col("score") / UNIT).alias("score"))
+    return state.filter("counts").select("id", "seed", mass.to_double([F.col(n) for n in held]).alias("score"))
 
 
 def propagate(graph: Graph, seeds: DataFrame, iterations: int, topk: int) -> DataFrame:

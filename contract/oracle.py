@@ -44,23 +44,40 @@ def seeded(sql: Sql, seeds: int = SEEDS) -> Sql:
     return sql.add("seeds", f"SELECT id AS seed, 100000.0::DOUBLE AS value FROM deg ORDER BY degree DESC, id DESC LIMIT {seeds}")
 
 
-UNIT = 1 << 30  # mass is counted in whole parts of 1 / UNIT
+UNIT = f"{1 << 93}::HUGEINT"  # blocks rank exact amounts, in whole parts of 1 / UNIT
+
+
+def as_double(parts: str) -> str:
+    """The double that an amount is ranked by: its four digits of 31 bits, smallest first."""
+    digit = lambda k: f"(({parts}) // {1 << (31 * (3 - k))}::HUGEINT{f' % {1 << 31}' if k else ''})::DOUBLE / {1 << (31 * k)}::DOUBLE"
+    return f"({digit(0)} + ({digit(1)} + ({digit(2)} + {digit(3)})))"
 
 
 def scored(sql: Sql, seeds: int = SEEDS, rounds: int = ROUNDS) -> Sql:
     """Seed propagation: scores(id, seed, score)."""
     seeded(sql, seeds)
-    sql.add("a0", f"SELECT seed AS id, seed, (value * {UNIT})::BIGINT AS score FROM seeds")
+    sql.add("a0", f"SELECT seed AS id, seed, value::HUGEINT * {UNIT} AS parts, value AS score FROM seeds")
     sql.add("f0", "SELECT * FROM a0")
     for t in range(1, rounds + 1):
         p = t - 1
-        sql.add(f"m{t}", f"""SELECT ed.dst AS id, f.seed, sum(f.score // ed.d)::BIGINT AS score
-            FROM f{p} f JOIN ed ON ed.src = f.id GROUP BY ed.dst, f.seed""")
-        sql.add(f"s{t}", f"""SELECT id, seed, sum(score)::BIGINT AS score FROM
-            (SELECT * FROM a{p} UNION ALL SELECT * FROM m{t}) GROUP BY id, seed""")
+        sql.add(f"m{t}", f"""SELECT *, {as_double('parts')} AS score FROM (SELECT ed.dst AS id, f.seed, sum(f.parts // ed.d)::HUGEINT AS parts
+            FROM f{p} f JOIN ed ON ed.src = f.id GROUP BY ed.dst, f.seed)""")
+        sql.add(f"s{t}", f"""SELECT *, {as_double('parts')} AS score FROM (SELECT id, seed, sum(parts)::HUGEINT AS parts FROM
+            (SELECT * FROM a{p} UNION ALL SELECT * FROM m{t}) GROUP BY id, seed)""")
         sql.add(f"a{t}", top(f"s{t}"))
         sql.add(f"f{t}", top(f"m{t}"))
-    return sql.add("scores", f"SELECT id, seed, score / {UNIT}::DOUBLE AS score FROM a{rounds}")
+    return sql.add("scores", f"SELECT id, seed, score FROM a{rounds}")
+
+
+def spread_in_doubles(rounds: int = ROUNDS) -> Sql:
+    """The same scores from plain doubles; sums that differ from the twelfth digit on are ties."""
+    sql = seeded(Sql()).add("a0", "SELECT seed AS id, seed, value AS score FROM seeds").add("f0", "SELECT * FROM a0")
+    best = lambda name: top(name).replace("ORDER BY score", "ORDER BY round(score, 8)")
+    for t in range(1, rounds + 1):
+        sql.add(f"m{t}", f"SELECT ed.dst AS id, f.seed, sum(f.score / ed.d) AS score FROM f{t - 1} f JOIN ed ON ed.src = f.id GROUP BY ed.dst, f.seed")
+        sql.add(f"s{t}", f"SELECT id, seed, sum(score) AS score FROM (SELECT * FROM a{t - 1} UNION ALL SELECT * FROM m{t}) GROUP BY id, seed")
+        sql.add(f"a{t}", best(f"s{t}")).add(f"f{t}", best(f"m{t}"))
+    return sql
 
 
 def top(name: str, keys: str = "id") -> str:
@@ -282,7 +299,7 @@ def oracle_sql() -> dict[str, str]:
         o[name] = Sql().out(f"SELECT edge_id, src, dst, CAST({PART_OF[kind](parts)} AS BIGINT) AS part FROM e")
     # seeds and blocks
     o["top_degree_seeds"] = seeded(Sql()).out("SELECT seed, value FROM seeds")
-    o["propagate"] = scored(Sql()).out(f"SELECT id, seed, {f32('score')} AS score FROM scores")
+    o["propagate"] = spread_in_doubles().out(f"SELECT id, seed, {f32('score')} AS score FROM a{ROUNDS}")
     o["unvisited"] = scored(Sql(), 2, 1).add("hit", "SELECT DISTINCT id FROM scores").out("""
         SELECT 'vertices' AS kind, (SELECT count(*) FROM v WHERE id NOT IN (SELECT id FROM hit)) AS n
         UNION ALL SELECT 'edges', (SELECT count(*) FROM e WHERE src NOT IN (SELECT id FROM hit) AND dst NOT IN (SELECT id FROM hit))""")
@@ -435,14 +452,14 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT {t + 1}::BIGINT AS round, coalesce(sum(n), 0)::BIGINT AS elements FROM (SELECT ind.d AS n FROM q{t} q JOIN ind ON ind.id = q.id WHERE q.inc > 0.001)"
         for t in range(3)))
     for name, old in (("hub_ppr", "0.15"), ("hub_ppr_sum", "1.0")):
-        sql = seeded(Sql()).add("a0", f"SELECT seed AS id, seed, (value * {UNIT})::BIGINT AS score, (value * {UNIT})::BIGINT AS inc FROM seeds")
+        sql = seeded(Sql()).add("a0", "SELECT seed AS id, seed, value AS score, value AS inc FROM seeds")
         for t in range(1, ROUNDS + 1):
-            sql.add(f"m{t}", f"""SELECT ed.dst AS id, a.seed, sum(floor(a.inc * 0.85::DOUBLE)::BIGINT // ed.d)::BIGINT AS inc FROM a{t - 1} a
-                JOIN ed ON ed.src = a.id WHERE a.inc > 0 GROUP BY ed.dst, a.seed""")
+            sql.add(f"m{t}", f"""SELECT ed.dst AS id, a.seed, sum(a.inc * 0.85 / ed.d) AS inc FROM a{t - 1} a
+                JOIN ed ON ed.src = a.id WHERE a.inc IS NOT NULL GROUP BY ed.dst, a.seed""")
             sql.add(f"a{t}", f"""SELECT coalesce(a.id, m.id) AS id, coalesce(a.seed, m.seed) AS seed,
-                CASE WHEN m.inc IS NULL THEN a.score ELSE floor(coalesce(a.score, 0) * {old}::DOUBLE)::BIGINT + m.inc END AS score, m.inc AS inc
+                CASE WHEN m.inc IS NULL THEN a.score ELSE coalesce(a.score, 0) * {old}::DOUBLE + m.inc END AS score, m.inc AS inc
                 FROM a{t - 1} a FULL JOIN m{t} m ON m.id = a.id AND m.seed = a.seed""")
-        o[name] = sql.out(f"SELECT id, seed, {f32(f'score / {UNIT}::DOUBLE')} AS score FROM a{ROUNDS}")
+        o[name] = sql.out(f"SELECT id, seed, {f32('score')} AS score FROM a{ROUNDS}")
     # PageRank and structure
     sql = Sql().add("r0", "SELECT id, 0.15::DOUBLE AS rank FROM v")
     for t in range(1, 6):
