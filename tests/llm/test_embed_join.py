@@ -68,24 +68,74 @@ def test_empty_table_repeated_rows_other_threshold(spark):
     assert [tuple(r) for r in ej.near_vectors(spark.createDataFrame([one] * 3, SCHEMA)).collect()] == [(one[0], 2, one[0], True)] * 3
 
 
-def test_pigeonhole_and_exactly_one_meeting():
-    rng = np.random.default_rng(8)
-    dim = 32
-    a = rng.standard_normal((40, dim))
-    b = a + 0.2 * rng.standard_normal((40, dim))
-    unit = np.concatenate((a, b))
-    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True) @ ej.rotation(dim)
-    for axes in (1, 2, 3):
-        homes, visits = {}, {}
-        for cell, rows, visit in ej.cells_of(unit, 0.95, axes):
-            for c, r, v in zip(cell.tolist(), rows.tolist(), visit.tolist(), strict=True):
-                (visits if v else homes).setdefault((c >> (12 * axes), r), []).append(c)
-        share = ej.budgets(dim, 0.95)
-        for i in range(40):
-            away = np.array([((unit[i, s] - unit[40 + i, s]) ** 2).sum() for s in ej.blocks_of(dim)])
-            if unit[i] @ unit[40 + i] >= 0.95:
-                assert (away <= share).any()
-            for k in np.flatnonzero(away <= share):
-                x, y = homes[k, i][0], homes[k, 40 + i][0]
-                meets = (x == y) + visits.get((k, i), []).count(y) + visits.get((k, 40 + i), []).count(x)
-                assert meets == 1
+def pairs_of(seed, n, dim, noise=0.2):
+    rng = np.random.default_rng(seed)
+    a = rng.standard_normal((n, dim))
+    unit = np.concatenate((a, a + noise * rng.standard_normal((n, dim))))
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True) @ ej.rotation(dim)
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3, 6])
+def test_pigeonhole_and_exactly_one_meeting(depth):
+    dim, n = 32, 40
+    unit = pairs_of(8, n, dim)
+    share = ej.budgets(dim, 0.95)
+    meets = {}
+    for k, block in enumerate(ej.blocks_of(dim)):
+        row, cell, visits = ej.cells_of(unit[:, block], ej.tree_of(unit[:, block], depth), share[k])
+        homes = dict(zip(row[~visits].tolist(), cell[~visits].tolist(), strict=True))
+        guests = set(zip(row[visits].tolist(), cell[visits].tolist(), strict=True))
+        assert len(homes) == 2 * n
+        for i in range(n):
+            x, y = homes[i], homes[n + i]
+            meets[k, i] = (x == y) + ((i, y) in guests) + ((n + i, x) in guests)
+    for i in range(n):
+        away = np.array([((unit[i, s] - unit[n + i, s]) ** 2).sum() for s in ej.blocks_of(dim)])
+        if unit[i] @ unit[n + i] >= 0.95:
+            assert (away <= share).any()
+        assert all(meets[k, i] == 1 for k in np.flatnonzero(away <= share))
+
+
+@pytest.mark.parametrize(("within", "leaf", "same"), [(True, 192, False), (True, 8, False), (False, 8, False), (True, 8, True)])
+def test_sketches_lose_no_pair(monkeypatch, within, leaf, same):
+    """Every pair within the budgets is found; only rows near one are."""
+    monkeypatch.setattr(ej, "_LEAF", leaf)
+    dim, n = 64, 300
+    unit = pairs_of(5, n, dim, 0.3)
+    unit[2:12] = unit[2]
+    if same:
+        unit[:200, :8] = unit[0, :8]
+    share, block = ej.budgets(dim, 0.95), ej.blocks_of(dim)[0]
+    shown = ej.sketch(unit)[:, ej.sketched(block, dim)]
+    own, others = (np.arange(2 * n), np.arange(0)) if within else (np.arange(n), np.arange(n, 2 * n))
+    a, b = ej.partners(shown[own], shown[others], 8, share[0], share.sum(), within)
+    away = ((unit[:, None, :] - unit[None, :, :]) ** 2).sum(2)
+    near = ((unit[:, None, block] - unit[None, :, block]) ** 2).sum(2)
+    linked = (away <= share.sum()) & (near <= share[0]) & ~np.eye(2 * n, dtype=bool)
+    if not within:
+        linked[:n, :n] = linked[n:, n:] = False
+    assert linked.any() and (~linked.any(1)).any()
+    got = a if within else np.concatenate((a, b))
+    assert got[linked.any(1)].all()
+    seen = ej.sketched(block, dim)
+    loose = ((unit[:, None, seen] - unit[None, :, seen]) ** 2).sum(2) <= 0.2
+    np.fill_diagonal(loose, False)
+    assert not got[~loose.any(1)].any()
+
+
+def test_a_dense_cell_is_split(spark):
+    """Many distinct vectors that all link, in one cell of every block."""
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(16)
+    rows = [(k, [float(np.float32(x)) for x in centre + 0.01 * rng.standard_normal(16)], 1, "c") for k in range(120)]
+    for shard, verified in ((20, 10), (1000, 7)):
+        got = ej.near_vectors(spark.createDataFrame(rows, SCHEMA), shard=shard, verified=verified).collect()
+        assert sorted(map(tuple, got), key=str) == brute(rows, 0.95)
+
+
+def test_double_precision_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k % 50, rng.standard_normal(8).tolist(), 1, "c") for k in range(100)]
+    rows += [(200 + k, [x * (1 + 1e-12) for x in rows[k][1]], 1, "c") for k in range(40)]
+    got = ej.near_vectors(spark.createDataFrame(rows, SCHEMA.replace("float", "double"))).collect()
+    assert len(got) == 140 and all(r["n_links"] > 0 for r in got if r["vec_id"] >= 200)
