@@ -25,8 +25,8 @@ from .text import as_bytes
 
 #: words of a seed
 SEED = 8
-#: rows of an output batch
-_BATCH = 100_000
+#: words of short texts that are hashed at once
+_WORDS = 65_536
 #: place of a null key: after all others
 _LAST = (1 << 63) - 1
 _SHIFT = 256  # a place is start * 256 + number of windows
@@ -38,27 +38,39 @@ def _hashed(words: list[bytes]) -> np.ndarray:
 
 def _chained(h: np.ndarray, at: np.ndarray, size: np.ndarray | int, start: np.ndarray | int) -> np.ndarray:
     """One hash per run of ``size`` words from ``at`` on; ``start`` sets it off."""
-    out = np.zeros(len(at), np.uint64) + np.asarray(start).astype(np.uint64)
     size = np.broadcast_to(size, at.shape)
+    order = np.argsort(-size, kind="stable")
+    at, longest = at[order], -size[order]
+    made = (np.zeros(len(at), np.uint64) + np.asarray(start).astype(np.uint64))[order]
     for j in range(int(size.max(initial=0))):
-        live = np.flatnonzero(size > j)
-        out[live] = _mixed(out[live] * _MIX[2] + h[at[live] + j])
+        live = int(np.searchsorted(longest, -j))  # longer runs come first
+        made[:live] = _mixed(made[:live] * _MIX[2] + h[at[:live] + j])
+    out = np.empty_like(made)
+    out[order] = made
     return out
 
 
-def stretches(h: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(first window, windows, seed hash, content hash) of the stretches of a text of word hashes."""
+def stretches(h: np.ndarray, length: int, texts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(first window, windows, seed hash, content hash) of the stretches of word hashes; of several
+    texts one after another if ``texts`` has their numbers of words."""
     size = min(SEED, length)
-    seeds = _chained(h, np.arange(max(0, len(h) - size + 1)), size, size)
-    wide = length - size + 1
-    windows = len(h) - length + 1
-    if windows <= 0:
+    if len(h) < length:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+    seeds = np.full(len(h) - size + 1, size, np.uint64)
+    for j in range(size):
+        seeds = _mixed(seeds * _MIX[2] + h[j : j + len(seeds)])
+    wide = length - size + 1
+    windows = np.arange(len(h) - length + 1)
     view = np.lib.stride_tricks.sliding_window_view(seeds, wide)[:, ::-1]
-    chosen = np.arange(windows) + wide - 1 - view.argmin(1)
-    first = np.concatenate(([0], np.flatnonzero(chosen[1:] != chosen[:-1]) + 1))
-    count = np.diff(np.append(first, windows))
-    seed = chosen[first]
+    chosen = windows + wide - 1 - view.argmin(1)
+    if texts is not None:  # windows must end in the text they start in
+        left = np.repeat(np.cumsum(texts), texts)[: len(windows)] - windows
+        windows = windows[left >= length]
+        chosen = chosen[windows]
+    new = (chosen[1:] != chosen[:-1]) | (windows[1:] != windows[:-1] + 1)
+    turn = np.concatenate(([0], np.flatnonzero(new) + 1)) if len(windows) else np.empty(0, np.int64)
+    first, count = windows[turn], np.diff(np.append(turn, len(windows)))
+    seed = chosen[turn]
     content = _chained(h, first, count + length - 1, (seed - first) * _SHIFT + count)
     return first, count, seeds[seed], content
 
@@ -99,52 +111,65 @@ def _marked(rows: DataFrame, seed: list[str], rest: list[str], hot_rows: int | N
 def _stretch_table(rows: DataFrame, length: int) -> DataFrame:
     """A row per stretch, and per text one with a null seed whose place is its number of words."""
 
+    names = ["id", "mark", "place", "seed", "content"]
+
+    def piece(ids: np.ndarray, marks: np.ndarray, held: list[np.ndarray], end: int) -> pa.RecordBatch:
+        """Stretches of the texts ``held``, the rows before ``end``."""
+        size = np.array([len(h) for h in held])
+        first, count, seed, content = stretches(np.concatenate(held), length, size)
+        before = np.cumsum(size) - size
+        row = np.searchsorted(before, first, "right") - 1
+        place = (first - before[row]) * _SHIFT + count
+        row += end - len(held)
+        return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(marks[row]), pa.array(place), _signed(seed), _signed(content)], names)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "mark", "place", "seed", "content"]
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rows_of, words, held, n = [], np.zeros(len(ids), np.int64), [], 0
+            words, held, n = np.zeros(len(ids), np.int64), [], 0
             for i, value in enumerate(as_bytes(batch.column(2))):
-                h = _hashed(value.split() if value else [])
-                words[i] = len(h)
-                if len(h) < length:
-                    continue
-                first, count, seed, content = stretches(h, length)
-                rows_of.append(np.full(len(first), i))
-                held.append((first * _SHIFT + count, seed, content))
-                n += len(first)
-                if n >= _BATCH:
-                    yield _batch(names, ids, marks, rows_of, held)
-                    rows_of, held, n = [], [], 0
+                held.append(_hashed(value.split() if value else []))
+                words[i] = len(held[-1])
+                n += words[i]
+                if n >= _WORDS:
+                    yield piece(ids, marks, held, i + 1)
+                    held, n = [], 0
             if n:
-                yield _batch(names, ids, marks, rows_of, held)
+                yield piece(ids, marks, held, len(ids))
             none = pa.nulls(len(ids), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks), pa.array(words), none, none], names)
 
     return rows.select("id", "mark", "text").mapInArrow(find, "id long, mark long, place long, seed long, content long")
 
 
-def _batch(names: list[str], ids: np.ndarray, marks: np.ndarray, rows_of: list, held: list) -> pa.RecordBatch:
-    at = np.concatenate(rows_of)
-    columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(marks[at]), pa.array(columns[0]), *[_signed(c) for c in columns[1:]]], names)
-
-
 def _window_table(rows: DataFrame, length: int) -> DataFrame:
     """A row per window of the stretches in ``places``: 128 bits of its words, and its start."""
 
+    def piece(ids: np.ndarray, marks: np.ndarray, held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """Windows of (row, word hashes, window starts)."""
+        size = [len(h) for _, h, _ in held]
+        counts = [len(at) for *_, at in held]
+        row, before = np.repeat([i for i, *_ in held], counts), np.repeat(np.cumsum(size) - size, counts)
+        h, at = np.concatenate([h for _, h, _ in held]), np.concatenate([at for *_, at in held])
+        a, b = _chained(h, at + before, length, 1), _chained(h, at + before, length, 2)
+        columns = [pa.array(ids[row]), pa.array(marks[row]), pa.array(at * _SHIFT + 1), _signed(a), _signed(b)]
+        return pa.RecordBatch.from_arrays(columns, ["id", "mark", "place", "a", "b"])
+
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            held, n = [], 0
             for i, (value, places) in enumerate(zip(as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True)):
-                h = _hashed(value.split())
                 place = np.array(places, np.int64)
                 count = place % _SHIFT
                 at = np.repeat(place // _SHIFT, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                a, b = _chained(h, at, length, 1), _chained(h, at, length, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), ids[i])), pa.array(np.full(len(at), marks[i])), pa.array(at * _SHIFT + 1), _signed(a), _signed(b)], ["id", "mark", "place", "a", "b"]
-                )
+                held.append((i, _hashed(value.split()), at))
+                n += len(held[-1][1])
+                if n >= _WORDS:
+                    yield piece(ids, marks, held)
+                    held, n = [], 0
+            if held:
+                yield piece(ids, marks, held)
 
     return rows.select("id", "mark", "text", "places").mapInArrow(extend, "id long, mark long, place long, a long, b long")
 
