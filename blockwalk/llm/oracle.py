@@ -12,16 +12,20 @@ def _mixing(passes: int = 3, copies: int = 3) -> str:
         steps.append(f"""
   gap{k} AS (SELECT source, first(target) - sum(copies * size) AS gap FROM state{k} GROUP BY source),
   run{k} AS (
-    SELECT doc_id, sum(size) OVER (PARTITION BY s.source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) <= gap AS won
+    SELECT doc_id, nth, sum(size) OVER (PARTITION BY s.source ORDER BY q, doc_id, nth ROWS UNBOUNDED PRECEDING) <= gap AS won
     FROM state{k} s JOIN gap{k} g ON s.source IS NOT DISTINCT FROM g.source WHERE q IS NOT NULL AND size <= gap),
   state{k + 1} AS (
     SELECT s.* REPLACE (copies + coalesce(won, false)::BIGINT AS copies, CASE WHEN coalesce(won, false) THEN NULL ELSE q END AS q)
-    FROM state{k} s LEFT JOIN run{k} r USING (doc_id))""")
+    FROM state{k} s LEFT JOIN run{k} r ON r.doc_id IS NOT DISTINCT FROM s.doc_id AND r.nth = s.nth)""")
     return f"""
-WITH sized AS (
+WITH read AS (
     SELECT doc_id, source, coalesce(len({_WORDS.format('text')}), 0)::BIGINT AS size,
-           (('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+           row_number() OVER (PARTITION BY doc_id ORDER BY source NULLS LAST, text NULLS LAST) AS nth
     FROM documents),
+  sized AS (
+    SELECT *, (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || nth), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u,
+           length(bin(size))::DOUBLE AS pref
+    FROM read),
   sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
   weighed AS (
     SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, {copies} * source_size AS cap FROM sums),
@@ -33,12 +37,23 @@ WITH sized AS (
     SELECT source, source_size, CASE WHEN stop THEN cap::DOUBLE ELSE
       (w * (total - sum(CASE WHEN stop THEN cap ELSE 0 END) OVER ()))::DOUBLE / greatest(sum(CASE WHEN stop THEN 0 ELSE w END) OVER (), 1)::DOUBLE
       END AS target FROM stopped),
+  level AS (SELECT source, pref, sum(size)::BIGINT AS words FROM sized GROUP BY source, pref),
+  rate AS (
+    -- the most preferred levels stand at the limit, the others share what is left
+    SELECT t.source, source_size, target, any_value(stopped_at) AS stopped_at,
+           (target - {copies} * coalesce(sum(words) FILTER (pref >= stopped_at), 0)) / sum(pref * words) FILTER (pref < stopped_at AND words > 0) AS rate
+    FROM targets t JOIN (
+        SELECT l.*, coalesce(min(pref) FILTER (pref * (target - {copies} * above) >= {copies}.0::DOUBLE * own) OVER (PARTITION BY l.source), 'inf'::DOUBLE) AS stopped_at
+        FROM (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY pref DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
+                     sum(pref * words) OVER (PARTITION BY source ORDER BY pref ROWS UNBOUNDED PRECEDING) AS own FROM level) l
+        JOIN targets t ON l.source IS NOT DISTINCT FROM t.source) l ON l.source IS NOT DISTINCT FROM t.source
+    GROUP BY t.source, source_size, target),
   expected AS (
-    SELECT doc_id, s.source, size, u, source_size, target,
-           CASE WHEN source_size > 0 THEN least({copies}.0::DOUBLE, target / source_size::DOUBLE) ELSE 0.0::DOUBLE END AS e
-    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+    SELECT doc_id, nth, s.source, size, u, source_size, target,
+           CASE WHEN source_size = 0 THEN 0.0::DOUBLE WHEN pref >= stopped_at THEN {copies}.0::DOUBLE ELSE least({copies}.0::DOUBLE, rate * pref) END AS e
+    FROM sized s JOIN rate t ON s.source IS NOT DISTINCT FROM t.source),
   state0 AS (
-    SELECT doc_id, source, size, source_size, target, floor(e)::BIGINT AS copies,
+    SELECT doc_id, nth, source, size, source_size, target, floor(e)::BIGINT AS copies,
            CASE WHEN e - floor(e) > 0 AND size > 0 THEN (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) END AS q
     FROM expected),{",".join(steps)}
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM state{passes}
@@ -188,7 +203,7 @@ WITH RECURSIVE own AS (
     SELECT v.c, o.pos, role, text FROM conv v JOIN own o ON o.c = v.base AND o.pos <= h
     UNION ALL SELECT v.c, least(h, n_base) + o.pos - h, role, text FROM conv v JOIN own o ON o.c = v.c AND o.pos > h),
   path(c, depth, node, parent, bytes) AS (
-    SELECT c, 0::BIGINT, '', NULL, 0::BIGINT FROM conv
+    SELECT c, 0::BIGINT, '', NULL::VARCHAR, 0::BIGINT FROM conv
     UNION ALL SELECT p.c, p.depth + 1, md5(node || '/' || md5(role) || md5(text)), node, strlen(text)::BIGINT FROM path p JOIN rebuilt r ON r.c = p.c AND r.pos = p.depth + 1),
   node AS (SELECT node, depth, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM path GROUP BY node, depth),
   kids AS (SELECT parent AS node, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY parent),

@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), preference=mixing.length_class)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

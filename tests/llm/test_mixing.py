@@ -82,3 +82,42 @@ def test_nulls_empty_texts_repeated_rows_and_empty_table(spark, words):
     assert mixing.mix(docs.limit(0)).collect() == []
     blank = mixing.mix(docs.filter("doc_id <= 3")).collect()
     assert [(r["taken"], r["target"]) for r in blank] == [(0, 0.0)] * 3
+
+
+def reached(got, max_copies=3):
+    """What each source takes against its target; no document above its limit."""
+    assert all(r["taken"] <= max_copies * r["size"] for r in got)
+    out = {}
+    for r in got:
+        taken, target, size = out.get(r["source"], (0, r["target"], 0))
+        out[r["source"]] = (taken + r["taken"], target, max(size, r["size"]))
+    return out
+
+
+@pytest.mark.parametrize("hot_rows", [None, 20])
+def test_hot_null_and_equal_keys_reach_their_targets(spark, words, hot_rows):
+    """A source of one key, of null keys, of equal rows: targets within one document, reruns agree."""
+    same = words(7)
+    rows = [(5, words(words.rng.randint(3, 20)), "hot", "x", 1) for _ in range(300)]
+    rows += [(None, words(words.rng.randint(3, 20)), "null", "x", 1) for _ in range(250)]
+    rows += [(9, same, "equal", "x", 1)] * 300 + [(None, same, "nulls alike", "x", 1)] * 200
+    rows += [(1000 + i, words(12), None, "x", 1) for i in range(100)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for preference in (None, mixing.length_class):
+        got = mixing.mix(docs, preference=preference, hot_rows=hot_rows).collect()
+        assert len(got) == len(rows)
+        for taken, target, longest in reached(got).values():
+            assert target - longest <= taken <= target
+        again = mixing.mix(docs.repartition(5), preference=preference, hot_rows=hot_rows).collect()
+        assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_unequal_inclusion_still_fills_the_target(spark, words):
+    """Preferred documents stop at the limit and the others get what is left."""
+    per_source = {"a": [2] * 200 + [40] * 20, "b": [3] * 10 + [300] * 3, "c": [30] * 100}
+    docs = make(spark, words, per_source)
+    liked = F.when(F.col("doc_id") % 4 == 0, 50.0).otherwise(1.0)
+    for weights in ((1, 5, 1), (1, 1, 1), (6, 1, 1)):
+        for preference in (liked, mixing.length_class):
+            for taken, target, longest in reached(mixing.mix(docs, weights=weights, preference=preference).collect()).values():
+                assert target - longest <= taken <= target + 1e-6
