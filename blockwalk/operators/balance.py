@@ -8,18 +8,18 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import bucket_count, cut, cut_bucketed, release, settled
+from ..runtime import cut, release, settled
 from ..skew import BROADCAST_ROWS, join_small, join_spread, join_unique, number_all, number_within, running_sum
-from .blocks import NO_BLOCK, edge_candidates
+from .blocks import NO_BLOCK
 from .relational import union_rows
 from .seeds import first_independent
 
 #: blocks that a merge folds on the driver if the caller names no other number
 MAX_BLOCKS = 1_000_000
-_FEW = 999  # limits up to this get the partial group limit before the shuffle
+_NEAR = 1_000  # proposals that stay between a seed's two lines at least
 _TABLES = 16  # round tables kept apart before they are written together
 _SLOT_ROWS = 4_096  # smallest width of the number buckets of the residual range join
 _SLOT_PIECES = 50_000  # most buckets
@@ -37,71 +37,113 @@ def default_cap(n_edges: int, n_seeds: int) -> int:
     return n_edges // n_seeds + 1
 
 
+def _reaches(line: str) -> Column:
+    """Is (key, edge_id) at or above the line? No line counts as one below all."""
+    key, at = F.col("key"), F.col(line)
+    return at.isNull() | (key > at) | ((key == at) & (F.col("edge_id") <= F.col(f"{line}_edge")))
+
+
+def _proposals(rows: DataFrame, state: DataFrame, n_seeds: int) -> DataFrame:
+    """(edge_id, seed, key, rest): the first entry of ``rest`` whose seed is listed and still open
+    to the edge, and the entries after it."""
+    entry = rows.select("edge_id", F.posexplode("rest").alias("pos", "e")).select("edge_id", "pos", F.col("e.seed").alias("seed"), F.col("e.score").alias("key"))
+    is_open = join_small(entry, state.select("seed", "room", "bar", "bar_edge"), n_seeds, ["seed"]).filter((F.col("room") > 0) & _reaches("bar"))
+    listed = is_open.groupBy("edge_id").agg(F.sort_array(F.collect_list(F.struct("pos", "seed", F.col("key").alias("score")))).alias("open"))
+    rest = F.transform(F.slice("open", 2, F.greatest(F.size("open") - 1, F.lit(0))), lambda e: F.struct(e["seed"].alias("seed"), e["score"].alias("score")))
+    return listed.select("edge_id", F.col("open")[0]["seed"].alias("seed"), F.col("open")[0]["score"].alias("key"), rest.alias("rest"))
+
+
 def capped_assign(
     profiles: DataFrame, seeds: DataFrame, cap: int | None = None, room: DataFrame | None = None,
-    hot_rows: int | None = None,
+    hot_rows: int | None = None, progress: list[dict] | None = None,
 ) -> DataFrame:
     """(edge_id, src, dst, block) as a scan of all (edge, seed, score) by score descending
     would give: an edge goes to the first seed on its profile that is not full; -1 if all are.
 
     Edges propose to their best seed still open to them; a seed over its cap raises its bar
     to its cap-th best proposal, and edges below it move on. Bars only rise, so this ends,
-    and since both sides rank by the same score the outcome is the scan's. State between
-    rounds is one row per seed; candidates are written once, bucketed by edge, and each round
-    reads them without a shuffle. ``room(seed, room)`` gives a cap per seed, else every seed
-    has ``cap``.
+    and since both sides rank by the same score the outcome is the scan's. ``room(seed, room)``
+    gives a cap per seed, else every seed has ``cap``.
+
+    Proposals are logged and carry the rest of their profile; those that reach their seed's bar
+    hold. Each seed that was ever over its cap also has a second line above the bar: only the
+    proposals between the lines and the new ones are looked at, to find which must go. Proposals
+    above that line are read again only when the room between the lines is used up. So a round
+    reads about as many rows as were refused before it; ``progress`` receives these counts.
     """
-    spark = profiles.sparkSession
     profiles = settled(profiles)
-    n_edges = profiles.count()
-    listed_seeds = seeds.select("seed").distinct()
+    listed = seeds.select("seed").distinct()
     if room is None:
-        n_seeds = listed_seeds.count()
-        cap = default_cap(n_edges, n_seeds) if cap is None else cap
-        room = listed_seeds.withColumn("room", F.lit(cap).cast("long"))
-    room = cut(room.select("seed", F.col("room").cast("long").alias("room")))
-    n_seeds = room.count()
-    listed = edge_candidates(profiles).select("edge_id", "rank", "seed", F.col("score").alias("key"))
-    listed = join_small(listed, room.select("seed"), n_seeds, ["seed"], "left_semi")
-    # profiles are bounded lists, so buckets are sized by edges
-    candidates = cut_bucketed(listed, ["edge_id"], bucket_count(spark, n_edges))
-    bars = cut(room.filter("room <= 0").select("seed", F.lit(float("inf")).alias("bar"), F.lit(0).cast("long").alias("bar_edge")))
-    picks = None
+        cap = default_cap(profiles.count(), listed.count()) if cap is None else cap
+        room = listed.withColumn("room", F.lit(cap).cast("long"))
+    zero, never = F.lit(0).cast("long"), F.lit(None).cast("double")
+    lines = [never.alias("bar"), zero.alias("bar_edge"), never.alias("line"), zero.alias("line_edge")]
+    state = cut(room.select("seed", F.col("room").cast("long").alias("room"), zero.alias("live"), zero.alias("near"), *lines))
+    n_seeds, lowest = state.agg(F.count(F.lit(1)), F.min("room")).first()
+    whole = profiles.filter(F.size("profile") > 0).select("edge_id", F.col("profile").alias("rest"))
+    named = whole.select(F.explode("rest.seed").alias("seed")).distinct()
+    if n_seeds and lowest > 0 and named.join(state.select("seed"), "seed", "left_anti").isEmpty():
+        first = F.col("rest")[0]
+        started = whole.select("edge_id", first["seed"].alias("seed"), first["score"].alias("key"), F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0))).alias("rest"))
+    else:
+        started = _proposals(whole, state, n_seeds)
+    new = cut(started)
+    log, near = [new], None
+    columns = ["edge_id", "seed", "key", "rest"]
     while True:
-        is_open = (
-            F.col("bar").isNull()
-            | (F.col("key") > F.col("bar"))
-            | ((F.col("key") == F.col("bar")) & (F.col("edge_id") <= F.col("bar_edge")))
-        )
-        open_now = join_small(candidates, bars, n_seeds, ["seed"], "left").filter(is_open)
-        release(picks)
-        picks = cut(
-            open_now.groupBy("edge_id").agg(F.min_by("seed", "rank").alias("seed"), F.min_by("key", "rank").alias("key"))
-        )
-        load = picks.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).join(room, "seed").filter(F.col("n") > F.col("room"))
-        over = cut(load.select("seed", "room", (F.col("n") - F.col("room")).alias("excess")))
-        n_over, most = over.agg(F.count(F.lit(1)), F.max("excess")).first()
+        against = lambda lines: join_small(new, lines.select("seed", "line", "line_edge"), n_seeds, ["seed"])  # noqa: B023, E731
+        came = against(state).groupBy("seed").agg(F.count(F.lit(1)).alias("came"), F.sum((~_reaches("line")).cast("long")).alias("under"))
+        live, under = F.col("live") + F.coalesce("came", zero), F.col("near") + F.coalesce("under", zero)
+        seen = state.join(came, "seed", "left").withColumn("live", live).withColumn("near", under).drop("came", "under")
+        seen = seen.withColumn("excess", F.greatest(F.col("live") - F.col("room"), zero))
+        # the bar after this round must lie between the lines too
+        seen = cut(seen.withColumn("again", (F.col("excess") > 0) & (F.col("excess") >= F.col("near"))))
+        release(state)
+        state = seen
+        over = F.col("excess") > 0
+        n_over, n_again, most, reread = state.agg(
+            F.count_if(over), F.count_if("again"), F.sum(F.when(over & ~F.col("again"), F.col("near"))), F.sum(F.when(F.col("again"), F.col("live")))
+        ).first()
+        if progress is not None:
+            progress.append({"new": new.count(), "near": most or 0, "reread": reread or 0})
         if not n_over:
-            release(over)
             break
-        contested = join_small(picks, over, n_over, ["seed"])
-        if most <= _FEW:
-            place = Window.partitionBy("seed").orderBy(F.asc("key"), F.desc("edge_id"))
-            placed = contested.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= _FEW + 1)
-            last_kept = placed.filter(F.col("place") == F.col("excess") + 1)
-        else:
-            placed = number_within(contested, ["seed"], [F.desc("key"), F.asc("edge_id")], "place", hot_rows)
-            last_kept = placed.filter(F.col("place") == F.col("room"))
-        raised = last_kept.select("seed", F.col("key").alias("bar"), F.col("edge_id").alias("bar_edge"))
-        kept_bars = bars.join(over.select("seed"), "seed", "left_anti")
-        new_bars = cut(raised.unionByName(kept_bars))
-        release(bars)
-        release(over)
-        bars = new_bars
-    release(candidates)
-    release(bars)
-    release(room)
-    placed = profiles.select("edge_id", "src", "dst").join(picks.select("edge_id", F.col("seed").alias("block")), "edge_id", "left")
+        wanted = state.filter(over)
+        known = against(state).filter(~_reaches("line")).select(*columns)
+        known = known if near is None else known.unionByName(near.select(*columns))
+        rows = join_small(known, wanted.filter("not again").select("seed", "excess"), n_over, ["seed"])
+        if n_again:
+            held = join_small(union_rows(*log), wanted.filter("again").select("seed", "excess", "bar", "bar_edge"), n_again, ["seed"])
+            rows = rows.unionByName(held.filter(_reaches("bar")).select(*rows.columns))
+        spare = F.col("excess") * 3 + _NEAR
+        ranked = number_within(rows, ["seed"], [F.asc("key"), F.desc("edge_id")], "place", hot_rows, (most or 0) + (reread or 0))
+        ranked = cut(ranked.filter(F.col("place") <= spare + 1))
+        at = lambda p, name: F.max(F.when(F.col("place") == p, F.struct("key", "edge_id"))).alias(name)
+        found = ranked.groupBy("seed").agg(
+            at(F.col("excess") + 1, "b"), at(spare + 1, "l"), F.sum(((F.col("place") > F.col("excess")) & (F.col("place") <= spare)).cast("long")).alias("kept")
+        )
+        next_state = state.join(found, "seed", "left")
+        kept = lambda new_value, old: F.when(over, new_value).otherwise(F.col(old)).alias(old)
+        full = F.lit(float("inf"))
+        next_state = cut(next_state.select(
+            "seed", "room", F.least("live", F.greatest("room", zero)).alias("live"), kept(F.coalesce("kept", zero), "near"),
+            kept(F.coalesce(F.col("b.key"), full), "bar"), kept(F.coalesce(F.col("b.edge_id"), zero), "bar_edge"),
+            kept(F.coalesce(F.col("l.key"), F.when(F.col("again"), full).otherwise(F.col("line"))), "line"),
+            kept(F.coalesce(F.col("l.edge_id"), F.when(F.col("again"), zero).otherwise(F.col("line_edge"))), "line_edge"),
+        ))
+        calm = join_small(known, state.filter(~over).select("seed"), n_seeds, ["seed"], "left_semi")
+        between = ranked.filter((F.col("place") > F.col("excess")) & (F.col("place") <= spare)).select(*columns)
+        next_near = cut(calm.select(*columns).unionByName(between))
+        new = cut(_proposals(ranked.filter(F.col("place") <= F.col("excess")), next_state, n_seeds))
+        for table in (near, ranked, state):
+            release(table)
+        near, state = next_near, next_state
+        log.append(new)
+    picks = join_small(union_rows(*log).select("edge_id", "seed", "key"), state.select("seed", "bar", "bar_edge"), n_seeds, ["seed"])
+    picks = cut(picks.filter(_reaches("bar")).select("edge_id", F.col("seed").alias("block")))
+    for table in (*log, near, state):
+        release(table)
+    placed = profiles.select("edge_id", "src", "dst").join(picks, "edge_id", "left")
     return placed.select("edge_id", "src", "dst", F.coalesce("block", F.lit(NO_BLOCK)).alias("block"))
 
 

@@ -34,6 +34,28 @@ def test_capped_assign_is_the_scan(spark, case):
     assert {r["edge_id"]: r["block"] for r in got.collect()} == greedy_scan(profiles, room)
 
 
+@pytest.mark.parametrize(("near", "hot_rows"), [(0, None), (5, None), (40, 50)])
+def test_capped_assign_reads_what_was_refused(spark, monkeypatch, near, hot_rows):
+    """Many seeds and edges, narrow lines: proposals above the second line are read again."""
+    monkeypatch.setattr(balance, "_NEAR", near)
+    rng = random.Random(near)
+    seeds, profiles = list(range(1, 13)), {}
+    for e in range(1, 2001):
+        chosen = rng.sample(seeds, rng.randint(1, 6))
+        profiles[e] = sorted(((s, rng.randint(1, 60) + 100 // s) for s in chosen), key=lambda x: (-x[1], x[0]))
+    # seed 12 has no room and seed 11 is not offered at all
+    room = {s: rng.choice((60, 120, 180)) for s in seeds[:-2]} | {12: 0}
+    seed_table = spark.createDataFrame([(s, 1.0) for s in seeds], "seed long, value double")
+    rounds = []
+    got = balance.capped_assign(
+        profile_table(spark, profiles), seed_table, room=spark.createDataFrame(list(room.items()), "seed long, room long"), hot_rows=hot_rows, progress=rounds
+    )
+    assert {r["edge_id"]: r["block"] for r in got.collect()} == greedy_scan(profiles, room)
+    assert len(rounds) > 4 and rounds[0]["new"] > 1900
+    if near == 40:
+        assert sum(r["new"] + r["near"] + r["reread"] for r in rounds[5:]) < 0.5 * 2000 * (len(rounds) - 5)
+
+
 def test_every_edge_has_one_block(spark):
     graph = from_edges(spark, random_pairs(3, 60, 300, 0.3))
     seeds = top_degree_seeds(graph.edges, 5).cache()
