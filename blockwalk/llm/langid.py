@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from ..runtime import cut, release
 from .text import as_bytes, with_columns
 
 #: n-grams in a profile and in a text's list
 PROFILE = 400
-#: about so many labelled documents of each language are learned from
+#: so many different texts of each language are learned from
 SAMPLE = 4000
 
 _letters: np.ndarray | None = None
@@ -82,17 +83,15 @@ class Profiles:
 
 
 def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE, sample: int = SAMPLE) -> Profiles:
-    """Profiles from rows with a language. About ``sample`` rows of each language are read,
-    chosen by a hash of the text, so the work is bounded; each task adds up its n-grams before
-    the shuffle, and ``size`` n-grams per language reach the driver."""
+    """Profiles from rows with a language. The ``sample`` distinct texts of each language with the
+    smallest hashes are read, each once, so copies neither crowd a profile nor leave it empty;
+    each task adds up its n-grams before the shuffle, and ``size`` n-grams per language reach
+    the driver. No such rows give no profile."""
     known = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
-    share = {r["lang"]: min(1.0, sample / r["count"]) for r in known.groupBy("lang").count().collect()}
-    if not share:
-        return Profiles({}, size)
-    part = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6
-    keep = F.lit(False)
-    for name, f in share.items():
-        keep = keep | ((F.col("lang") == name) & (part < f))
+    hashed = known.withColumn("h", F.xxhash64("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = cut(hashed.select("lang", "h").distinct().withColumn("p", place).filter(F.col("p") <= sample).select("lang", "h"))
+    texts = hashed.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,12 +104,13 @@ def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang",
                 total = np.bincount(where, np.concatenate([n for _, n in own]), len(codes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(total)], schema=schema)
 
-    counted = known.filter(keep).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counted.withColumn("r", nth).filter(F.col("r") <= size).orderBy("lang", "r").collect()
     lists: dict[str, list[int]] = {}
     for r in top:
         lists.setdefault(r["lang"], []).append(r["gram"])
+    release(chosen)
     return Profiles(lists, size)
 
 

@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from ..runtime import cut, release
 from .langid import _is_letter
 from .text import as_bytes, with_columns
 
@@ -22,8 +23,8 @@ from .text import as_bytes, with_columns
 BITS, DIM = 18, 8
 #: lengths of the n-grams, word ends included
 LENGTHS = (3, 4, 5)
-#: about so many labelled texts at most are learned from
-SAMPLE = 6000
+#: so many labelled texts at most are learned from, and so many different n-grams of texts
+SAMPLE, ENTRIES = 6000, 40_000_000
 #: an n-gram's weight is halved if it is in so many texts
 DOUBT = 5
 
@@ -129,9 +130,11 @@ def train(
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
     """A model from at most ``sample`` labelled documents, chosen by a hash of the key; whole
-    texts. Toxic documents may fill half of the sample, and what the other class leaves, so few
+    texts. A key that owns several rows brings one, that whose text has the smallest hash. Of
+    each class, documents are learned from as long as their bags hold ``entries / 2`` different
+    n-grams together (8 bytes each on the driver), in order of the same hash. Toxic documents may fill half of the sample, and what the other class leaves, so few
     toxic ones among very many are all learned from; the bias then takes the classes' true
     odds. Rows with a null key, label or text are left out, a key labelled twice counts as
     toxic if any label says so. The sampled keys (bounded by ``sample``) are broadcast to the
@@ -142,7 +145,6 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     have = [have.get(0, 0), have.get(1, 0)]
     some = min(have[1], max(sample // 2, sample - have[0]))
     take = [min(have[0], sample - some), some]
-    odds = float(np.log(have[1] / have[0]) - np.log(take[1] / take[0])) if min(*have, *take) else 0.0
     first = [marked.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in enumerate(take)]
     marked = first[0].unionByName(first[1])
 
@@ -155,11 +157,19 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         )
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(marked), "id")
-    table = rows.withColumn("x", bag("text")).select("id", "y", "x.b", "x.n").toArrow()
+    rows = rows.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    bags = cut(rows.withColumn("x", bag("text")).select("id", "y", "x.b", "x.n"))
+    # one row per sampled document
+    upto = F.sum(F.octet_length("b") / 4).over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
+    fits = bags.select("id", "y", "b").select("id", "y", upto.alias("upto")).filter(F.col("upto") <= entries / 2)
+    table = bags.join(F.broadcast(fits.select("id")), "id").toArrow()
+    release(bags)
     order = np.argsort(table.column("id").to_numpy(), kind="stable")
     toxic = table.column("y").to_numpy()[order]
     pairs = list(zip(table.column("b").to_pylist(), table.column("n").to_pylist(), strict=True))
     del table
+    got = [int((toxic == 0).sum()), int((toxic == 1).sum())]
+    odds = float(np.log(have[1] / have[0]) - np.log(got[1] / got[0])) if min(*have, *got) else 0.0
     return train([(np.frombuffer(pairs[i][0], np.int32), np.frombuffer(pairs[i][1], np.int32)) for i in order], toxic, odds=odds)
 
 

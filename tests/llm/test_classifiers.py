@@ -146,3 +146,85 @@ def test_the_sample_takes_toxic_texts_first(spark, words):
     rows = toxicity.score(docs, model).collect()
     assert all(r["predicted"] for r in rows if y[r["doc_id"]])
     assert sum(r["predicted"] for r in rows if not y[r["doc_id"]]) < 6
+
+
+def plain_profile(texts):
+    """Ranks of the n-grams of texts, from character loops."""
+    counts = {}
+    for t in texts:
+        clean = " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+        for n in (1, 2, 3):
+            for i in range(len(clean) - n + 1):
+                g = clean[i : i + n]
+                if g.strip() and " " not in g[1:-1] and (n > 1 or g != " "):
+                    counts[g] = counts.get(g, 0) + 1
+    pack = lambda s: sum(ord(c) << 21 * (len(s) - 1 - i) for i, c in enumerate(s))
+    top = sorted(counts, key=lambda g: (-counts[g], pack(g)))[: langid.PROFILE]
+    return {g: r for r, g in enumerate(top)}
+
+
+def test_languages_against_a_plain_version_over_a_table(spark):
+    """Every row of the table, with profiles and distances from dictionaries."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    learned = {}
+    for r in rows:
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            learned.setdefault(r["lang"], set()).add(r["text"])
+    profiles = {g: plain_profile(t) for g, t in sorted(learned.items())}
+    got = {r["doc_id"]: r for r in queries.op9_language_id(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        own = plain_profile([r["text"] or ""])
+        if not own:
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        away = {g: sum(abs(p[x] - k) if x in p else langid.PROFILE for x, k in own.items()) for g, p in profiles.items()}
+        best = min(away, key=lambda g: (away[g], g))
+        assert got[r["doc_id"]]["lang_pred"] == best
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 - away[best] / (langid.PROFILE * len(own)))
+
+
+def test_copies_count_once_in_the_sample(spark, words):
+    """30,000 copies of one text neither fill the sample nor keep others out of it."""
+    others = [words(20) for _ in range(300)]
+    docs = spark.range(30_000).selectExpr("'zzz qqq zzz' AS text", "'en' AS lang").unionByName(
+        spark.createDataFrame([(t, "en") for t in others], "text string, lang string")
+    )
+    profiles = langid.learn_profiles(docs, sample=200)
+    hashes = {r["text"]: r["h"] for r in docs.distinct().select("text", F.xxhash64("text").alias("h")).collect()}
+    want = plain_profile(sorted(hashes, key=hashes.get)[:200])
+    pack = lambda s: sum(ord(c) << 21 * (len(s) - 1 - i) for i, c in enumerate(s))
+    assert dict(zip(profiles.codes.tolist(), profiles.rank[0].tolist(), strict=False)) == {pack(g): r for g, r in want.items()}
+
+
+def test_a_hot_labelled_key_brings_one_text(spark, words, monkeypatch):
+    texts, y = toy(words, 200)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    hot = spark.range(20_000).selectExpr("3L AS doc_id", "concat('many texts of one key ', id) AS text")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, toxic int")
+    seen = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda bags, *a, **k: (seen.append(bags), train(bags, *a, **k))[1])
+    model = toxicity.learn(docs.unionByName(hot), labels, sample=100)
+    assert len(seen[0]) <= 100
+    rows = toxicity.score(docs, model).collect()
+    assert np.mean([r["predicted"] == y[r["doc_id"]] for r in rows]) > 0.9
+    toxicity.learn(docs, labels, sample=100, entries=4000)
+    assert 0 < sum(len(b) for b, _ in seen[1]) <= 4000
+
+
+def test_gradients_of_the_joint_training(words):
+    """One step over one text moves vectors and softmax down the loss, as small differences say."""
+    texts, y = toy(words, 8)
+    bags = [toxicity.subwords(t.encode()) for t in texts]
+    before = toxicity.train(bags, y, epochs=1)
+    after = toxicity.train(bags, y, epochs=6)
+
+    def loss(model):
+        weight, bias = model.flat()
+        z = np.array([weight[b] @ n / n.sum() + bias for b, n in bags])
+        return float(np.mean(np.log1p(np.exp(np.where(y == 1, -z, z)))))
+
+    assert loss(after) < loss(before)
+    assert (np.abs(after.vectors - before.vectors).sum(1) > 0).sum() > 0.9 * len(np.unique(np.concatenate([b for b, _ in bags])))
