@@ -7,8 +7,9 @@ a table of blocks on the driver; how many blocks that may be is their ``max_bloc
 from __future__ import annotations
 
 import heapq
+import itertools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut, release, settled
@@ -21,6 +22,8 @@ from .seeds import first_independent
 MAX_BLOCKS = 1_000_000
 _NEAR = 1_000  # proposals that stay between a seed's two lines at least
 _TABLES = 16  # round tables kept apart before they are written together
+_SET = 256  # blocks of one vertex that are held as a set
+_AHEAD_ROWS = 262_144  # rows of vertex counts by which a merge decides ahead
 _SLOT_ROWS = 4_096  # smallest width of the number buckets of the residual range join
 _SLOT_PIECES = 50_000  # most buckets
 
@@ -227,17 +230,36 @@ def block_vertices(blocks: DataFrame) -> DataFrame:
     return ends.distinct()
 
 
-def block_overlaps(members: DataFrame) -> DataFrame:
+def block_overlaps(members: DataFrame, chunk: int = _SET) -> DataFrame:
     """(a, b, shared) with a < b: vertices two blocks have in common.
 
-    Vertices with the same set of blocks are counted first, so pairs are formed once per
-    distinct set and not once per vertex; a set holds at most as many blocks as there are seeds.
+    Vertices with the same set of at most ``chunk`` blocks are counted first, so pairs are formed
+    once per distinct set and not once per vertex. The set of a vertex in more blocks is cut into
+    chunks that meet in pairs, each pair a row of its own, so a hub's pairs spread over tasks.
     """
-    sets = members.groupBy("id").agg(F.sort_array(F.collect_set("block")).alias("blocks")).filter(F.size("blocks") > 1)
+    members = settled(members)
+    wide = cut(members.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk))
+    n_wide = wide.count()
+    narrow = join_small(members, wide.select("id"), n_wide, ["id"], "left_anti") if n_wide else members
+    sets = narrow.groupBy("id").agg(F.sort_array(F.collect_set("block")).alias("blocks")).filter(F.size("blocks") > 1)
     counted = sets.groupBy("blocks").agg(F.count(F.lit(1)).alias("n"))
     firsts = counted.select("n", "blocks", F.posexplode("blocks").alias("i", "a"))
-    later = firsts.select("n", "a", F.explode(F.expr("slice(blocks, i + 2, size(blocks))")).alias("b"))
-    return later.groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    pairs = firsts.select("n", "a", F.explode(F.expr("slice(blocks, i + 2, size(blocks))")).alias("b"))
+    if n_wide:
+        pieces = F.expr(f"(n - 1) div {chunk} + 1").cast("int")
+        hub = join_small(members, wide, n_wide, ["id"]).select("id", "block", pieces.alias("pieces"))
+        # a block lies in the same piece for every vertex of as many pieces
+        hub = hub.withColumn("piece", F.pmod(F.xxhash64("block"), F.col("pieces")).cast("int"))
+        hub = hub.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        cell = [F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q")]
+        met = hub.select("id", *cell, (F.col("piece") > F.col("other")).alias("late"), "block").groupBy("id", "p", "q").agg(
+            F.collect_set(F.when(~F.col("late"), F.col("block"))).alias("x"), F.collect_set(F.when(F.col("late"), F.col("block"))).alias("y")
+        )
+        same = met.filter("p = q").select(F.explode("x").alias("l"), "x").select("l", F.explode("x").alias("r")).filter("l < r")
+        cross = met.filter("p < q").select(F.explode("x").alias("l"), "y").select("l", F.explode("y").alias("r"))
+        ordered = same.unionByName(cross).select(F.lit(1).cast("long").alias("n"), F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"))
+        pairs = pairs.unionByName(ordered)
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("shared"))
 
 
 def pick_initial_blocks(
@@ -261,15 +283,52 @@ def pick_initial_blocks(
     return sizes.sparkSession.createDataFrame(opened, "block long, part int")
 
 
+class _Ahead:
+    """What the driver knows of one partition since its overlaps were last counted: the best open
+    blocks with their exact overlaps, how many vertices outside the partition lie in which of
+    them, and a bound for all other blocks."""
+
+    def __init__(self, shown: list[tuple[int, int]], bound: int, patterns: list[tuple[int, int]]):
+        self.bit = {block: i for i, (block, _) in enumerate(shown)}
+        self.overlap = dict(shown)
+        self.bound = bound  # the most that a block not shown may share
+        self.patterns = dict(patterns)
+        self.grown = False
+
+    def best(self, left: set[int], edges: dict[int, int], others: bool) -> int | None:
+        """The block the partition takes, or None if one that is not shown might come before."""
+        open_now = [b for b in self.overlap if b in left]
+        if not open_now:
+            return None
+        block = min(open_now, key=lambda b: (-self.overlap[b], -edges[b], b))
+        sure = not others or not self.grown or self.overlap[block] > self.bound
+        return block if sure else None
+
+    def take(self, block: int) -> None:
+        mine, new = 1 << self.bit[block], 0
+        for mask in [m for m in self.patterns if m & mine]:
+            n = self.patterns.pop(mask)
+            new += n
+            for b, i in self.bit.items():
+                if mask >> i & 1:
+                    self.overlap[b] += n
+        self.bound += new  # a block not shown may hold all of them
+        self.grown = self.grown or new > 0
+
+
 def merge_blocks_overlap(
-    sizes: DataFrame, members: DataFrame, parts: int, inter_fac: float, max_blocks: int = MAX_BLOCKS
+    sizes: DataFrame, members: DataFrame, parts: int, inter_fac: float, max_blocks: int = MAX_BLOCKS, progress: list[int] | None = None
 ) -> DataFrame:
     """(block, part): the smallest partition repeatedly takes the unassigned block sharing most
     vertices with it, ties to the block with most edges, then to the smaller id.
 
-    A partition's overlaps change only when it takes a block, so decisions run ahead on the
-    driver's block-level table until a partition with outdated overlaps is the smallest; then
-    one Spark job adds what all vertices newly taken in since share with the open blocks.
+    Overlaps are counted in Spark, for all partitions that grew since, and stay there. The driver
+    gets each partition's best few open blocks, their exact overlaps, and how many vertices that
+    the partition lacks lie in which of them (at most ``_AHEAD_ROWS`` rows for all partitions). By
+    these it decides ahead exactly: taking a block adds the vertices it shares with the others.
+    Blocks that are not shown are bounded by the worst shown one and the vertices gained; only
+    where that bound reaches the best block are overlaps counted anew. ``progress`` receives the
+    number of decisions after each count.
     """
     spark = sizes.sparkSession
     members = cut(members)
@@ -277,37 +336,83 @@ def merge_blocks_overlap(
     opened = block_rows(pick_initial_blocks(sizes, members, block_overlaps(members), parts, inter_fac), "block", "part")
     part_of = {r["block"]: r["part"] for r in opened}
     load = {r["part"]: edge_count[r["block"]] for r in opened}
-    shared = {p: {} for p in load}
+    queue = [(n, p) for p, n in load.items()]
+    heapq.heapify(queue)
     fresh = [(r["block"], r["part"]) for r in opened]
     left = set(edge_count) - set(part_of)
+    by_edges = sorted(left, key=lambda b: (-edge_count[b], b))
     owned: list[DataFrame] = []  # (part, id) tables of the vertices taken in so far
+    shared = None  # (part, block, n) of open blocks, for what is owned
+    known: dict[int, _Ahead] = {}
     while left:
-        taken_now = spark.createDataFrame(fresh, "block long, part int")
-        new = join_small(members, taken_now, len(fresh), ["block"]).select("part", "id").distinct()
-        if owned:
-            new = new.join(union_rows(*owned), ["part", "id"], "left_anti")
-        new = cut(new)
-        owned = [*owned, new] if len(owned) < _TABLES else [cut(union_rows(*owned, new))]
-        open_blocks = spark.createDataFrame([(b,) for b in left], "block long")
-        open_members = join_small(members, open_blocks, len(left), ["block"], "left_semi")
-        gained = join_spread(new, open_members, ["id"]).groupBy("part", "block").agg(F.count(F.lit(1)).alias("n"))
-        # at most partitions x blocks rows
-        for r in gained.collect():
-            shared[r["part"]][r["block"]] = shared[r["part"]].get(r["block"], 0) + r["n"]
-        fresh, stale = [], set()
+        open_blocks = cut(spark.createDataFrame([(b, edge_count[b]) for b in left], "block long, n_edges long"))
+        open_members = join_small(members, open_blocks.select("block"), len(left), ["block"], "left_semi")
+        stale = {p for _, p in fresh} | {queue[0][1]}
+        if fresh:
+            taken_now = spark.createDataFrame(fresh, "block long, part int")
+            new = join_small(members, taken_now, len(fresh), ["block"]).select("part", "id").distinct()
+            if owned:
+                new = new.join(union_rows(*owned), ["part", "id"], "left_anti")
+            new = cut(new)
+            owned = [*owned, new] if len(owned) < _TABLES else [cut(union_rows(*owned, new))]
+            gained = join_spread(new, open_members, ["id"]).groupBy("part", "block").agg(F.count(F.lit(1)).alias("n"))
+            if shared is not None:
+                gained = gained.unionByName(shared).groupBy("part", "block").agg(F.sum("n").alias("n"))
+            counted = cut(join_small(gained, open_blocks.select("block"), len(left), ["block"], "left_semi"))
+            release(shared)
+            shared = counted
+        known |= _looked_ahead(spark, shared, open_blocks, open_members, union_rows(*owned), stale, left, by_edges)
+        release(open_blocks)
+        fresh = []
         while left:
-            p = min(load, key=lambda q: (load[q], q))
-            if p in stale:
+            _, p = queue[0]
+            shown = known[p]
+            block = shown.best(left, edge_count, len(left) > len(shown.bit) or any(b not in shown.bit for b in left))
+            if block is None:
                 break
-            block = min(left, key=lambda b: (-shared[p].get(b, 0), -edge_count[b], b))
             part_of[block] = p
             load[p] += edge_count[block]
+            heapq.heapreplace(queue, (load[p], p))
             left.remove(block)
+            shown.take(block)
             fresh.append((block, p))
-            stale.add(p)
+        if progress is not None:
+            progress.append(len(fresh))
     return spark.createDataFrame(sorted(part_of.items()), "block long, part int")
 
 
+def _looked_ahead(
+    spark: SparkSession, shared: DataFrame, open_blocks: DataFrame, open_members: DataFrame, owned: DataFrame, stale: set[int], left: set[int], by_edges: list[int]
+) -> dict[int, _Ahead]:
+    """``_Ahead`` of the stale partitions."""
+    width = max(4, min(16, (_AHEAD_ROWS // len(stale)).bit_length() - 1))
+    wanted = spark.createDataFrame([(p,) for p in sorted(stale)], "part int")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), F.desc("n_edges"), F.asc("block")))
+    candidates = join_small(join_small(shared, wanted, len(stale), ["part"], "left_semi"), open_blocks, len(left), ["block"])
+    top = candidates.withColumn("place", place).filter(F.col("place") <= width + 1).orderBy("part", "place").collect()
+    shown: dict[int, list[tuple[int, int]]] = {p: [] for p in stale}
+    for r in top:
+        shown[r["part"]].append((r["block"], r["n"]))
+    bound = {}
+    fill = [b for b in itertools.islice((b for b in by_edges if b in left), 2 * width + 2)]
+    for p, rows in shown.items():
+        bound[p] = rows[width][1] if len(rows) > width else 0
+        del rows[width:]
+        have = {b for b, _ in rows}
+        # blocks that share nothing come by their edges
+        rows += [(b, 0) for b in fill if b not in have][: width - len(rows)] if bound[p] == 0 else []
+    bits = [(p, b, 1 << i) for p, rows in shown.items() for i, (b, _) in enumerate(rows)]
+    listed = spark.createDataFrame(bits, "part int, block long, bit long")
+    if len(bits) <= BROADCAST_ROWS:
+        listed = F.broadcast(listed)
+    masks = open_members.join(listed, "block").groupBy("part", "id").agg(F.bit_or("bit").alias("mask"))
+    counts = masks.join(owned, ["part", "id"], "left_anti").groupBy("part", "mask").agg(F.count(F.lit(1)).alias("n"))
+    patterns: dict[int, list[tuple[int, int]]] = {p: [] for p in stale}
+    for r in counts.collect():  # at most 2^width rows for each stale partition
+        patterns[r["part"]].append((r["mask"], r["n"]))
+    return {p: _Ahead(shown[p], bound[p], patterns[p]) for p in stale}
+
+
 def part_sizes(sizes: DataFrame, merge: DataFrame) -> DataFrame:
     """(part, n_edges) of merged blocks."""
     return sizes.join(merge, "block").groupBy("part").agg(F.sum("n_edges").alias("n_edges"))

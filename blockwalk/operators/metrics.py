@@ -60,17 +60,23 @@ def cross_boundary_walks(walks: DataFrame, edges: DataFrame, part: str = "part",
     """(part, walks): per partition, walks met at the ends of its edges whose source vertex is
     not in the partition.
 
-    Edge ends are counted per (partition, vertex) and walks per (vertex, source) first, so a
-    hub's edges never meet its walks one by one.
+    All meetings less those whose source lies inside. The first need one row per (partition,
+    vertex); the second start from the walks, each copied to the partitions of its source and
+    looked up there at the vertex it is at. So rows formed are places and walks times the
+    replicas of their sources, never a hub's walks times its partitions.
     """
     ends = edges.select(F.col(part).alias("part"), F.explode(F.array("src", "dst")).alias("id"))
     places = cut(ends.groupBy("part", "id").agg(F.count(F.lit(1)).alias("n_ends")))
-    present = walks_by_source(walks).withColumnRenamed("id", "at")
-    # a hub may be met by walks of every source, in every partition
-    met = join_spread(present, places.select(F.col("id").alias("at"), "part", "n_ends"), ["at"], hot_rows)
-    pairs = met.groupBy("part", "source").agg(F.sum(F.col("n") * F.col("n_ends")).alias("w"))
-    outside = pairs.join(places.select("part", F.col("id").alias("source")), ["part", "source"], "left_anti")
-    return outside.groupBy("part").agg(F.sum("w").alias("walks"))
+    n_places = places.count()
+    present = cut(walks_by_source(walks).withColumnRenamed("id", "at"))
+    here = present.groupBy(F.col("at").alias("id")).agg(F.sum("n").alias("n"))
+    met = join_unique(places, here, ["id"], hot_rows=hot_rows, at_most=n_places).groupBy("part").agg(F.sum(F.col("n") * F.col("n_ends")).alias("w"))
+    # a source has a row per vertex its walks are at, and one per partition it lies in
+    homes = join_spread(present, places.select(F.col("id").alias("source"), "part"), ["source"], hot_rows)
+    inside = join_unique(homes, places.withColumnRenamed("id", "at"), ["part", "at"], hot_rows=hot_rows)
+    inside = inside.groupBy("part").agg(F.sum(F.col("n") * F.col("n_ends")).alias("i"))
+    left = F.col("w") - F.coalesce("i", F.lit(0))
+    return met.join(inside, "part", "left").select("part", left.alias("walks")).filter("walks > 0")
 
 
 def partition_seeds(edges: DataFrame, representatives: DataFrame, part: str = "part") -> DataFrame:

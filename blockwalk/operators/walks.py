@@ -1,8 +1,9 @@
 """Reproducible random walks.
 
-A walk is a row (source, walk, step, path, current). Every step joins the walks to the one
+A walk is a row (source, walk, step, current). Every step joins the walks to the one
 edge row (current, idx) they drew, so walks at a hub spread over its neighbors; where many
-walks draw the same edge, ``join_unique`` answers them from a bounded broadcast.
+walks draw the same edge, ``join_unique`` answers them from a bounded broadcast. Paths are put
+together at the end, from the log of hops.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from ..functions import draw
 from ..graph import Graph
 from ..runtime import bucket_count, cut, cut_bucketed, release
 from ..skew import in_chunks, join_unique, number_within
+from .relational import union_rows
 
 NO_NEIGHBOR = -1
 
@@ -81,37 +83,32 @@ def _advance(walks: DataFrame, graph: Graph, step: int, seed: int, mode: str, at
     return join_unique(drawn, target, keys, hot_rows=graph.hot_rows, at_most=at_most).drop(*keys)
 
 
-def _walk(graph: Graph, samplings: int, steps: int, seed: int, mode: str, with_path: bool, mark_sinks: bool) -> DataFrame:
-    empty = F.array().cast("array<bigint>")
-    state = _start(graph, samplings).withColumn("step", F.lit(0))
-    if with_path:
-        state = state.withColumn("path", empty)
-    state = cut(state)
-    n = state.count()
-    done = None
+def _hops(graph: Graph, samplings: int, steps: int, seed: int, mode: str) -> list[DataFrame]:
+    """The log of all walks: table t holds (source, walk, step, current, deg) of those that made
+    t hops. Each hop is written once, and only these columns travel."""
+    log = [cut(_start(graph, samplings).withColumn("step", F.lit(0)))]
+    n = log[0].count()
     for step in range(1, steps + 1):
-        stopped = state.filter(F.col("deg") == 0)
-        done = stopped if done is None else done.unionByName(stopped)
-        moved = _advance(state.filter(F.col("deg") > 0), graph, step, seed, mode, n)
+        moved = _advance(log[-1].filter(F.col("deg") > 0), graph, step, seed, mode, n)
         moved = moved.withColumn("step", F.lit(step)).withColumnRenamed("hop", "current")
-        if with_path:
-            moved = moved.withColumn("path", F.array_append("path", F.col("current")))
-        # earlier tables stay: their stopped walks are read once, at the end
-        state = cut(moved.select(*state.columns))
-        if state.isEmpty():
+        log.append(cut(moved.select(*log[0].columns)))
+        if log[-1].isEmpty():
             break
-    at_sink = F.col("deg") == 0
-    done = state.withColumn("_cut_short", F.lit(False)) if done is None else (
-        done.withColumn("_cut_short", F.lit(True)).unionByName(state.withColumn("_cut_short", F.lit(False)))
-    )
-    columns = ["source", "walk", "step", "current"]
-    if not with_path:
-        return done.select(*columns)
-    path = F.col("path")
+    return log
+
+
+def _paths(graph: Graph, samplings: int, steps: int, seed: int, mode: str, mark_sinks: bool) -> DataFrame:
+    """Walks with their paths: the hops of a walk, at most ``steps``, meet in one grouping."""
+    rows = union_rows(*_hops(graph, samplings, steps, seed, mode))
+    hop = F.struct("step", "current", "deg")
+    walked = rows.groupBy("source", "walk").agg(F.sort_array(F.collect_list(hop)).alias("hops"))
+    last = F.element_at("hops", -1)
+    path = F.transform(F.slice("hops", 2, F.size("hops")), lambda h: h["current"])
     if mark_sinks:
         # a walk that wanted to go on from a sink ends with the marker
-        path = F.when(F.col("_cut_short") & at_sink, F.array_append("path", F.lit(NO_NEIGHBOR).cast("long"))).otherwise(path)
-    return done.select(*columns, path.alias("path"))
+        stopped = (last["deg"] == 0) & (last["step"] < steps)
+        path = F.when(stopped, F.array_append(path, F.lit(NO_NEIGHBOR).cast("long"))).otherwise(path)
+    return walked.select("source", "walk", last["step"].alias("step"), last["current"].alias("current"), path.alias("path"))
 
 
 def walk_segments(
@@ -120,18 +117,20 @@ def walk_segments(
     """(source, walk, step, current, path): walks from every vertex; the path lists the visited
     vertices after the source. ``on_sink='keep'`` leaves a walk at the sink it reached,
     ``'mark'`` appends -1 to it."""
-    return _walk(graph, samplings, steps, seed, mode, True, on_sink == "mark")
+    return _paths(graph, samplings, steps, seed, mode, on_sink == "mark")
 
 
 def full_walks(graph: Graph, samplings: int, steps: int, seed: int = 0, mode: str = "xxhash64", include_next: bool = False) -> DataFrame:
     """Walks whose path ends with -1 once a sink stops them. ``include_next`` draws the hop
     after the last round too, as the state between rounds holds it."""
-    return _walk(graph, samplings, steps + (1 if include_next else 0), seed, mode, True, True)
+    return _paths(graph, samplings, steps + (1 if include_next else 0), seed, mode, True)
 
 
 def walk_ids(graph: Graph, samplings: int, steps: int, seed: int = 0, mode: str = "xxhash64") -> DataFrame:
     """(source, walk, step, current): only identity and position travel, no paths."""
-    return _walk(graph, samplings, steps, seed, mode, False, False)
+    log = _hops(graph, samplings, steps, seed, mode)
+    ended = [t.filter(F.col("deg") == 0) for t in log[:-1]]
+    return union_rows(*ended, log[-1]).select("source", "walk", "step", "current")
 
 
 def segments_by_source(

@@ -396,6 +396,7 @@ def oracle_sql() -> dict[str, str]:
     text = "array_to_string(path, ',')"
     o["walk_segments"] = walked(Sql()).out(f"SELECT source, walk, {text} AS path, current FROM walks")
     o["full_walks"] = walked(Sql()).out(f"SELECT source, walk, array_to_string(CASE WHEN stopped THEN list_append(path, -1) ELSE path END, ',') AS path FROM walks")
+    o["full_walks_next"] = walked(Sql(), STEPS + 1).out(f"SELECT source, walk, array_to_string(CASE WHEN stopped THEN list_append(path, -1) ELSE path END, ',') AS path FROM walks")
     o["walk_ids"] = walked(Sql()).out("SELECT source, walk, current FROM walks")
     o["segments_by_source"] = walked(Sql()).out(f"""SELECT source, (walk - 1) // {CHUNK} AS chunk,
         string_agg(walk || ':' || {text}, '|' ORDER BY walk) AS segments FROM walks GROUP BY 1, 2""")

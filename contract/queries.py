@@ -480,6 +480,10 @@ def full_walks(spark, d):
     return _as_text(walks.full_walks(chain(spark, d), SAMPLINGS, STEPS, mode="affine"))
 
 
+def full_walks_next(spark, d):
+    return _as_text(walks.full_walks(chain(spark, d), SAMPLINGS, STEPS, mode="affine", include_next=True))
+
+
 def walk_ids(spark, d):
     return walks.walk_ids(chain(spark, d), SAMPLINGS, STEPS, mode="affine").select("source", long("walk"), "current")
 
@@ -666,6 +670,7 @@ QUERIES = {
     "random_neighbor": random_neighbor,
     "walk_segments": walk_segments,
     "full_walks": full_walks,
+    "full_walks_next": full_walks_next,
     "walk_ids": walk_ids,
     "segments_by_source": segments_by_source,
     "hub_walks": hub_walks,

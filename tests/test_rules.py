@@ -7,7 +7,7 @@ from helpers import greedy_scan, random_pairs
 from pyspark.sql import functions as F
 
 from blockwalk import Graph, build_graph, from_edges
-from blockwalk.operators import balance, blocks, ppr
+from blockwalk.operators import balance, blocks, metrics, ppr
 from blockwalk.operators.seeds import spread_seeds, top_degree_seeds
 
 
@@ -153,6 +153,86 @@ def test_overlap_merge_is_the_sequence(spark, case):
         balance.merge_blocks_overlap(sizes, table, 14, 0.0)
 
 
+@pytest.mark.parametrize(("ahead", "parts", "seed"), [(16, 4, 1), (4096, 6, 2), (262144, 5, 3)])
+def test_overlap_merge_decides_ahead(spark, monkeypatch, ahead, parts, seed):
+    """Many blocks of few vertices: what is shown runs out, bounds are reached, ties are frequent."""
+    monkeypatch.setattr(balance, "_AHEAD_ROWS", ahead)
+    rng = random.Random(seed)
+    members = {b: set(rng.sample(range(40 + 4 * b), rng.randint(1, 14))) for b in range(1, 81)}
+    edges = {b: rng.randint(1, 9) * (5 if b < 5 else 1) for b in members}
+    sizes = spark.createDataFrame(list(edges.items()), "block long, n_edges long")
+    table = spark.createDataFrame([(b, v) for b, s in members.items() for v in s], "block long, id long")
+    counts = []
+    got = balance.merge_blocks_overlap(sizes, table, parts, 0.9, progress=counts)
+    assert {r["block"]: r["part"] for r in got.collect()} == merge_by_overlap(members, edges, parts, 0.9)
+    assert sum(counts) == 80 - parts and min(counts) > 0
+    assert len(counts) < (80 - parts) / 2
+
+
+def test_a_partition_that_lags_takes_many_blocks_per_count(spark):
+    """One large block and 20 small ones: the partition of the small ones is always the smallest."""
+    rng = random.Random(9)
+    members = {1: set(range(1000))} | {b: set(rng.sample(range(900, 1300), 30)) for b in range(2, 22)}
+    edges = {b: 5000 if b == 1 else 20 + b for b in members}
+    sizes = spark.createDataFrame(list(edges.items()), "block long, n_edges long")
+    table = spark.createDataFrame([(b, v) for b, s in members.items() for v in s], "block long, id long")
+    counts = []
+    got = balance.merge_blocks_overlap(sizes, table, 2, 1.0, progress=counts)
+    assert {r["block"]: r["part"] for r in got.collect()} == merge_by_overlap(members, edges, 2, 1.0)
+    assert len(counts) <= 4
+
+
+@pytest.mark.parametrize("chunk", [2, 7, 256])
+def test_overlaps_of_a_vertex_in_very_many_blocks(spark, chunk):
+    rng = random.Random(chunk)
+    sets = {b: {1} | {rng.randint(2, 30) for _ in range(rng.randint(0, 6))} for b in range(1, 90)}
+    table = spark.createDataFrame([(b, v) for b, s in sets.items() for v in s], "block long, id long")
+    got = {(r["a"], r["b"]): r["shared"] for r in balance.block_overlaps(table, chunk).collect()}
+    assert got == {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b}
+
+
+def test_cross_boundary_walks_are_met_from_outside(spark):
+    rng = random.Random(5)
+    edges = [(i, 1 if rng.random() < 0.3 else rng.randint(1, 40), rng.randint(1, 40), rng.randint(0, 6)) for i in range(300)]
+    walks = [(rng.randint(1, 45), w, 1 if rng.random() < 0.4 else rng.randint(1, 45)) for w in range(400)]
+    placed = spark.createDataFrame(edges, "edge_id long, src long, dst long, part int")
+    walked = spark.createDataFrame(walks, "source long, walk int, current long")
+    want = {}
+    for part in range(7):
+        ends = [v for _, a, b, p in edges if p == part for v in (a, b)]
+        n = sum(ends.count(at) for source, _, at in walks if source not in ends)
+        if n:
+            want[part] = n
+    for hot_rows in (None, 10):
+        assert {r["part"]: r["walks"] for r in metrics.cross_boundary_walks(walked, placed, hot_rows=hot_rows).collect()} == want
+
+
+@pytest.mark.parametrize("include_next", [False, True])
+def test_paths_from_the_log_follow_the_draws(spark, include_next):
+    """Paths against a plain walk with the same draws; a sink ends a walk that wanted to go on."""
+    from blockwalk.operators import walks
+
+    pairs = sorted(set(random_pairs(4, 30, 60)))
+    graph = from_edges(spark, pairs)
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+    bounded = lambda x: x % 2147483647
+    got = {(r["source"], r["walk"]): r for r in walks.full_walks(graph, 2, 4, mode="affine", include_next=include_next).collect()}
+    vertices = {v for p in pairs for v in p}
+    assert got.keys() == {(v, w) for v in vertices for w in (1, 2)}
+    for (source, walk), row in got.items():
+        at, path, steps = source, [], 4 + include_next
+        for step in range(1, steps + 1):
+            if at not in near:
+                path.append(-1)
+                break
+            pick = bounded(source) * 1000003 + walk * 7919 + step * 104729 + bounded(at) * 31 + 7
+            at = near[at][pick % len(near[at])]
+            path.append(at)
+        assert (row["path"], row["current"], row["step"]) == (path, at, len([v for v in path if v != -1]))
+
+
 def test_overlaps_count_shared_vertices(spark):
     sets = {1: {1, 2, 3, 4}, 2: {2, 3, 9}, 3: {3, 4, 9}, 4: {77}}
     table = spark.createDataFrame([(b, v) for b, s in sets.items() for v in s], "block long, id long")
