@@ -10,6 +10,7 @@ Matches are the same as those of the plain expressions they stand for.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,8 @@ from .text import with_columns
 
 #: characters before and after a span in which context words count
 NEAR = 40
+#: numbers that are added up in one run, and characters of a text in one block
+_RUN, _BLOCK = 64, 1024
 
 
 @dataclass(frozen=True)
@@ -82,26 +85,44 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+def _upto(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """What ``combine`` makes of the numbers up to and with each one. Arrays are only appended to
+    within runs of ``_RUN`` values, so the work does not grow with the square of their number."""
+
+    def running(x: Column, first: Column) -> Column:
+        grown = F.aggregate(x, F.array(first), lambda acc, v: F.concat(acc, F.array(combine(F.element_at(acc, -1), v))))
+        return F.slice(grown, F.lit(2), F.size(x))
+
+    zero = F.lit(0)
+    runs = F.transform(F.sequence(zero, ((F.size(values) - 1) / _RUN).cast("int")), lambda k: F.slice(values, k * _RUN + 1, F.lit(_RUN)))
+    whole = F.transform(runs, lambda r: F.aggregate(r, zero, combine))
+    before = F.concat(F.array(zero), F.slice(running(whole, zero), F.lit(1), F.size(whole) - 1))
+    return F.flatten(F.zip_with(runs, before, running))
+
+
 def _located(text: Column, nth: int, kind: Kind, hits: Column) -> Column:
-    """Array of (start, kind, end, score) of the valid hits. Starts are running sums over the
-    pieces between the hits, so the text is split once and never searched again."""
+    """Array of (start, kind, end, score) of the valid hits. Ends are running sums over the hits
+    and the pieces between them, so the text is split once and never searched again."""
     gaps = F.split(text, kind.pattern, -1)
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
     around = F.zip_with(pairs, F.slice(gaps, F.lit(2), F.size(hits)), lambda p, g: F.struct(p["gap"].alias("gap"), p["hit"].alias("hit"), g.alias("after")))
     empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,score:double>>)")
 
-    def step(acc, x):
+    def span(x: Column, end: Column) -> Column:
         gap, hit, after = x["gap"], x["hit"], x["after"]
-        start = acc["at"] + F.length(gap)
-        end = start + F.length(hit)
         near = F.lower(F.concat(F.right(gap, F.lit(NEAR)), F.lit(" "), F.left(after, F.lit(NEAR))))
         score = F.lit(kind.score) + F.when(near.rlike(kind.context), F.lit(kind.bonus)).otherwise(F.lit(0.0))
-        span = F.struct(start.alias("start"), F.lit(nth).alias("kind"), end.alias("end"), score.alias("score"))
-        keep = _valid(kind.name, hit) if kind.base else _valid(kind.name, hit) & (score >= LEAST)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        made = F.struct((end - F.length(hit)).alias("start"), F.lit(nth).alias("kind"), end.alias("end"), score.alias("score"))
+        return F.when(_valid(kind.name, hit) if kind.base else _valid(kind.name, hit) & (score >= LEAST), made)
+
+    sizes = F.transform(around, lambda x: F.length(x["gap"]) + F.length(x["hit"]))
+    found = F.filter(F.zip_with(around, _bound(sizes, lambda v: _upto(v, lambda p, q: p + q)), span), lambda s: s.isNotNull())
+    return F.when(F.size(hits) > 0, found).otherwise(empty)
 
-    folded = F.aggregate(around, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(F.size(hits) > 0, folded).otherwise(empty)
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
 
 
 def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -110,8 +131,9 @@ def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Per kind, matches are leftmost and do not overlap; a match that fails its validator is
     dropped without a second try inside it. Spans of different kinds may overlap. Null and empty
-    texts have none. A column of ``docs`` named pii is replaced. No shuffle and no Python:
-    every row is worked on by itself, whatever the key distribution.
+    texts have none; repeated rows get equal spans; an empty table gives an empty one. A column
+    of ``docs`` named pii is replaced. No shuffle and no Python: every row is worked on by
+    itself, whatever the key distribution, in time that follows its length and number of hits.
     """
     words = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     none = F.expr("cast(array() as array<string>)")
@@ -144,14 +166,26 @@ def how_many(spans: Column, name: str) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its kind in brackets; of overlapping spans the first
-    gives the name and all their characters go."""
+    gives the name and all their characters go. Pieces are taken from blocks of the text, so
+    that none is searched from its start."""
     names = F.array(*[F.lit(f"[{k.name.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+    def piece(b: Column, start: Column, end: Column) -> Column:
+        first, last = (start / _BLOCK).cast("int"), (end / _BLOCK).cast("int")
+        at = lambda k: F.coalesce(F.get(b, k), F.lit(""))
+        inner = F.array_join(F.slice(b, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        several = F.concat(F.substring(at(first), start % _BLOCK + 1, F.lit(_BLOCK)), inner, F.left(at(last), end % _BLOCK))
+        return F.when(first == last, F.substring(at(first), start % _BLOCK + 1, end - start)).otherwise(several)
+
+    def joined(b: Column) -> Column:
+        reach = _bound(F.transform(spans, lambda s: s["end"]), lambda v: _upto(v, lambda p, q: F.greatest(p, q)))
+
+        def cut_out(r: Column) -> Column:
+            before = F.concat(F.array(F.lit(0)), F.slice(r, F.lit(1), F.size(r) - 1))
+            parts = F.zip_with(spans, before, lambda s, at: F.when(s["start"] >= at, F.concat(piece(b, at, s["start"]), F.element_at(names, s["kind"] + 1))).otherwise(F.lit("")))
+            return F.concat(F.array_join(parts, ""), piece(b, F.element_at(r, -1), F.length(text)))
 
-    def step(acc, s):
-        free = s["start"] >= acc["at"]
-        parts = F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(free, parts).otherwise(acc["parts"]).alias("parts"))
+        return _bound(reach, cut_out)
 
-    joined = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, joined).otherwise(text)
+    return F.when(F.size(spans) > 0, _bound(blocks, joined)).otherwise(text)

@@ -93,3 +93,40 @@ def test_no_python_in_the_plan(spark):
 def test_empty_table_and_repeated_rows(spark, n):
     docs = spark.createDataFrame([(1, "ip 1.2.3.4")] * n, "id int, text string")
     assert [len(r["pii"]) for r in pii.find_spans(docs).collect()] == [1] * n
+
+
+def test_very_many_hits_in_one_text(spark):
+    """A log of some 60,000 addresses: spans and masking stay linear in the hits."""
+    import time
+
+    line = "é 10.1.2.3 mail a.b@c.de, +49 30 1234567 or 4111 1111 1111 1111;\n"
+    for n in (63, 64, 65, 1000):
+        text = line * n
+        docs = spark.createDataFrame([(1, text)], "id int, text string")
+        found = pii.find_spans(docs).select(pii.listed(pii.base_spans(F.col("pii"))).alias("l"), pii.masked(F.col("text"), F.col("pii")).alias("m")).first()
+        assert found["l"] == ",".join(f"{k}:{s}:{e}" for s, k, e in brute(text))
+        assert found["m"] == "é [IP] mail [EMAIL], [PHONE] or [CARD];\n" * n
+    text = line * 15_000
+    start = time.time()
+    found = pii.find_spans(spark.createDataFrame([(1, text)], "id int, text string")).select(F.size("pii").alias("n"), F.length(pii.masked(F.col("text"), F.col("pii"))).alias("m")).first()
+    assert found["n"] == 60_000 and found["m"] == 15_000 * len("é [IP] mail [EMAIL], [PHONE] or [CARD];\n")
+    assert time.time() - start < 60
+
+
+def test_masking_of_overlapping_spans_and_block_ends(spark, words):
+    rng = words.rng
+    rows = []
+    for k in range(60):
+        text = "".join(rng.choice("abcé\U0001F600 ") for _ in range(rng.randint(900, 3300)))
+        cuts = sorted(rng.sample(range(len(text)), 12))
+        spans = sorted((a, min(len(text), a + rng.randint(1, 700)), rng.randrange(6)) for a in cuts)
+        rows.append((k, text, [(a, kind, b, 1.0) for a, b, kind in spans]))
+    docs = spark.createDataFrame(rows, "id int, text string, pii array<struct<start:int,kind:int,end:int,score:double>>")
+    for r in docs.select("id", pii.masked(F.col("text"), F.col("pii")).alias("m")).collect():
+        _, text, spans = rows[r["id"]]
+        out, at = [], 0
+        for a, kind, b, _ in spans:
+            if a >= at:
+                out += [text[at:a], f"[{pii.KINDS[kind].name.upper()}]"]
+            at = max(at, b)
+        assert r["m"] == "".join(out) + text[at:]
