@@ -418,14 +418,15 @@ def part_sizes(sizes: DataFrame, merge: DataFrame) -> DataFrame:
     return sizes.join(merge, "block").groupBy("part").agg(F.sum("n_edges").alias("n_edges"))
 
 
-def water_fill(sizes: DataFrame, residual: int) -> DataFrame:
+def water_fill(sizes: DataFrame, residual: int, max_parts: int = MAX_BLOCKS) -> DataFrame:
     """(part, n_edges, quota): spread ``residual`` edges so the smallest partitions rise
-    together; what does not divide goes to the smallest. No partitions, no rows.
+    together; what does not divide goes to the smallest. No partitions, no rows. At most
+    ``max_parts`` rows of ``sizes`` are folded on the driver.
 
     Closed form over the partition table: the k smallest rise to one level, k the largest
     count for which reaching the k-th size costs no more than the residual.
     """
-    rows = sorted((r["n_edges"], r["part"]) for r in block_rows(sizes, "part", "n_edges"))
+    rows = sorted((r["n_edges"], r["part"]) for r in block_rows(sizes, "part", "n_edges", max_blocks=max_parts))
     if not rows:
         return sizes.sparkSession.createDataFrame([], "part long, n_edges long, quota long")
     raised, total, filled = 0, 0, 0

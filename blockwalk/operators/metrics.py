@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from ..skew import in_chunks, join_small, join_spread, join_unique, number_within
+from ..skew import BROADCAST_ROWS, in_chunks, join_small, join_spread, join_unique, number_within
 
 
 def partition_vertices(edges: DataFrame, part: str = "part") -> DataFrame:
@@ -97,7 +97,9 @@ def visits_by_distance(
     ranked by many tasks.
     """
     seeds = cut(partition_seeds(edges, representatives, part).filter(F.col("seed") != -1))
-    inside = join_small(partition_vertices(edges, part), seeds, seeds.count(), ["part"]).join(visits, "id")
+    inside = partition_vertices(edges, part)  # a partition may have several seeds
+    few = seeds.count() <= BROADCAST_ROWS
+    inside = (inside.join(F.broadcast(seeds), "part") if few else join_spread(inside, seeds, ["part"], hot_rows)).join(visits, "id")
     scored = inside.join(distances.select("id", "seed", "score"), ["id", "seed"], "left")
     scored = cut(scored.withColumn("score", F.coalesce("score", F.lit(0.0))))
     placed = number_within(

@@ -91,42 +91,94 @@ def _add(*parts: DataFrame) -> DataFrame:
     return out.groupBy("id", "target").agg(F.sum("score").alias("score"))
 
 
+def _dropped(table: DataFrame, floor: float) -> float:
+    """The most that a row of the table loses by leaving out scores up to ``floor``."""
+    lost = table.filter(F.col("score") <= floor).groupBy("id").agg(F.sum("score").alias("s"))
+    return lost.agg(F.max("s")).first()[0] or 0.0
+
+
 def inverse_p_distance_doubling(
     graph: Graph, rounds: int, hop_factor: float = HOP_FACTOR, mode: str = "exact", floor: float = 0.0,
-    targets: DataFrame | None = None,
+    targets: DataFrame | None = None, report: list[dict] | None = None,
 ) -> DataFrame:
     """Scores reaching 2, 4, 8 ... hops by composing tables with themselves.
 
     ``exact`` keeps the power and the sum (S + A S, A A) and equals ``inverse_p_distance`` at
     depth 2^rounds; ``recurrence`` is D + D D, which counts some paths more than once.
-    ``floor`` drops smaller scores after each round to bound the table. ``targets(id)`` limits
-    the last table, whose rounds then only compose towards those vertices.
+
+    ``floor`` drops smaller scores after each round to bound the table. ``report`` then receives
+    per round how many rows are left and ``error``, which no score is further from its exact
+    value: each row's sum is wrong by what it lost, and by what its factors had lost before (a
+    row of the power sums to at most hop_factor^hops). This bound is for mode ``exact``.
+
+    ``targets(id)`` limits the table to these columns in every round: no power is formed, but
+    the edges are applied to them as often as it stands for, so no table exceeds vertices times
+    targets.
     """
+    if targets is not None:
+        return _doubling_toward(graph, rounds, hop_factor, mode, floor, targets)
     sums = cut(_one_hop(graph, hop_factor, None))
     power = sums
-    if targets is not None and rounds == 0:
-        return _one_hop(graph, hop_factor, targets)
-    wanted = None if targets is None else targets.select(F.col("id").alias("target"))
+    error_sum = error_power = 0.0
     for i in range(rounds):
-        toward = sums if wanted is None or i + 1 < rounds else sums.join(wanted, "target", "left_semi")
-        if mode == "recurrence":
-            new_sums = _add(toward, _compose(sums, toward, graph.hot_rows))
-        else:
-            new_sums = _add(toward, _compose(power, toward, graph.hot_rows))
-        new_sums = cut(new_sums.filter(F.col("score") > floor))
+        hops = 2**i
+        composed = _add(sums, _compose(sums if mode == "recurrence" else power, sums, graph.hot_rows))
+        whole = cut(composed)
+        new_sums = whole.filter(F.col("score") > floor)
+        if report is not None:
+            at_most = sum(hop_factor**k for k in range(1, hops + 1))
+            error_sum += error_power * at_most + hop_factor**hops * error_sum + _dropped(whole, floor)
+            report.append({"round": i + 1, "rows": new_sums.count(), "error": error_sum if mode == "exact" else None})
         if mode == "exact" and i + 1 < rounds:
-            new_power = cut(_compose(power, power, graph.hot_rows).filter(F.col("score") > floor))
+            squared = cut(_compose(power, power, graph.hot_rows))
+            new_power = squared.filter(F.col("score") > floor)
+            if report is not None:
+                error_power = 2 * error_power * hop_factor**hops + _dropped(squared, floor)
             if power is not sums:
                 release(power)
+            new_power.work_path = squared.work_path
             power = new_power
         elif mode == "exact" and power is not sums:
             release(power)
         if i > 0 or mode == "recurrence":
             release(sums)
+        new_sums.work_path = whole.work_path
         sums = new_sums
     return sums
 
 
+def _doubling_toward(graph: Graph, rounds: int, hop_factor: float, mode: str, floor: float, targets: DataFrame) -> DataFrame:
+    """The columns of ``targets`` in the doubled tables."""
+
+    def hop(rows: DataFrame) -> DataFrame:
+        pulled = _pulled(graph, rows, "score", hop_factor).groupBy("id", "target").agg(F.sum("score").alias("score"))
+        return cut(pulled.filter(F.col("score") > floor) if floor else pulled)
+
+    def recurrence(rows: DataFrame, depth: int) -> DataFrame:
+        """D + D D with the table of the round before, applied to ``rows``."""
+        if not depth:
+            return hop(rows)
+        once = recurrence(rows, depth - 1)
+        return cut(_add(once, recurrence(once, depth - 1)))
+
+    if mode == "recurrence":
+        own = targets.select("id").distinct().select("id", F.col("id").alias("target"), F.lit(1.0).alias("score"))
+        return recurrence(cut(own), rounds)
+    sums = cut(_one_hop(graph, hop_factor, targets))
+    for i in range(rounds):
+        moved = sums
+        for _ in range(2**i):
+            further = hop(moved)
+            if moved is not sums:
+                release(moved)
+            moved = further
+        added = cut(_add(sums, moved))
+        release(moved)
+        release(sums)
+        sums = added
+    return sums
+
+
 def _delta_rounds(graph: Graph, rounds: int | None, hop_factor: float, delta: float, targets: DataFrame | None):
     """Yield (round, state before the round, state after) of the increment form."""
     state = cut(_one_hop(graph, hop_factor, targets).withColumn("inc", F.col("score")))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..skew import in_chunks
+from ..skew import in_chunks, number_all
+
+DIRECT_ROWS = 10_000  # rows that one task may merge
 
 
 def out_degrees(edges: DataFrame) -> DataFrame:
@@ -48,12 +50,17 @@ def in_edges(edges: DataFrame, columns: list[str] | None = None, chunk: int = 10
 
 
 def triplets(graph: Graph, attributes: list[str]) -> DataFrame:
-    """Edges with the attributes of both ends as src_<name> and dst_<name>."""
-    out = graph.edges
-    for end in ("src", "dst"):
-        side = graph.vertices.select(F.col("id").alias(end), *[F.col(a).alias(f"{end}_{a}") for a in attributes])
-        out = graph.join_end(out, end, side, "left")
-    return out
+    """Edges with the attributes of both ends as src_<name> and dst_<name>.
+
+    Edges without columns of their own come from the table bucketed by ``src``: they move once,
+    to the join on ``dst``."""
+    side = {end: graph.vertices.select(F.col("id").alias(end), *[F.col(a).alias(f"{end}_{a}") for a in attributes]) for end in ("src", "dst")}
+    if set(graph.edges.columns) == {"edge_id", "src", "dst"}:
+        sent = graph.links("out").with_sender(side["src"].withColumnRenamed("src", "id"))
+        out = sent.withColumnsRenamed({"at": "src", "to": "dst"}).drop("out_deg")
+    else:
+        out = graph.join_end(graph.edges, "src", side["src"], "left")
+    return graph.join_end(out, "dst", side["dst"], "left")
 
 
 def attach(vertices: DataFrame, values: DataFrame, defaults: dict) -> DataFrame:
@@ -139,8 +146,11 @@ def counters(graph: Graph) -> DataFrame:
 
 
 def top_n(rows: DataFrame, n: int, order: list[Column]) -> DataFrame:
-    """Global top-n: each task keeps n rows before the final merge."""
-    return rows.orderBy(*order).limit(n)
+    """Global top-n. Up to ``DIRECT_ROWS`` each task keeps n rows and one merges them; more are
+    cut off by their number in a range-sorted table, so no task holds n rows."""
+    if n <= DIRECT_ROWS:
+        return rows.orderBy(*order).limit(n)
+    return number_all(rows, order, "_place", 1, total=False).filter(F.col("_place") <= n).drop("_place")
 
 
 def explode_scores(rows: DataFrame, scores: str, fallback: int = -1) -> DataFrame:

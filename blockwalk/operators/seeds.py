@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..runtime import cut, release
 from ..skew import join_unique, number_all
 from ..sources.seed_files import SEED_VALUE
-from .relational import degrees, union_rows
+from .relational import degrees, top_n, union_rows
 
 _TABLES = 16  # round tables kept apart before they are written together
 
@@ -16,7 +16,7 @@ _TABLES = 16  # round tables kept apart before they are written together
 def top_degree_seeds(edges: DataFrame, n: int, value: float = SEED_VALUE, by: str = "degree") -> DataFrame:
     """(seed, value) of the n vertices of highest degree (``degree``, ``out_degree`` or
     ``in_degree``); of equal ones the larger ids come first."""
-    best = degrees(edges).orderBy(F.desc(by), F.desc("id")).limit(n)
+    best = top_n(degrees(edges), n, [F.desc(by), F.desc("id")])
     return best.select(F.col("id").alias("seed"), F.lit(float(value)).alias("value"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..skew import hot_keys, in_chunks, number_all, split_hot, with_slot
+from ..runtime import cut
+from ..skew import hot_keys, in_chunks, join_small, number_all, split_hot, with_slot
 from .edge_lists import edges_from_lines
 
 
@@ -38,16 +39,16 @@ def read_edge_files(spark: SparkSession, path: str) -> DataFrame:
     text = lines.select("file", F.split(F.trim("value"), r"\s+").alias("f")).filter(
         ~F.trim("value").startswith("#") & (F.size("f") >= 2)
     )
-    files = number_all(lines.select("file").distinct(), [F.col("file")], "part")
+    files = cut(number_all(lines.select("file").distinct(), [F.col("file")], "part"))
     f = F.col("f")
     rows = text.select("file", f[0].cast("long").alias("src"), f[1].cast("long").alias("dst"))
-    # one row per file on the small side: Spark broadcasts it when its size allows
-    return rows.join(files, "file").select("src", "dst", F.col("part").cast("int").alias("part"))
+    # one row per file on the small side; beyond the broadcast bound large files are joined apart
+    return join_small(rows, files, files.count(), ["file"]).select("src", "dst", F.col("part").cast("int").alias("part"))
 
 
 def partition_contents(rows: DataFrame, columns: list[str], part: str = "part", chunk: int = 10_000, hot_rows: int | None = None) -> DataFrame:
     """Distinct rows of each partition, as bounded lists (part, chunk, contents)."""
-    distinct = rows.select(F.col(part).alias("part"), *columns).distinct()
+    distinct = cut(rows.select(F.col(part).alias("part"), *columns).distinct())
     return in_chunks(distinct, ["part"], F.struct(*columns), [F.col(c) for c in columns], "contents", chunk, hot_rows)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 # fixed patterns of the text forms
 _DISTANCE = r"^\((-?\d+),Map\((.*)\)\)$"
+MAX_LIST = 10_000  # entries of one text line
 _REPRESENTATIVE = r"^\(\((-?\d+),(-?\d+)\),(-?\d+)\)$"
 
 
@@ -27,8 +28,12 @@ def seed_distances_from_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def seed_distances_to_lines(distances: DataFrame) -> DataFrame:
-    """(id, seed, score), at most top-k rows per id, to text lines."""
+def seed_distances_to_lines(distances: DataFrame, longest: int = MAX_LIST) -> DataFrame:
+    """(id, seed, score) to text lines, one per id. The form has no way to continue a list, so an
+    id with more than ``longest`` rows is an error; such tables are kept in the long form."""
+    counts = distances.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    if not counts.filter(F.col("n") > longest).isEmpty():
+        raise ValueError(f"a vertex has more than {longest} seeds; write the long form")
     entry = F.concat(F.col("seed").cast("string"), F.lit(" -> "), F.col("score").cast("string"))
     listed = F.sort_array(F.collect_list(F.struct("seed", entry.alias("text"))))
     return distances.groupBy("id").agg(listed.alias("l")).select(

@@ -502,4 +502,9 @@ def oracle_sql() -> dict[str, str]:
     sql.add("t2", """SELECT id, target, sum(score) AS score FROM (SELECT r.src AS id, t.target, t.score * 0.25 + r.rel AS score
         FROM rel r JOIN t1 t ON t.id = r.dst UNION ALL SELECT * FROM t1) GROUP BY 1, 2""")
     o["topical_scores"] = sql.out(f"SELECT id, target, {f32('score')} AS score FROM t2")
+    # the third round for the seeds' own rows
+    own = seeded(sql).add("t3", """SELECT id, target, sum(score) AS score FROM (SELECT r.src AS id, t.target, t.score * 0.25 + r.rel AS score
+        FROM rel r JOIN t2 t ON t.id = r.dst WHERE r.src IN (SELECT seed FROM seeds)
+        UNION ALL SELECT * FROM t1 WHERE id IN (SELECT seed FROM seeds)) GROUP BY 1, 2""")
+    o["topical_scores_from"] = own.out(f"SELECT id, target, {f32('score')} AS score FROM t3")
     return o

@@ -593,6 +593,11 @@ def topic_similarity(spark, d):
     return topics.topic_similarity(topic_chain(spark, d).edges, "PROMO", similar).select("edge_id", f32("similarity"))
 
 
+def topical_scores_from(spark, d):
+    """Recommendations for the vertices of the targets list alone, by the forward form."""
+    return topics.topical_scores_from(topic_chain(spark, d), "PROMO", _targets(spark, d), 3).select("id", "target", f32("score"))
+
+
 def topical_scores(spark, d):
     return topics.topical_scores(topic_chain(spark, d), "PROMO", 2).select("id", "target", f32("score"))
 
@@ -692,6 +697,7 @@ QUERIES = {
     "topic_authority": topic_authority,
     "topic_similarity": topic_similarity,
     "topical_scores": topical_scores,
+    "topical_scores_from": topical_scores_from,
 }
 
 
