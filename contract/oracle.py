@@ -273,6 +273,8 @@ def oracle_sql() -> dict[str, str]:
         FROM e LEFT JOIN od a ON a.id = e.src LEFT JOIN od z ON z.id = e.dst"""
     o["triplets"] = Sql().out(ends)
     o["edge_weights"] = Sql().add("t", ends).out(f"SELECT edge_id, src, dst, {f32('1.0 / src_degree')} AS weight FROM t WHERE 1.0 / src_degree < 0.5")
+    o["mapped_graph"] = Sql().out("""SELECT od.id, (od.d * 2)::BIGINT AS twice, sum(abs(e.src - e.dst))::BIGINT AS spans
+        FROM od JOIN e ON e.src = od.id WHERE od.d * 2 > 20 GROUP BY 1, 2""")
     o["attach"] = Sql().out("SELECT v.id, coalesce(od.d, 0)::BIGINT AS degree FROM v LEFT JOIN od ON od.id = v.id")
     o["union_with_defaults"] = Sql().out("""SELECT v.id, coalesce(m.best, -1) AS best FROM v
         LEFT JOIN (SELECT src AS id, max(dst) AS best FROM e GROUP BY src) m ON m.id = v.id""")
@@ -317,6 +319,7 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN list_has_any(taken, near.ids) THEN ranks ELSE list_append(ranks, r.rank) END
         FROM scan JOIN ranked r ON r.rank = scan.i + 1 JOIN near ON near.id = r.id WHERE len(taken) < {SEEDS}""").out("""
         SELECT unnest(taken) AS seed, 100000.0::DOUBLE AS value, unnest(ranks) AS rank FROM (SELECT * FROM scan ORDER BY i DESC LIMIT 1)""")
+    o["spread_seeds_limited"] = o["spread_seeds"].replace("AS rank FROM deg)", f"AS rank FROM deg QUALIFY rank <= {2 * SEEDS})")
     # balancing
     cands = "SELECT edge_id, rank, seed, score AS key FROM prof"
     room = f"SELECT seed, (SELECT count(*) FROM e) // {SEEDS} + 1 AS room FROM seeds"

@@ -207,6 +207,15 @@ def edge_weights(spark, d):
     return relational.filter_edges(graph, F.col("weight") < 0.5).select("edge_id", "src", "dst", f32("weight"))
 
 
+def mapped_graph(spark, d):
+    """Vertices of some degree after a map over vertices, with what a map over edges gives their own."""
+    graph = relational.map_vertices(_with_degree(spark, d), twice=F.col("degree") * 2)
+    graph = relational.map_edges(graph, span=F.abs(F.col("src") - F.col("dst")))
+    spans = relational.reduce_by_key(graph.edges, ["src"], spans=F.sum("span")).withColumnRenamed("src", "id")
+    wanted = relational.filter_vertices(graph, F.col("twice") > 20).select("id", "twice")
+    return relational.join_by_id(wanted, spans)
+
+
 def attach(spark, d):
     return _with_degree(spark, d).vertices.select("id", "degree")
 
@@ -291,6 +300,11 @@ def spread(spark, d):
     return spread_seeds(chain(spark, d).edges, SEEDS).select("seed", "value", "rank")
 
 
+def spread_limited(spark, d):
+    """The walk through the first candidates alone: fewer seeds than asked for are found."""
+    return spread_seeds(chain(spark, d).edges, SEEDS, candidates=2 * SEEDS).select("seed", "value", "rank")
+
+
 def propagate(spark, d):
     scores = blocks.propagate(chain(spark, d), _seeds(spark, d), ROUNDS, TOPK)
     return blocks.seed_distances(scores).select("id", "seed", f32("score"))
@@ -625,6 +639,7 @@ QUERIES = {
     "in_edges": in_edges,
     "triplets": triplets,
     "edge_weights": edge_weights,
+    "mapped_graph": mapped_graph,
     "attach": attach,
     "union_with_defaults": union_with_defaults,
     "degree_join": degree_join,
@@ -642,6 +657,7 @@ QUERIES = {
     "partition_crvc": _strategy("canonical_random_vertex_cut", PARTS),
     "top_degree_seeds": top_degree,
     "spread_seeds": spread,
+    "spread_seeds_limited": spread_limited,
     "propagate": propagate,
     "unvisited": unvisited,
     "unvisited_vertices": unvisited_vertices,

@@ -9,8 +9,10 @@ from blockwalk import Graph, build_graph, cut, with_edge_ids
 from blockwalk.skew import lead_within
 
 # co-purchase chains: consecutive different parts of an order. All queries read ``chain``, the whole
-# table with its parallel edges; the benchmark also has each pair once, and a smaller graph
-CHAINS = {"chain": "true", "dense": "true", "returned": "l_returnflag = 'R'"}
+# table with its parallel edges; the benchmark also has each pair once, a smaller graph, and the
+# whole table with one vertex (``HUB``) as the source of a third of all edges
+CHAINS = {"chain": "true", "dense": "true", "returned": "l_returnflag = 'R'", "hub": "true"}
+HUB = 1
 ORDER_SHIFT = 1_000_000_000
 # graphs are laid out once per session and data folder; queries start from the laid-out tables
 _known: dict[tuple, object] = {}
@@ -37,8 +39,10 @@ def chain(spark: SparkSession, sf_dir: str, variant: str = "chain") -> Graph:
         lines = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"))
         # ties in line number are equal parts, so the order is total
         steps = lead_within(lines, ["l_orderkey"], [F.col("l_linenumber"), F.col("src")], "src", "dst")
+        if variant == "hub":
+            steps = steps.withColumn("src", F.when(F.col("l_orderkey") % 3 == 0, F.lit(HUB).cast("long")).otherwise(F.col("src")))
         pairs = steps.filter("src <> dst").select("src", "dst")
-        once_each = variant != "chain"
+        once_each = variant not in ("chain", "hub")
         graph = build_graph(cut(with_edge_ids(pairs.distinct() if once_each else pairs, distinct=once_each)))
         return Graph(cut(graph.vertices), graph.edges)
 
