@@ -110,7 +110,8 @@ _lengths: dict[int, _Lengths] = {}
 def count_tokens(docs: DataFrame, automaton: Automaton, text: str = "text") -> DataFrame:
     """``docs`` with n_words (between ASCII white space) and n_tokens (pieces of all words, each
     with a space before it). Null, empty and blank texts have 0 of both; columns of ``docs``
-    with these names are replaced. One pass over whole texts without a shuffle; what is
+    with these names are replaced; repeated rows count alike, other columns stay, and no rows
+    give no rows. One pass over whole texts without a shuffle; what is
     broadcast is bounded by the vocabulary."""
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
 

@@ -65,7 +65,9 @@ def revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """(page_id, url, payload, digest, refers_to) of every page: of equal payloads of at least
     ``least`` bytes the largest key is stored, the others refer to it.
 
-    Only payloads that occur more than once take part in the join, whose right side has one row
+    Null html is an empty payload, a null url stays null. A null key is never the largest; where
+    all keys of a payload are null, each is stored. Rows that repeat key and payload are all
+    stored, as none is larger. Other columns are ignored; no rows give no rows. Only payloads that occur more than once take part in the join, whose right side has one row
     per payload; a payload that a third of the pages share is split by the adaptive skew join.
     """
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
@@ -251,7 +253,9 @@ def read_archives(files: DataFrame, keep_payload: bool = False) -> DataFrame:
 
 def resolved(records: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to): a revisit takes the
-    length of the response it refers to, found by id and digest (null if that is missing)."""
+    length of the response it refers to, found by id and digest (null if that is missing). Null
+    ids and digests find nothing; repeated responses count once for that, and every record gives
+    one row; no records give none."""
     slim = records.drop("payload", "url")
     stored = slim.filter("record_type = 'response'").groupBy(F.col("page_id").alias("_id"), F.col("digest").alias("_d")).agg(
         F.max("payload_bytes").alias("_bytes")
