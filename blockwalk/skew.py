@@ -1,9 +1,9 @@
 """Joins, numbering and grouping that hold up when one key owns a third of the rows.
 
-``hot_keys`` finds keys above 1/10,000 of all rows (so there are at most 10,000 of them, a
-bound that does not grow with the data). Everything else treats those keys separately:
+``hot_keys`` finds keys above a constant number of rows, and never more than 100,000 of them (so
+beyond 10^11 rows that number grows). Everything else treats those keys separately:
 
-* ``join_unique``   - the other side has one row per key: at most 10,000 rows are broadcast.
+* ``join_unique``   - the other side has one row per key: at most 100,000 rows are broadcast.
 * ``join_small``    - the other side's row count is known: broadcast up to a fixed bound.
 * ``join_spread``   - many rows per key on both sides: the left side's hot rows are split
   over slots; ``join_both`` does so for either side, and over a grid of slots for keys that
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .runtime import cut
 
-MAX_HOT_KEYS = 10_000
 BROADCAST_ROWS = 100_000
+MAX_HOT_KEYS = BROADCAST_ROWS
 HOT_ROWS = 1_000_000
 _BINS = 65_536
 _POS_BITS = 33  # monotonically_increasing_id: partition in the high bits, position in 33
@@ -42,7 +42,7 @@ class HotKeys:
 def hot_keys(
     df: DataFrame, keys: list[str], hot_rows: int | None = None, at_most: int | None = None
 ) -> HotKeys | None:
-    """Keys of ``df`` with more than max(hot_rows, rows / 10,000) rows, or None. ``at_most``
+    """Keys of ``df`` with more than max(hot_rows, rows / 100,000) rows, or None. ``at_most``
     is a known bound on the rows of ``df``: if no key can be hot, nothing is scanned.
 
     First pass: counts per hash bin (65,536 rows leave each task at most). Only if a bin is
