@@ -127,10 +127,10 @@ def test_blocks(plain, hot, seeds):
     assert rows(balance.partial_reschedule(pa, seeds)) == rows(balance.partial_reschedule(pb, seeds, hot_rows=HOT))
 
 
-def test_capped_assign_without_the_small_excess_path(plain, seeds, monkeypatch):
+def test_capped_assign_with_no_space_between_the_lines(plain, seeds, monkeypatch):
     profiles = blocks.edge_profiles(plain, blocks.propagate(plain, seeds, 3, 2), 3)
     want = rows(balance.capped_assign(profiles, seeds, 20))
-    monkeypatch.setattr(balance, "_FEW", 0)
+    monkeypatch.setattr(balance, "_NEAR", 0)
     assert rows(balance.capped_assign(profiles, seeds, 20, hot_rows=HOT)) == want
 
 
