@@ -261,13 +261,18 @@ def near_duplicates(
     placed = cut(members.join(weights, "c0"))
     zero = F.lit(0)
     small = placed.filter("blocks = 1").select("id", "c0", zero.alias("c1"), zero.alias("c2"), F.lit(True).alias("lead"), F.col("id").alias("label"), zero.alias("side"))
+    huge = placed.filter("blocks > 1")
+    crowded = not huge.isEmpty()
+    if not crowded:  # only they look at the groups again
+        for table in (shown, heads, stars):
+            release(table)
     links = _links(_sets_of(texts, small, size), percent, False)
-    if not (huge := placed.filter("blocks > 1")).isEmpty():
+    if crowded:
         links = links.unionByName(_huge_links(texts, huge, shown, heads, stars, size, percent, shard))
     links = cut(links)
     found = cut(components(links))
     joined = classes.join(found, F.col("node") == F.col("id"), "left").select("digest", F.coalesce("component", "node").alias("component"))
-    for table in (shown, heads, stars, members, weights, placed):
+    for table in (*((shown, heads, stars) if crowded else ()), members, weights, placed):
         release(table)
     part = taking.select("id", "n", "digest").join(joined, "digest").select("id", "n", "component")
     rest = base.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
