@@ -382,10 +382,17 @@ def merge_blocks_overlap(
 
 
 def _looked_ahead(
-    spark: SparkSession, shared: DataFrame, open_blocks: DataFrame, open_members: DataFrame, owned: DataFrame, stale: set[int], left: set[int], by_edges: list[int]
+    spark: SparkSession, shared: DataFrame, open_blocks: DataFrame, open_members: DataFrame, owned: DataFrame, stale: set[int], left: set[int], by_edges: list[int],
+    width: int | None = None,
 ) -> dict[int, _Ahead]:
-    """``_Ahead`` of the stale partitions."""
-    width = max(4, min(16, (_AHEAD_ROWS // len(stale)).bit_length() - 1))
+    """``_Ahead`` of the stale partitions, of ``width`` blocks each; empty if that gave too many rows."""
+    if width is None:
+        width = max(4, min(16, (_AHEAD_ROWS // len(stale)).bit_length() - 1))
+        if len(stale) == 1 and width == 16:
+            # one partition lags: more of its blocks, if the vertices lie in few enough sets of them
+            wide = _looked_ahead(spark, shared, open_blocks, open_members, owned, stale, left, by_edges, 60)
+            if wide:
+                return wide
     wanted = spark.createDataFrame([(p,) for p in sorted(stale)], "part int")
     place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), F.desc("n_edges"), F.asc("block")))
     candidates = join_small(join_small(shared, wanted, len(stale), ["part"], "left_semi"), open_blocks, len(left), ["block"])
@@ -408,7 +415,12 @@ def _looked_ahead(
     masks = open_members.join(listed, "block").groupBy("part", "id").agg(F.bit_or("bit").alias("mask"))
     counts = masks.join(owned, ["part", "id"], "left_anti").groupBy("part", "mask").agg(F.count(F.lit(1)).alias("n"))
     patterns: dict[int, list[tuple[int, int]]] = {p: [] for p in stale}
-    for r in counts.collect():  # at most 2^width rows for each stale partition
+    # at most 2^width rows for each stale partition; a given width is tried up to a fixed number
+    most = _AHEAD_ROWS if width > 16 else len(stale) << width
+    found = counts.limit(most + 1).collect()
+    if len(found) > most:
+        return {}
+    for r in found:
         patterns[r["part"]].append((r["mask"], r["n"]))
     return {p: _Ahead(shown[p], bound[p], patterns[p]) for p in stale}
 
