@@ -32,7 +32,7 @@ SHARD, VERIFIED = 250_000, 20_000
 #: vectors that the cells' trees are fitted on; every vector is dealt by them
 FIT = 20_000
 #: coordinates in a sketch beside the block's own, rows in a leaf of the tree inside a task
-_BESIDE, _LEAF = 16, 192
+_BESIDE, _LEAF = 24, 192
 _STRIP = 256
 _SCALE = 254  # steps of a sketch in one unit; coordinates are held to +- 0.5
 
@@ -310,7 +310,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     apart by 128-bit digests, candidates by 64 bits of them.
 
     A block's tree has a cell for each ``shard`` distinct vectors, fitted on at most ``FIT`` of
-    them; each distinct vector sends its sketch (32 bytes) to the cell it lives in and to those
+    them; each distinct vector sends its sketch (32 bytes and 8 of its digest) to the cell it lives in and to those
     it may reach. Cells that still hold more are split into pairs of parts, as are those of more
     than ``verified`` vectors to verify, so no task holds a whole hot cell. A task returns
     candidates, or counts and spanning links, never all pairs. No candidate is capped.
