@@ -4,8 +4,8 @@ import pytest
 from helpers import flat, random_pairs
 from pyspark.sql import functions as F
 
-from blockwalk import from_edges, message_step, runtime
-from blockwalk.operators import algorithms, metrics, relational
+from blockwalk import build_graph, from_edges, message_step, runtime
+from blockwalk.operators import algorithms, metrics, relational, topics
 from blockwalk.operators.seeds import top_degree_seeds
 from blockwalk.plans import METHODS, compare_partitionings, label_blocks, partition_edges, walk_traffic
 
@@ -95,3 +95,19 @@ def test_relational_pieces(spark, micro):
     assert {r["id"]: r["neighbors"] for r in both}[3] == [1, 2, 4]
     pages = algorithms.static_pagerank(micro, 3).count()
     assert pages == 7
+
+
+def test_topical_rows_move_once_to_a_block_of_readers(spark, monkeypatch):
+    """Rows that readers pull are not dealt out one by one, whatever the number of blocks."""
+    edges = from_edges(spark, random_pairs(5, 60, 400)).edges.withColumn("topics", F.array(F.concat(F.lit("t"), (F.col("dst") % 3).cast("string"))))
+    whole = topics.topical_scores(build_graph(edges), "t1", 3)
+    monkeypatch.setattr(topics, "ROWS_PER_BLOCK", 100)
+    monkeypatch.setattr(topics, "WIDE", 250)
+    cut_up = topics.topical_scores(build_graph(edges), "t1", 3)
+    for frame in (whole, cut_up):
+        rows = sorted((r["id"], r["target"], round(r["score"], 9)) for r in frame.collect())
+        if frame is whole:
+            want = rows
+    assert rows == want and len({r[0] for r in want}) > 40
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Generate posexplode" in plan and "hashpartitioning(id" not in plan.split("Generate posexplode")[0]
