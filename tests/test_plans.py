@@ -5,9 +5,11 @@ from helpers import flat, random_pairs
 from pyspark.sql import functions as F
 
 from blockwalk import build_graph, from_edges, message_step, runtime
+from blockwalk.functions.scores import merge_arrays
 from blockwalk.operators import algorithms, metrics, relational, topics
 from blockwalk.operators.seeds import top_degree_seeds
 from blockwalk.plans import METHODS, compare_partitionings, label_blocks, partition_edges, walk_traffic
+from contract import queries, tables
 
 
 @pytest.fixture(scope="module")
@@ -111,3 +113,20 @@ def test_topical_rows_move_once_to_a_block_of_readers(spark, monkeypatch):
     assert rows == want and len({r[0] for r in want}) > 40
     plan = whole._jdf.queryExecution().executedPlan().toString()
     assert "Generate posexplode" in plan and "hashpartitioning(id" not in plan.split("Generate posexplode")[0]
+
+
+def test_blocks_do_not_write_whole_profiles(spark):
+    tables.forget()
+    sf_dir = "/root/testdata/sf0.001"
+    assert queries.QUERIES["block_representatives"](spark, sf_dir).count() > 0
+    assert not any(key[1:] == (sf_dir, "profiles") for key in tables._known)
+    tables.forget()
+
+
+def test_merged_scores_of_one_reached_end(spark):
+    kind = "array<struct<seed:bigint,score:double>>"
+    rows = [(1, [(4, 2.0), (1, 1.0), (2, 1.0)], None), (2, None, [(3, 5.0), (9, 0.0)]), (3, None, None), (4, [(1, 1.0)], [(2, 3.0), (1, 2.0)])]
+    merged = merge_arrays(F.col("a"), F.col("b"), 2)
+    frame = spark.createDataFrame(rows, f"id int, a {kind}, b {kind}").select("id", merged.alias("m"))
+    got = {r["id"]: [tuple(e) for e in r["m"]] for r in frame.collect()}
+    assert got == {1: [(4, 2.0), (1, 1.0)], 2: [(3, 5.0), (9, 0.0)], 3: [], 4: [(1, 3.0), (2, 3.0)]}
