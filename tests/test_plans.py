@@ -4,7 +4,7 @@ import pytest
 from helpers import flat, random_pairs
 from pyspark.sql import functions as F
 
-from blockwalk import build_graph, from_edges, message_step, runtime
+from blockwalk import Graph, build_graph, from_edges, message_step, runtime
 from blockwalk.functions.scores import merge_arrays
 from blockwalk.operators import algorithms, metrics, relational, topics
 from blockwalk.operators.seeds import top_degree_seeds
@@ -130,3 +130,15 @@ def test_merged_scores_of_one_reached_end(spark):
     frame = spark.createDataFrame(rows, f"id int, a {kind}, b {kind}").select("id", merged.alias("m"))
     got = {r["id"]: [tuple(e) for e in r["m"]] for r in frame.collect()}
     assert got == {1: [(4, 2.0), (1, 1.0)], 2: [(3, 5.0), (9, 0.0)], 3: [], 4: [(1, 3.0), (2, 3.0)]}
+
+
+def test_degrees_join_in_tasks_of_a_fixed_number_of_rows(spark, monkeypatch):
+    edges = from_edges(spark, random_pairs(3, 40, 300, 0.3)).edges
+    want = sorted(map(tuple, Graph(None, edges).weighted_edges().collect()))
+    monkeypatch.setattr(runtime, "ROWS_PER_TASK", 20)
+    assert runtime.by_rows(edges, 300, "src").rdd.getNumPartitions() == 15
+    for hot_rows in (None, 5):
+        graph = Graph(None, edges, hot_rows)
+        dealt = graph.join_end(edges, "src", edges.select("src").distinct(), rows=300)
+        assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, graph.weighted_edges().collect())) == want
