@@ -4,9 +4,9 @@ import pytest
 from helpers import flat, random_pairs
 from pyspark.sql import functions as F
 
-from blockwalk import Graph, build_graph, from_edges, message_step, runtime
+from blockwalk import Graph, build_graph, from_edges, graph as graphs, message_step, runtime, skew, with_edge_ids
 from blockwalk.functions.scores import merge_arrays
-from blockwalk.operators import algorithms, metrics, relational, topics
+from blockwalk.operators import algorithms, metrics, relational, topics, walks
 from blockwalk.operators.seeds import top_degree_seeds
 from blockwalk.plans import METHODS, compare_partitionings, label_blocks, partition_edges, walk_traffic
 from contract import queries, tables
@@ -142,3 +142,61 @@ def test_degrees_join_in_tasks_of_a_fixed_number_of_rows(spark, monkeypatch):
         dealt = graph.join_end(edges, "src", edges.select("src").distinct(), rows=300)
         assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(tuple, graph.weighted_edges().collect())) == want
+
+
+@pytest.mark.parametrize("hot_rows", [None, 5])
+def test_edges_move_once_to_a_layout_and_once_to_the_walks(spark, monkeypatch, hot_rows):
+    """Degrees are counted in the layout by source and neighbors numbered there; edges carry no degree
+    of their other end to the walks, so no join moves them."""
+    edges = from_edges(spark, random_pairs(7, 40, 300, 0.3)).edges
+    pairs = [(r["edge_id"], r["src"], r["dst"]) for r in edges.collect()]
+    plans, written = {}, []
+
+    def bucketed(df, keys, buckets, *inside):
+        plans[tuple(keys)] = df._jdf.queryExecution().executedPlan().toString()
+        return runtime.cut_bucketed(df, keys, buckets, *inside)
+
+    monkeypatch.setattr(graphs, "cut_bucketed", bucketed)
+    monkeypatch.setattr(walks, "cut_bucketed", bucketed)
+    monkeypatch.setattr(graphs, "cut", lambda df: written.append(df.columns) or runtime.cut(df))
+    monkeypatch.setattr(walks, "cut", lambda df: written.append(df.columns) or runtime.cut(df))
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        g = build_graph(edges, hot_rows=hot_rows)
+        paths = sorted(map(tuple, walks.walk_segments(g, 2, 3).select("source", "walk", "path").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    # all edges are written by the two layouts only; the hot ones also to their slots
+    assert all("dst" not in c and ("to" not in c or "slot" in c) for c in written)
+    if hot_rows is None:
+        assert "Exchange hashpartitioning" not in plans[("src", "idx")] + plans[("at",)]
+    degree = {v: sum(1 for _, s, _ in pairs if s == v) for v in {s for _, s, _ in pairs}}
+    assert sorted(map(tuple, g.weighted_edges().select("edge_id", "src", "dst", "out_deg").collect())) == sorted((i, s, d, degree[s]) for i, s, d in pairs)
+    steps, number = sorted(map(tuple, walks.step_table(g).collect())), {}
+    for _, s, d in sorted(pairs, key=lambda e: (e[1], e[2], e[0])):
+        number.setdefault(s, []).append(d)
+    assert steps == sorted((s, i, d) for s, ds in number.items() for i, d in enumerate(ds))
+    assert all(b in number[a] for source, _, path in paths for a, b in zip([source, *path], path))
+    assert all(len(path) == 3 or [source, *path][-1] not in number for source, _, path in paths)
+
+
+def test_ties_of_a_numbering_are_not_written(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(skew, "cut", lambda df: written.append(df.columns) or runtime.cut(df))
+    pairs = spark.createDataFrame([(2, 1), (1, 1), (2, 1), (1, 3)] * 5, "src long, dst long")
+    got = sorted(map(tuple, with_edge_ids(pairs).select("edge_id", "src", "dst").collect()))
+    assert got == [(i + 1, *p) for i, p in enumerate([(1, 1)] * 5 + [(1, 3)] * 5 + [(2, 1)] * 10)]
+    assert len(written) == 2 and not any("_tie" in columns for columns in written)
+
+
+def test_visits_by_distance_leaves_edges_without_a_seed(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 2, 1), (2, 3, 1), (5, 6, -1), (6, 1, -1), (7, 8, 4)], "src long, dst long, block long")
+    marks = spark.createDataFrame([(1, 2, 1), (5, 6, -1)], "src long, dst long, seed long")
+    scores = spark.createDataFrame([(1, 1, 9.0), (2, 1, 4.0)], "id long, seed long, score double")
+    visits = spark.createDataFrame([(i, 10 * i) for i in range(1, 9)], "id long, visits long")
+    taken, formed = [], metrics.partition_vertices
+    monkeypatch.setattr(metrics, "partition_vertices", lambda e, part: taken.extend(r[part] for r in e.collect()) or formed(e, part))
+    got = sorted(map(tuple, metrics.visits_by_distance(visits, scores, edges, marks, 20, part="block").collect()))
+    assert got == [(1, 1, 0, 10.0, 1), (1, 1, 1, 20.0, 1), (1, 1, 2, 30.0, 1)]
+    assert set(taken) == {1}
