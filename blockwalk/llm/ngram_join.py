@@ -252,7 +252,7 @@ def near_duplicates(
     nodes = described.filter("n > 0 and id is not null").join(classes.hint("shuffle_hash"), "digest").filter("id = node")
     shown = cut(nodes.select("node", F.explode("shown").alias("grp")))
     release(described)
-    heads = cut(shown.groupBy("grp").agg(F.min("node").alias("head"), F.max("node").alias("tail")).filter("head <> tail").drop("tail"))
+    heads = cut(shown.groupBy("grp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("shows")).filter("shows > 1").drop("shows"))
     met = shown.join(heads, "grp").filter("node <> head")
     stars = cut(met.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
     subtrees = components(stars)

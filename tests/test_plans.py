@@ -1,5 +1,7 @@
 """End-to-end partitionings and reports."""
 
+import time
+
 import pytest
 from helpers import flat, random_pairs
 from pyspark.sql import functions as F
@@ -200,3 +202,18 @@ def test_visits_by_distance_leaves_edges_without_a_seed(spark, monkeypatch):
     got = sorted(map(tuple, metrics.visits_by_distance(visits, scores, edges, marks, 20, part="block").collect()))
     assert got == [(1, 1, 0, 10.0, 1), (1, 1, 1, 20.0, 1), (1, 1, 2, 30.0, 1)]
     assert set(taken) == {1}
+
+
+def test_shuffle_files_go_with_the_table_that_needed_them(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in (str(x) for x in disk.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f}
+    before, setting = files(), spark.conf.get(runtime.SHUFFLES_END_CONF)
+    frame = spark.range(20_000).withColumn("x", F.xxhash64("id")).repartition(5, "x")
+    tables_ = [runtime.cut(frame), runtime.cut_bucketed(frame.select("x"), ["x"], 3)]
+    until = time.time() + 20
+    while files() - before and time.time() < until:  # they are deleted in the background
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(runtime.SHUFFLES_END_CONF) == setting
+    assert [t.count() for t in tables_] == [20_000, 20_000]
+    for t in tables_:
+        runtime.release(t)
