@@ -65,6 +65,43 @@ def test_topical_rows_and_columns_are_part_of_the_whole(spark, topical, iteratio
     close(columns, {k: v for k, v in whole.items() if k[1] in (1, 4, 30)})
 
 
+@pytest.mark.parametrize("hot_rows", [None, 12])
+def test_topical_blocks_of_readers_and_targets_give_every_row(spark, monkeypatch, hot_rows):
+    rng = random.Random(5)
+    pairs = [(rng.randint(1, 40), rng.randint(1, 40)) for _ in range(150)] + [(v, 7) for v in range(20, 40)]
+    pairs += [(3, 3), (4, None), (9, None), (None, 4)]
+    edges = spark.createDataFrame([(i, s, d, ["a"]) for i, (s, d) in enumerate(pairs)], "edge_id long, src int, dst int, topics array<string>")
+    authority = {v: v / 100 for v in range(1, 41) if v % 3}
+    known = spark.createDataFrame([(k, "a", v) for k, v in authority.items()], "id int, topic string, authority double")
+    worth = lambda d: 0.5 * 0.5 * authority.get(d, 0.0) * 0.5
+    direct = {}
+    for s, d in pairs:
+        direct[s, d] = direct.get((s, d), 0.0) + worth(d)
+    want = dict(direct)
+    for _ in range(2):
+        rows = {k: v for k, v in direct.items() if k[0] is not None}
+        for s, d in pairs:
+            for (m, t), score in want.items() if s is not None and d is not None else ():
+                if m == d:
+                    rows[s, t] = rows.get((s, t), 0.0) + score * 0.25
+        for (s, d), r in direct.items():
+            for t in {t for m, t in want if m == d} if s is not None and d is not None else ():
+                rows[s, t] += r
+        want = rows
+    monkeypatch.setattr(topics, "ENTRIES", 9)
+    monkeypatch.setattr(topics, "ROWS_PER_BLOCK", 200)
+    graph = Graph(edges.select(F.col("src").alias("id")).distinct(), edges, hot_rows)
+    found = topics.topical_scores(graph, "a", 3, authority=known)
+    assert [f.dataType.simpleString() for f in found.schema] == ["int", "int", "double"]
+    got = found.collect()
+    assert len(got) == len(want)
+    close(table(got, "id", "target"), want)
+    if hot_rows is None:
+        # the blocks are read where they were written: nothing moves for each reader
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
 def test_similarity_in_the_row_and_by_join_agree(spark, topical, monkeypatch):
     similar = spark.createDataFrame([("b", "a", 0.8), ("c", "a", None), ("a", "a", 1.0)], "topic_a string, topic_b string, value double")
     inside = {r["edge_id"]: r["similarity"] for r in topics.topic_similarity(topical.edges, "a", similar).collect()}
